@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import op01_quality, op08_toxicity
+from . import op01_quality, op04_topk, op06_decontaminate, op08_toxicity
 
 QUERIES = {
     "op1_quality_classifier": op01_quality.op1_quality_classifier,
+    "op4_vector_topk": op04_topk.op4_vector_topk,
+    "op6_decontamination": op06_decontaminate.op6_decontamination,
     "op8_toxicity": op08_toxicity.op8_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_vector_topk": op04_topk.SQL,
+    "op6_decontamination": op06_decontaminate.SQL,
+}
