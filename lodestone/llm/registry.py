@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import op01_quality, op04_topk, op06_decontaminate, op08_toxicity
+from . import op01_quality, op03_tokens, op04_topk, op06_decontaminate, op08_toxicity, op09_bpe
 
 QUERIES = {
     "op1_quality_classifier": op01_quality.op1_quality_classifier,
+    "op3_token_counts": op03_tokens.op3_token_counts,
     "op4_vector_topk": op04_topk.op4_vector_topk,
     "op6_decontamination": op06_decontaminate.op6_decontamination,
     "op8_toxicity": op08_toxicity.op8_toxicity,
+    "op9_byte_bpe": op09_bpe.op9_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
