@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import op01_quality, op03_tokens, op04_topk, op06_decontaminate, op08_toxicity, op09_bpe
+from . import op01_quality, op02_suffix, op03_tokens, op04_topk, op06_decontaminate, op08_toxicity, op09_bpe
 
 QUERIES = {
     "op1_quality_classifier": op01_quality.op1_quality_classifier,
+    "op2_suffix_array_dedup": op02_suffix.op2_suffix_array_dedup,
     "op3_token_counts": op03_tokens.op3_token_counts,
     "op4_vector_topk": op04_topk.op4_vector_topk,
     "op6_decontamination": op06_decontaminate.op6_decontamination,
