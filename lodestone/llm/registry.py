@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op01_quality, op02_suffix, op03_tokens, op04_topk, op06_decontaminate, op08_toxicity, op09_bpe
+from . import op01_quality, op02_suffix, op03_tokens, op04_topk, op06_decontaminate, op07_jaccard, op08_toxicity, op09_bpe
 
 QUERIES = {
     "op1_quality_classifier": op01_quality.op1_quality_classifier,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_token_counts": op03_tokens.op3_token_counts,
     "op4_vector_topk": op04_topk.op4_vector_topk,
     "op6_decontamination": op06_decontaminate.op6_decontamination,
+    "op7_jaccard_join": op07_jaccard.op7_jaccard_join,
     "op8_toxicity": op08_toxicity.op8_toxicity,
     "op9_byte_bpe": op09_bpe.op9_byte_bpe,
 }
