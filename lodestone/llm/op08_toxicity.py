@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import common, features
 from .labelled import labelled_sample, trained
@@ -64,8 +65,8 @@ def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"bias": [model.bias], "terms": [kept.astype("<i4").tobytes()], "weights": [w[kept].astype("<f4").tobytes()], "factors": [v[kept].astype("<f4").tobytes()]})
 
 
-def score_toxicity(documents: DataFrame, model: dict | None) -> DataFrame:
-    """`documents` with a column toxicity, the probability that a text is labelled toxic. Other columns pass through."""
+def score_toxicity(documents: DataFrame, model: dict | None, name: str = "toxicity") -> DataFrame:
+    """`documents` with a column `name`, the probability that a text is labelled toxic. Other columns pass through."""
     held = documents.sparkSession.sparkContext.broadcast(model)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,11 +89,10 @@ def score_toxicity(documents: DataFrame, model: dict | None) -> DataFrame:
                 for k in range(RANK):
                     f = v[at_row[t], k]
                     out[first:end] += 0.5 * (np.bincount(text, f, end - first) ** 2 - np.bincount(text, f * f, end - first))
-            yield pa.RecordBatch.from_arrays([*(c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != "toxicity"), pa.array(sigmoid(out))], [*(n for n in batch.schema.names if n != "toxicity"), "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigmoid(out))], [*batch.schema.names, name])
 
-    fields = [f for f in documents.schema.fields if f.name != "toxicity"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "`toxicity` double"])
-    return documents.drop("toxicity").mapInArrow(scores, schema)
+    documents = documents.drop(name)
+    return documents.mapInArrow(scores, StructType([*documents.schema.fields, StructField(name, DoubleType())]))
 
 
 def train_toxicity(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> dict | None:
