@@ -1,0 +1,34 @@
+"""Personal data in documents and conversations. Places and checksums have no SQL twin; unit tests cover them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.operators import pii
+from lodestone.sources.tables import table
+
+from .base import query
+
+
+@query(None)
+def pii_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P1, P2, W12."""
+    d = table(spark, sf_dir, "documents").where(pii.suspicious(F.col("text")))
+    return d.select("doc_id", F.explode(pii.findings("text")).alias("f")).select("doc_id", "f.entity", "f.first", "f.last", "f.score")
+
+
+@query(None)
+def masked_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked turns, and whether unmasking gives the text back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    out = pii.masked(turns)
+    back = out.select("conv_id", "turn", "text", pii.unmasked(F.col("text"), F.col("marks")).alias("back"))
+    return back.join(turns.withColumnRenamed("text", "plain"), ["conv_id", "turn"]).select("conv_id", "turn", F.col("back").eqNullSafe(F.col("plain")).alias("restored"))
+
+
+@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)*[.][A-Za-z]{2,}')) AS BIGINT) AS emails FROM documents WHERE contains(text, '@')")
+def email_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P2 for one recogniser that SQL can express."""
+    d = table(spark, sf_dir, "documents").where(F.contains("text", F.lit("@")))
+    return d.select("doc_id", F.size(F.filter(pii.findings("text"), lambda f: f["entity"] == "EMAIL")).cast("long").alias("emails"))
