@@ -1,12 +1,13 @@
 """Byte-level BPE encoding and decoding.
 
-1. Texts are split into pieces by the vocabulary's pattern; a block of about BLOCK_BYTES of text keeps its distinct
-   pieces once, and each text as places in that list.
+1. Texts are split into pieces by the vocabulary's pattern; a task keeps its distinct pieces once, and
+   each text as places among them. Texts go on in blocks of about BLOCK_BYTES, with the pieces that are new to the task.
 2. Spark's higher-order functions fold the ranked merges over the byte arrays of the distinct pieces. The rank map is a
-   literal: an array of 2**14 small maps, addressed by the crc32 of the bytes, so a look-up reads a few entries.
+   literal: an array of 2**16 small maps, addressed by the crc32 of the bytes, so a look-up reads a few entries.
 3. Each text's ids are its pieces' ids in order; decoding concatenates the binary pieces of the ids.
 
-Blocks never cross tasks, so nothing is shuffled, collected or broadcast but the vocabulary, whatever the input. A
+Pieces never leave their task, so nothing is shuffled, collected or broadcast but the vocabulary, whatever the input; what
+a task keeps is bounded by its split of the input. A
 piece of more than LONG bytes is merged with a heap instead of a fold (same ranks, same result), as a fold over n
 bytes takes n * n steps.
 
@@ -22,6 +23,7 @@ import json
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -32,9 +34,10 @@ from pyspark.sql import functions as F
 from . import common
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
-BLOCK_BYTES = 8 << 20
-BUCKETS = 1 << 14
+BLOCK_BYTES = 4 << 20
+BUCKETS = 1 << 16
 LONG = 512
+NONE = (1 << 31) - 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -63,31 +66,35 @@ def rank_of(table: Column, token: Column) -> Column:
 
 
 def merged(table: Column, piece: Column) -> Column:
-    """Ids of one piece: its own rank, or its bytes after merging the pair of least rank again and again."""
-    parts = F.transform(F.sequence(F.lit(1), F.octet_length(piece)), lambda i: F.substring(piece, i, F.lit(1)))
-
-    def pairs(p: Column) -> Column:
-        return F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p) - 1), lambda a, b: rank_of(table, F.concat(a, b)))
-
-    def step(acc: Column, _: Column) -> Column:
-        at = F.array_position(acc["ranks"], F.array_min(acc["ranks"])).cast("int")
-        return F.when(F.array_min(acc["ranks"]).isNull(), acc).otherwise(bound(at, lambda k: join_at(acc["parts"], acc["ranks"], k)))
-
-    def join_at(p: Column, r: Column, k: Column) -> Column:
-        both = F.concat(p[k - 1], p[k])
-        left = F.when(k > 1, F.array(rank_of(table, F.concat(F.get(p, k - 2), both)))).otherwise(F.array().cast("array<int>"))
-        right = F.when(k < F.size(r), F.array(rank_of(table, F.concat(both, F.get(p, k + 1))))).otherwise(F.array().cast("array<int>"))
-        parts = F.concat(F.slice(p, F.lit(1), k - 1), F.array(both), F.slice(p, k + 2, F.size(p)))
-        ranks = F.concat(F.slice(r, F.lit(1), F.greatest(k - 2, F.lit(0))), left, right, F.slice(r, k + 2, F.size(r)))
-        return F.struct(parts.alias("parts"), ranks.alias("ranks"))
-
-    folded = F.aggregate(
-        F.sequence(F.lit(2), F.octet_length(piece)),
-        F.struct(parts.alias("parts"), pairs(parts).alias("ranks")),
-        step,
-        lambda acc: F.transform(acc["parts"], lambda t: rank_of(table, t)),
-    )
-    return bound(rank_of(table, piece), lambda whole: F.when(whole.isNotNull() | (F.octet_length(piece) < 2), F.array(whole)).otherwise(folded))
+    """Ids of one piece: its own rank, or its parts after merging the pair of least rank again and again.
+
+    The state of the fold is the borders between parts, each as rank of what it divides * 2**16 + place; a merge drops the least
+    border, which is the first of equal rank, and ranks its two neighbours anew.
+    """
+    size, shift = F.octet_length(piece), F.lit(1 << 16).cast("long")
+
+    def divided(low: Column, high: Column) -> Column:
+        return F.coalesce(rank_of(table, F.substring(piece, low + 1, high - low)), F.lit(NONE))
+
+    def place(border: Column) -> Column:
+        return border.bitwiseAND(F.lit((1 << 16) - 1).cast("long")).cast("int")
+
+    def ranked(borders: Column, at: Column, i: Column) -> Column:
+        low, high = F.coalesce(place(F.get(borders, i - 1)), F.lit(0)), F.coalesce(place(F.get(borders, i + 1)), size)
+        return divided(low, high) * shift + at
+
+    def without(borders: Column, gone: Column) -> Column:
+        k = F.array_position(borders, gone).cast("int")
+        left = F.filter(borders, lambda b: b != gone)
+        return bound(k, lambda at: bound(left, lambda s: F.transform(s, lambda b, i: F.when((i == at - 1) | (i == at - 2), ranked(s, place(b), i)).otherwise(b))))
+
+    def step(borders: Column, _: Column) -> Column:
+        return bound(F.array_min(borders), lambda least: F.when(least < F.lit(NONE << 16), without(borders, least)).otherwise(borders))
+
+    first = F.transform(F.sequence(F.lit(1), size - 1), lambda i: divided(i - 1, i + 1) * shift + i)
+    ends = F.aggregate(F.sequence(F.lit(2), size), first, step, lambda b: F.array_append(F.transform(b, place), size))
+    parts = bound(ends, lambda e: F.transform(e, lambda end, i: divided(F.coalesce(F.get(e, i - 1), F.lit(0)), end)))
+    return bound(rank_of(table, piece), lambda whole: F.when(whole.isNotNull() | (size < 2), F.array(whole)).otherwise(parts))
 
 
 def merge_long(ranks: dict[bytes, int], piece: bytes) -> list[int]:
@@ -124,30 +131,33 @@ def merge_long(ranks: dict[bytes, int], piece: bytes) -> list[int]:
 
 
 def split_blocks(pattern: str):
-    """Batches of (doc_id, text) -> blocks of texts with their distinct pieces."""
+    """Batches of (doc_id, text) -> blocks of texts, each with the pieces that its task has not met before."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         find = regex.compile(pattern).findall
+        place: dict[str, int] = defaultdict()
+        place.default_factory = place.__len__
+        known = 0
         for batch in batches:
             _, offsets = common.text_buffer(batch.column("text"))
             first = 0
             while first < batch.num_rows:
                 end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + BLOCK_BYTES, "right")) - 1)
-                place: dict[str, int] = defaultdict()
-                place.default_factory = place.__len__
                 sizes, stream = [], []
-                for text in batch.column("text").slice(first, end - first):
-                    pieces = find(text.as_py() or "")
+                for text in batch.column("text").slice(first, end - first).to_pylist():
+                    pieces = find(text or "")
                     sizes.append(len(pieces))
                     stream.append(np.fromiter(map(place.__getitem__, pieces), np.int32, len(pieces)))
+                new = [p.encode() for p in islice(place, known, None)]
+                known = len(place)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([batch.column("doc_id").slice(first, end - first).to_pylist()], pa.list_(pa.int64())),
                         pa.array([sizes], pa.list_(pa.int32())),
                         pa.array([np.concatenate(stream).tobytes()], pa.binary()),
-                        pa.array([[p.encode() for p in place]], pa.list_(pa.binary())),
+                        pa.array([new], pa.list_(pa.binary())),
                     ],
                     ["doc_ids", "sizes", "stream", "pieces"],
                 )
@@ -156,6 +166,47 @@ def split_blocks(pattern: str):
     return split
 
 
+class Codes:
+    """Ids of the pieces met so far, flat, and the bytes of the vocabulary's tokens, flat."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
+        tokens = sorted((rank, token) for token, rank in ranks.items())
+        width = tokens[-1][0] + 1 if tokens else 0
+        self.token_size = np.zeros(width, np.int64)
+        self.token_size[[r for r, _ in tokens]] = [len(t) for _, t in tokens]
+        self.token_at = np.cumsum(self.token_size) - self.token_size
+        self.token_bytes = np.frombuffer(b"".join(t for _, t in tokens), np.uint8)
+        self.flat, self.at, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, pieces: pa.Array, codes: pa.ListArray) -> None:
+        size = codes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = codes.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+        at = np.cumsum(size) - size + len(self.flat)
+        extra, end = [self.flat, flat], len(self.flat) + len(flat)
+        for k in np.flatnonzero(codes.is_null().to_numpy(zero_copy_only=False)):
+            ids = np.array(merge_long(self.ranks, pieces[int(k)].as_py()), np.int32)
+            extra.append(ids)
+            at[k], size[k] = end, len(ids)
+            end += len(ids)
+        self.flat, self.at, self.size = np.concatenate(extra), np.concatenate([self.at, at]), np.concatenate([self.size, size])
+
+    def ids(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces one after another, and each piece's number of ids."""
+        n = self.size[places]
+        return self.flat[_gather(self.at[places], n)], n
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids' binary pieces one after another, and each one's length."""
+        n = self.token_size[ids]
+        return self.token_bytes[_gather(self.token_at[ids], n)], n
+
+
+def _gather(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """at[0] .. at[0] + n[0] - 1, at[1] .. and so on."""
+    return np.repeat(at - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """(doc_id, ids array<int>, decoded binary): the ids of every whole text, and the bytes they decode to."""
     held = documents.sparkSession.sparkContext.broadcast(ranks)  # one vocabulary, fixed in size
@@ -168,32 +219,24 @@ def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str = public_
     )
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        binary = {rank: token for token, rank in held.value.items()}
+        known = Codes(held.value)
         for batch in batches:
             for row in range(batch.num_rows):
-                pieces = batch.column("pieces")[row].as_py()
-                codes = [c if c is not None else merge_long(held.value, p) for c, p in zip(batch.column("codes")[row].as_py(), pieces, strict=True)]
-                flat = np.array([i for c in codes for i in c], np.int32)
-                lengths = np.array([len(c) for c in codes], np.int64)
-                starts = np.cumsum(lengths) - lengths
-                plain = [b"".join(map(binary.__getitem__, c)) for c in codes]
+                known.add(batch.column("pieces")[row].values, batch.column("codes")[row].values)
                 stream = np.frombuffer(batch.column("stream")[row].as_buffer(), np.int32)
-                doc_ids, at = batch.column("doc_ids")[row].as_py(), 0
-                sizes = batch.column("sizes")[row].as_py()
-                step = 512  # texts handed on at a time
+                doc_ids, sizes = batch.column("doc_ids")[row].values, batch.column("sizes")[row].values.to_numpy()
+                ends = np.cumsum(sizes)
+                step = 256  # texts handed on at a time
                 for first in range(0, len(sizes), step):
-                    ids, decoded = [], []
-                    for size in sizes[first : first + step]:
-                        places = stream[at : at + size]
-                        at += size
-                        n = lengths[places]
-                        total = int(n.sum())
-                        ids.append(flat[np.repeat(starts[places] - (np.cumsum(n) - n), n) + np.arange(total)])
-                        decoded.append(b"".join(map(plain.__getitem__, places.tolist())))
-                    cuts = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
+                    n_docs = len(sizes[first : first + step])
+                    places = stream[ends[first] - sizes[first] : ends[first + n_docs - 1]]
+                    ids, n = known.ids(places)
+                    cuts = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], ends[first : first + n_docs] - ends[first] + sizes[first]])]
+                    data, size = known.decode(ids)
+                    borders = np.concatenate([[0], np.cumsum(size)])[cuts]
+                    decoded = pa.Array.from_buffers(pa.binary(), n_docs, [None, pa.py_buffer(borders.astype(np.int32)), pa.py_buffer(data)])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(doc_ids[first : first + step], pa.int64()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(ids))), pa.array(decoded, pa.binary())],
-                        ["doc_id", "ids", "decoded"],
+                        [doc_ids.slice(first, n_docs), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids)), decoded], ["doc_id", "ids", "decoded"]
                     )
 
     return folded.mapInArrow(gather, "doc_id long, ids array<int>, decoded binary")
