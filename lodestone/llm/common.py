@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: Bytes of text that a Python worker hashes at a time; longer texts are taken alone.
 CHUNK_BYTES = 1 << 20
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Fallback for sessions without spark.checkpoint.dir (tests on one machine).
 LOCAL_CHECKPOINT_DIR = "/tmp/lodestone-checkpoints"
 
@@ -31,10 +33,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """`df` as a table written to the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lodestone/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries that end in here leave no shuffle files: what they wrote is a table, which needs them no more."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes tables made by `written` that no later step reads."""
     for df in frames:

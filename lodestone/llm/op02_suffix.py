@@ -115,7 +115,8 @@ class LevelIndex:
 
     def _store(self, entries: DataFrame, size: int) -> tuple[int, str]:
         name = f"lodestone_level_{uuid.uuid4().hex}"
-        entries.write.format("parquet").bucketBy(self.buckets, "key").sortBy("key").saveAsTable(name)
+        with common.shuffles_dropped(self.spark):
+            entries.write.format("parquet").bucketBy(self.buckets, "key").sortBy("key").saveAsTable(name)
         return size, name
 
     def _merge(self) -> None:
@@ -230,8 +231,8 @@ def repeats(documents: DataFrame, batches: int = BATCHES) -> DataFrame:
     common.discard(*logs)
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("sigs")).where("sigs > 1")
     several = entries.join(shared, "key").select("key", "sig", "doc", "h", "start", "n", "sigs")
-    texts = several.join(source, ["doc", "h"])
-    segs = texts.dropDuplicates(["key", "sig"]).select("key", "sig", "n", "sigs", F.substring(F.col("text").cast("binary"), F.col("start") + 1, F.col("n") + LENGTH - 1).alias("bytes"))
+    cut = F.substring(F.col("text").cast("binary"), F.col("start") + 1, F.col("n") + LENGTH - 1).alias("bytes")
+    segs = several.join(source, ["doc", "h"]).select("key", "sig", "n", "sigs", cut).dropDuplicates(["key", "sig"])
     segs = common.written(segs, "segments")
     partial = partial_runs(segs)
     runs = partial.unionByName(entries.where("whole").select("key", "sig", F.lit(0).alias("first"), F.col("n").alias("count")))
