@@ -92,7 +92,7 @@ def utf16_units(text: Column) -> Column:
 
 def code_blocks(text: Column) -> Column:
     """Distinct bodies of fenced blocks, in order, without a leading language name."""
-    return F.array_distinct(F.transform(found(text, r"(?s)```[a-z]*\n?(.*?)```", 1), lambda b: F.trim(F.regexp_replace(b, r"^query\s+", ""))))
+    return F.array_distinct(F.transform(found(text, r"(?s)```[a-z]*\n?(.*?)```", 1), lambda b: F.regexp_replace(F.regexp_replace(b, r"^query\s+", ""), r"^\s+|\s+$", "")))
 
 
 def json_object(text: Column) -> Column:
@@ -103,7 +103,7 @@ def json_object(text: Column) -> Column:
 def fenced_json(text: Column) -> Column:
     """Body of a ```json fence, of any fence, or the trimmed text."""
     body = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
-    return F.trim(F.coalesce(body(r"(?s)```json\s*(.*?)```"), body(r"(?s)```\s*(.*?)```"), text))
+    return F.regexp_replace(F.coalesce(body(r"(?s)```json\s*(.*?)```"), body(r"(?s)```\s*(.*?)```"), text), r"^\s+|\s+$", "")
 
 
 def aliases(text: Column) -> Column:

@@ -52,5 +52,7 @@ def session_totals(events: DataFrame, gap: str = "3600 seconds", late: str = "10
 
 
 def once(events: DataFrame, key: str = "event_id", late: str = "10 minutes") -> DataFrame:
-    """Events without repeats of a key within the watermark."""
+    """Events without repeats of a key: within the watermark of a stream, or in the whole of a batch."""
+    if not events.isStreaming:
+        return events.dropDuplicates([key])
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark([key])

@@ -1,0 +1,103 @@
+"""Hand-derived values for column functions."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.functions import intent, text, vectors
+from lodestone.operators import conversation, evaluation, graph, pii, relational, retrieval
+
+
+def one(spark, value):
+    return spark.range(1).select(value.alias("v")).first()["v"]
+
+
+@pytest.mark.parametrize(
+    ("make", "want"),
+    [
+        (lambda: text.slug(F.lit("  Hello, World! ")), "hello-world"),
+        (lambda: text.slug(F.lit("!!!")), "item"),
+        (lambda: text.node_id(F.lit("A  b--C")), "a_b_c"),
+        (lambda: text.script_of(F.lit("한글 and")), "mixed"),
+        (lambda: text.script_of(F.lit("한글")), "ko"),
+        (lambda: text.script_of(F.lit("12")), None),
+        (lambda: text.cut(F.lit("abcdef"), 3), "abc..."),
+        (lambda: text.cut(F.lit("abc"), 3), "abc"),
+        (lambda: text.masked_key(F.lit("sk-123456")), "****3456"),
+        (lambda: text.without_times(F.lit("errors in the last 3 days from host a")), "errors from host a"),
+        (lambda: text.word_count(F.lit("  ")), 0),
+        (lambda: text.utf16_units(F.lit("가😀")), 3),
+        (lambda: text.json_object(F.lit('x {"a": {"b": 1}} y')), '{"a": {"b": 1}}'),
+        (lambda: text.json_object(F.lit("none")), None),
+        (lambda: text.fenced_json(F.lit("a ```json\n{}\n``` b")), "{}"),
+        (lambda: text.aliases(F.lit("a| b;;c")), ["a", "b", "c"]),
+        (lambda: text.code_blocks(F.lit("```query table x``` and ```\ny\n``` ```y```")), ["table x", "y"]),
+        (lambda: text.bigrams(F.split(F.lit("a b c"), " ")), ["a b", "b c"]),
+        (lambda: text.bigrams(F.split(F.lit("a"), " ")), []),
+        (lambda: text.without_tags(F.lit("<p>a&amp;b</p><script>x</script> c")), "a&b c"),
+        (lambda: text.security_ids(F.lit("CWE-079 cve-2021-44228 T1059.001 G0016 CAPEC 66"))["all_ids"], ["CAPEC-66", "CWE-79", "CVE-2021-44228", "T1059", "T1059.001", "G0016"]),
+        (lambda: text.security_ids(F.lit(None).cast("string"))["all_ids"], []),
+        (lambda: text.brand_of_file(F.lit("query-acme-command.yaml"))["command_name"], "acme"),
+        (lambda: text.without_blobs(F.concat(F.lit("a "), F.repeat(F.lit("x"), 600))), "a [data]"),
+        (lambda: vectors.cosine(F.array(F.lit(0.0), F.lit(0.0)), F.array(F.lit(1.0), F.lit(0.0))), 0.0),
+        (lambda: vectors.maxsim(F.array(F.array(F.lit(1.0), F.lit(0.0))), F.array(F.array(F.lit(0.5), F.lit(1.0)), F.array(F.lit(0.9), F.lit(0.0)))), 0.9),
+        (lambda: vectors.unit(F.array(F.lit(3.0), F.lit(4.0))), [0.6, 0.8]),
+        (lambda: vectors.max_normalised(F.create_map(F.lit(1), F.lit(2.0), F.lit(2), F.lit(4.0))), {1: 0.5, 2: 1.0}),
+        (lambda: intent.best((F.lit(0.4), F.lit(0.4), F.lit(0.2))), "qna"),
+        (lambda: intent.multi((F.lit(0.5), F.lit(0.3), F.lit(0.2))), True),
+        (lambda: relational.ip_number(F.lit("10.0.0.256")), None),
+        (lambda: relational.ip_number(F.lit("0.0.1.1")), 257),
+        (lambda: relational.allowed(F.lit("10.1.2.3"), F.array(F.lit("bad"), F.lit("10.0.0.0/8"))), True),
+        (lambda: relational.allowed(F.lit("11.1.2.3"), F.array(F.lit("10.0.0.0/8"), F.lit("1.1.1.1/32"))), False),
+        (lambda: relational.allowed(F.lit("x"), F.array(F.lit("0.0.0.0/0"))), False),
+        (lambda: relational.allowed(F.lit("x"), F.array().cast("array<string>")), True),
+        (lambda: evaluation.weighted_score(F.create_map(F.lit("5"), F.lit(80.0), F.lit("1"), F.lit(20.0))), 4.2),
+        (lambda: evaluation.verdict(F.lit("```query table x | where a```"), F.lit("QNA")), ["where_in_query"]),
+        (lambda: evaluation.verdict(F.lit("<|channel|> hi"), F.lit("QNA")), ["token_leak"]),
+    ],
+)
+def test_value(spark, make, want):
+    got = one(spark, make())
+    numbers = isinstance(want, float) or (isinstance(want, list) and all(isinstance(x, float) for x in want))
+    assert got == (pytest.approx(want) if numbers else want)
+
+
+def test_budgets():
+    assert retrieval.budgets(10) == {"dense": 45, "sparse": 45, "multi": 10}
+    assert retrieval.budgets(10, three_way=False) == {"dense": 135, "sparse": 165}
+
+
+def test_history_steps(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "user", "a"), (1, 2, "user", " "), (1, 3, "user", "a"), (1, 4, "bot", "b" * 30)], "conv_id int, turn int, role string, text string")
+    assert [r.turn for r in conversation.cleaned(turns).orderBy("turn").collect()] == [0, 4]
+    assert [r.turn for r in conversation.within_budget(turns, 7).collect()] == [4, 3, 2, 1, 0]
+    assert [r.turn for r in conversation.within_budget(turns, 6).collect()] == []
+
+
+def test_diff_and_merge(spark):
+    old = spark.createDataFrame([(1, "a", True), (2, "b", True), (3, "c", True)], "k int, h string, enabled boolean")
+    new = spark.createDataFrame([(2, "x", True), (3, "c", False), (4, "d", True)], "k int, h string, enabled boolean")
+    assert {r.k: r.change for r in relational.diff(old, new, "k", "h", "enabled").collect()} == {1: "deleted", 2: "updated", 3: "toggled", 4: "created"}
+    assert {r.k: r.h for r in relational.upsert(old, new, "k").collect()} == {1: "a", 2: "x", 3: "c", 4: "d"}
+
+
+def test_graph(spark):
+    nodes = spark.createDataFrame([(1, "a", None, ["x"], "p"), (2, "a", "ko", ["y", "x"], "q")], "ord int, id string, name_ko string, aliases array<string>, properties string")
+    r = graph.merged_nodes(nodes).first()
+    assert (r.name_ko, r.aliases, r.properties) == ("ko", ["x", "y"], "q")
+    edges = spark.createDataFrame([(1, "a", "b", "t"), (2, "a", "a", "t"), (3, "a", "a", "t")], "ord int, source string, target string, type string")
+    assert [e.ord for e in graph.valid_edges(edges, nodes).collect()] == [2]
+    names = spark.createDataFrame([(1, "firewall rule"), (2, "firewall rules"), (3, "database")], "id long, name string")
+    assert [(r.a, r.b) for r in graph.similar_names(names).collect()] == [(1, 2)]
+
+
+def test_masks(spark):
+    rows = [(1, 0, "mail a@b.org and a@b.org, card 4111 1111 1111 1111"), (1, 1, "c@d.org then a@b.org"), (2, 0, "nothing"), (2, 1, None)]
+    turns = spark.createDataFrame(rows, "conv_id int, turn int, text string")
+    out = pii.masked(turns).select("conv_id", "turn", "text", pii.unmasked(F.col("text"), F.col("marks")).alias("back")).collect()
+    assert {(r.conv_id, r.turn): r.back for r in out} == {(a, b): c for a, b, c in rows}
+    text_of = {(r.conv_id, r.turn): r.text for r in out}
+    assert text_of[1, 0] == "mail <EMAIL_1> and <EMAIL_1>, card <CARD_1>"
+    assert text_of[1, 1] == "<EMAIL_2> then <EMAIL_1>"
+    assert pii.luhn([4, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1])
