@@ -37,8 +37,9 @@ from . import common, hashing
 LENGTH = 200
 K = 24
 BATCHES = 4
-HEAVY = 256
+HEAVY = 32768
 GROUP_ROWS = 1024
+SORTED_WINDOWS = 1 << 17
 SECOND_BASE = 0xC2B2AE3D27D4EB4F | 1
 ENTRY = "key long, sig long, doc long, h long, start int, n int, copies long"
 
@@ -170,17 +171,25 @@ def _windows(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated_windows(t: pa.Table) -> pa.Table:
-    """One suffix array over the windows of a group's segments, cut at LENGTH bytes; equal neighbours are repeated."""
+    """Suffix arrays over those windows of a group's segments whose hash repeats, cut at LENGTH bytes; equal neighbours are repeated."""
     data, begin = common.text_buffer(t.column("bytes"))
     data = data + np.uint8(1)  # UTF-8 has no byte 255: no zero bytes, which numpy's strings would drop
     n = t.column("n").to_numpy().astype(np.int64)
     segment, offset = _windows(n)
+    starts = begin[segment] + offset
+    hashes = hashing.span_hashes(hashing.prefix_sums(data), starts, starts + LENGTH)
+    order = np.argsort(hashes, kind="stable")
+    twice = np.flatnonzero(hashes[order[1:]] == hashes[order[:-1]])
+    maybe = np.unique(np.concatenate([order[twice], order[twice + 1]]))
+    passes = max(1, -(-len(maybe) // SORTED_WINDOWS))
     view = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
-    suffix = np.ascontiguousarray(view[begin[segment] + offset]).view(f"S{LENGTH}").ravel()
-    order = np.argsort(suffix, kind="stable")
-    same = suffix[order[1:]] == suffix[order[:-1]]
-    flags = np.zeros(len(suffix), bool)
-    flags[order[1:][same]] = flags[order[:-1][same]] = True
+    flags = np.zeros(len(starts), bool)
+    for k in range(passes):  # equal windows meet in one pass
+        part = maybe[hashes[maybe] % np.uint64(passes) == k]
+        suffix = np.ascontiguousarray(view[starts[part]]).view(f"S{LENGTH}").ravel()
+        order = np.argsort(suffix, kind="stable")
+        same = suffix[order[1:]] == suffix[order[:-1]]
+        flags[part[order[1:][same]]] = flags[part[order[:-1][same]]] = True
     s, first, count = runs_of(flags, segment, offset)
     return pa.table({"key": t.column("key").to_numpy()[s], "sig": t.column("sig").to_numpy()[s], "first": first.astype(np.int32), "count": count.astype(np.int32)})
 
@@ -202,7 +211,7 @@ def partial_runs(segs: DataFrame) -> DataFrame:
     groups = F.pmod(F.xxhash64("key"), F.greatest(F.lit(1), F.lit(max(64, segs.count() // GROUP_ROWS)))).alias("g")
     light = segs.where(F.col("sigs") <= HEAVY).select(groups, "key", "sig", "n", "bytes")
     found = light.groupBy("g").applyInArrow(repeated_windows, "key long, sig long, first int, count int")
-    windows = segs.where(F.col("sigs") > HEAVY).select("key", "sig", "bytes").mapInArrow(window_hashes, "a long, b long, key long, sig long, off int")
+    windows = segs.where(F.col("sigs") > HEAVY).select("key", "sig", "bytes").repartition("key", "sig").mapInArrow(window_hashes, "a long, b long, key long, sig long, off int")
     # A window of a segment is seen once in it, so two rows of one hash are two places.
     twice = windows.groupBy("a", "b", "key").agg(F.min(F.struct("sig", "off")).alias("x"), F.max(F.struct("sig", "off")).alias("y")).where("x != y").select("a", "b", "key")
     heavy = windows.join(twice, ["a", "b", "key"], "left_semi").select("key", "sig", F.col("off").alias("first"), F.lit(1).alias("count"))

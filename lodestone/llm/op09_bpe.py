@@ -38,6 +38,8 @@ BLOCK_BYTES = 4 << 20
 BUCKETS = 1 << 16
 LONG = 512
 NONE = (1 << 31) - 1
+#: Splits of the input that one task takes, if each core still has two tasks: pieces are folded once for each task.
+SPLITS = 4
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -209,8 +211,11 @@ def _gather(at: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """(doc_id, ids array<int>, decoded binary): the ids of every whole text, and the bytes they decode to."""
-    held = documents.sparkSession.sparkContext.broadcast(ranks)  # one vocabulary, fixed in size
-    blocks = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+    context = documents.sparkSession.sparkContext
+    held = context.broadcast(ranks)  # one vocabulary, fixed in size
+    parts = documents.rdd.getNumPartitions()
+    tasks = max(1, min(parts, 2 * context.defaultParallelism), -(-parts // SPLITS))
+    blocks = documents.coalesce(tasks).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         split_blocks(pattern), "doc_ids array<long>, sizes array<int>, stream binary, pieces array<binary>"
     )
     folded = blocks.withColumn(
