@@ -112,7 +112,7 @@ def decontaminate_by_hand(rows, items, size=10):
     return out
 
 
-@pytest.mark.parametrize("block", [200, 24 << 20])
+@pytest.mark.parametrize("block", [6000, 24 << 20])
 def test_decontamination(spark, docs, block):
     items = [(1, corpus()[3][1]), (2, "two words"), (3, ""), (4, None), (11, "the OF and"), (1, "Of of of of of of of of of of of of")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
