@@ -92,7 +92,7 @@ def utf16_units(text: Column) -> Column:
 
 def code_blocks(text: Column) -> Column:
     """Distinct bodies of fenced blocks, in order, without a leading language name."""
-    return F.array_distinct(F.transform(found(text, r"(?s)```[a-z]*\n?(.*?)```", 1), lambda b: F.regexp_replace(F.regexp_replace(b, r"^query\s+", ""), r"^\s+|\s+$", "")))
+    return F.array_distinct(F.transform(found(text, r"(?s)```(?:[a-z]+(?=\s))?\n?(.*?)```", 1), lambda b: F.regexp_replace(F.regexp_replace(b, r"^query\s+", ""), r"^\s+|\s+$", "")))
 
 
 def json_object(text: Column) -> Column:
@@ -107,7 +107,7 @@ def fenced_json(text: Column) -> Column:
 
 
 def aliases(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"[|;,]"), F.trim), lambda a: F.length(a) > 0)
+    return F.filter(F.transform(F.split(text, r"[|;,]"), lambda a: F.trim(a)), lambda a: F.length(a) > 0)
 
 
 def labelled_text(parts: list[tuple[str, Column]], size: int = 6000) -> Column:
