@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from lodestone.llm import common, op06_decontaminate, op07_jaccard, op08_toxicity, op09_bpe, op10_secrets
 
 TOXIC = 0.5
+#: The near-copy stage: texts that share 80 of 100 of their 5-word shingles are one class.
+SHINGLE, NUM, DEN = 5, 80, 100
 SCORE = "__toxicity"
 
 
@@ -29,7 +31,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = op07_jaccard.jaccard_classes(docs)
+    classes = op07_jaccard.jaccard_classes(docs, size=SHINGLE, num=NUM, den=DEN)
     stays = classes.where("doc = first_doc AND h = first_h").select(F.col("doc").alias("__doc"), F.col("h").alias("__h")).distinct()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(op07_jaccard.NO_ID)), "__h": F.xxhash64(text)})

@@ -1,11 +1,13 @@
 """N-gram Jaccard join: exact links of texts whose shingle sets have a Jaccard distance of at most EPS, and their classes.
 
+Shingle size and threshold are parameters; EPS is 1 - num / den. The defaults, 3 words and 90/100, are the figures of the op7 query.
+
 The Jaccard distance is a metric, but nearly all pairs of texts are at distance 1 from each other, so pivots tell
 nothing about texts that resemble no pivot. Two exact steps therefore come before the metric join:
-- isolation: a text of n shingles linked with another has at most n - ceil(0.9 n) shingles of its own. Shingles are counted
+- isolation: a text of n shingles linked with another has at most n - ceil(n num / den) shingles of its own. Shingles are counted
   by a fixed share of their hashes (1 in SAMPLE, over all texts); a text with more shingles of its own than that has no
   link and is done. What the share can't tell stays in the join, so nothing is lost.
-- regions: the texts left are ordered by their rarest shingles; linked texts share one of the first n - ceil(0.9 n) + 1.
+- regions: the texts left are ordered by their rarest shingles; linked texts share one of the first n - ceil(n num / den) + 1.
   The least text with such a shingle is the pivot of all texts with it.
 The metric join then works on regions. Every text's exact distance from its region's pivot is computed. Texts within EPS
 are linked with the pivot, and so with each other. By the triangle inequality other links join texts whose distances
@@ -67,27 +69,27 @@ def set_id(shingles: np.ndarray) -> int:
         return int(hashing.mix((hashing.mix(shingles).sum(dtype=np.uint64) + np.uint64(len(shingles))).reshape(1)).view(np.int64)[0])
 
 
-def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, list[np.ndarray]]]:
+def _each(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, int, list[np.ndarray]]]:
     for batch in batches:
         data, offsets = common.text_buffer(batch.column("text"))
         for first, _, part, at in common.chunks(data, offsets):
-            yield batch, first, shingle_sets(part, at)
+            yield batch, first, shingle_sets(part, at, size)
 
 
-def id_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, first, sets in _each(batches):
+def id_rows(batches: Iterator[pa.RecordBatch], size: int = SIZE) -> Iterator[pa.RecordBatch]:
+    for batch, first, sets in _each(batches, size):
         yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, len(sets)) for c in ("doc", "h")), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["doc", "h", "sid", "n"])
 
 
-def sampled_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, _, sets in _each(batches):
+def sampled_rows(batches: Iterator[pa.RecordBatch], size: int = SIZE) -> Iterator[pa.RecordBatch]:
+    for _, _, sets in _each(batches, size):
         kept = [s[s % np.uint64(SAMPLE) == 0] for s in sets]
         owner = np.repeat(np.array([set_id(s) for s in sets], np.int64), [len(k) for k in kept])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kept).view(np.int64)), pa.array(owner)], ["shingle", "sid"])
 
 
-def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, _, sets in _each(batches):
+def set_rows(batches: Iterator[pa.RecordBatch], size: int = SIZE) -> Iterator[pa.RecordBatch]:
+    for _, _, sets in _each(batches, size):
         cuts = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(sets).view(np.int64)))], ["sid", "shingles"])
 
@@ -97,31 +99,31 @@ def sources(documents: DataFrame) -> DataFrame:
     return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
-def prefix(n: Column) -> Column:
+def prefix(n: Column, num: int = NUM, den: int = DEN) -> Column:
     """One more than the shingles that a linked text of n may have to itself."""
-    return n - F.ceil(n * NUM / DEN) + 1
+    return n - F.ceil(n * num / den) + 1
 
 
-def crowded(source: DataFrame, sets: DataFrame) -> DataFrame:
+def crowded(source: DataFrame, sets: DataFrame, size: int = SIZE, num: int = NUM, den: int = DEN) -> DataFrame:
     """The rows of `sets` (sid, n, doc, h) that isolation can't tell to be without links."""
-    seen = source.mapInArrow(sampled_rows, "shingle long, sid long").groupBy("shingle").agg(F.min("sid").alias("sid"), F.max("sid").alias("other"))
+    seen = source.mapInArrow(lambda batches: sampled_rows(batches, size), "shingle long, sid long").groupBy("shingle").agg(F.min("sid").alias("sid"), F.max("sid").alias("other"))
     own = seen.where("sid = other").groupBy("sid").agg(F.count(F.lit(1)).alias("own"))
-    return sets.join(own, "sid", "left").where(F.coalesce("own", F.lit(0)) < prefix(F.col("n"))).drop("own")
+    return sets.join(own, "sid", "left").where(F.coalesce("own", F.lit(0)) < prefix(F.col("n"), num, den)).drop("own")
 
 
-def region_members(sets: DataFrame) -> DataFrame:
+def region_members(sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """(rid, sid, pivot): sets (sid, n, shingles) by the pivots of their rarest shared shingles."""
     each = sets.select("sid", "n", F.explode("shingles").alias("s"))
     shared = each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     kept = each.join(shared, "s")
     by_set = Window.partitionBy("sid")
     rank = F.row_number().over(by_set.orderBy("df", "s")) + F.col("n") - F.count(F.lit(1)).over(by_set)
-    keys = common.written(kept.withColumn("rank", rank).where(F.col("rank") <= prefix(F.col("n"))).select("s", "sid"), "keys")
+    keys = common.written(kept.withColumn("rank", rank).where(F.col("rank") <= prefix(F.col("n"), num, den)).select("s", "sid"), "keys")
     pivots = keys.groupBy("s").agg(F.min("sid").alias("pivot"), F.max("sid").alias("most")).where("pivot != most").select("s", "pivot")
     return keys.join(pivots, "s").select(F.col("pivot").alias("rid"), "sid", "pivot").distinct()
 
 
-def distances(members: DataFrame, sets: DataFrame) -> DataFrame:
+def distances(members: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """Adds d, the exact Jaccard distance of each member from its region's pivot, and linked."""
     one = sets.select("sid", F.col("n").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("sid").alias("pivot"), F.col("n").alias("b"), F.col("shingles").alias("y"))
@@ -129,19 +131,19 @@ def distances(members: DataFrame, sets: DataFrame) -> DataFrame:
     pairs = members.where("sid != pivot").select("sid", "pivot").distinct().join(one, "sid").join(two, "pivot")
     pairs = pairs.select("sid", "pivot", (F.col("a") + F.col("b")).alias("total"), both.alias("i"))
     union = F.col("total") - F.col("i")
-    found = pairs.select("sid", "pivot", (1 - F.col("i") / union).alias("d"), (DEN * F.col("i") >= NUM * union).alias("linked"))
+    found = pairs.select("sid", "pivot", (1 - F.col("i") / union).alias("d"), (den * F.col("i") >= num * union).alias("linked"))
     return members.join(found, ["sid", "pivot"])
 
 
-def rings(measured: DataFrame) -> DataFrame:
+def rings(measured: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """(rid, sid, d, home): regions of the rings around each pivot; ring 0, whose texts are linked, has none."""
-    width = 1 - NUM / DEN + 1e-9
+    width = 1 - num / den + 1e-9
     ring = F.floor(F.col("d") / width)
     out = measured.select("rid", "sid", "d", "linked", ring.alias("ring"), F.explode(F.array(ring, ring + 1)).alias("to")).where("to > 0")
     return out.select(F.xxhash64("rid", "to").alias("rid"), "sid", "d", "linked", (F.col("ring") == F.col("to")).alias("home"))
 
 
-def joined_in_task(t: pa.Table) -> pa.Table:
+def joined_in_task(t: pa.Table, num: int = NUM, den: int = DEN) -> pa.Table:
     """Links between classes of one region of at most LEAF sets: enough of them to hold its classes together."""
     out: list[tuple[int, int]] = []
     d = t.column("d").to_numpy()
@@ -166,34 +168,34 @@ def joined_in_task(t: pa.Table) -> pa.Table:
             shared = np.array([common_size(p, j) for j in range(len(sets))])
             table.append(1 - shared / (size[p] + size - shared))
     table = np.array(table)
-    eps = 1 - NUM / DEN + 1e-9
+    eps = 1 - num / den + 1e-9
     for i in range(len(sets)):
         end = np.searchsorted(d, d[i] + eps, "right")
         rest = np.arange(i + 1, end)
-        rest = rest[(root[rest] != root[i]) & (DEN * np.minimum(size[rest], size[i]) >= NUM * np.maximum(size[rest], size[i]))]
+        rest = rest[(root[rest] != root[i]) & (den * np.minimum(size[rest], size[i]) >= num * np.maximum(size[rest], size[i]))]
         rest = rest[(np.abs(table[:, rest] - table[:, [i]]) <= eps).all(0)]
         for j in rest:
             if root[i] == root[j]:
                 continue
             shared = common_size(i, j)
-            if DEN * shared >= NUM * (size[i] + size[j] - shared):
+            if den * shared >= num * (size[i] + size[j] - shared):
                 out.append((int(sid[i]), int(sid[j])))
                 root[root == root[j]] = root[i]
     return pa.table({"u": pa.array([a for a, _ in out], pa.int64()), "v": pa.array([b for _, b in out], pa.int64())})
 
 
-def set_links(sets: DataFrame, leaf: int = LEAF) -> DataFrame:
+def set_links(sets: DataFrame, leaf: int = LEAF, num: int = NUM, den: int = DEN) -> DataFrame:
     """(u, v): links of sets (sid, n, shingles) that hold every class together."""
-    members, links = region_members(sets), []
+    members, links = region_members(sets, num, den), []
     while True:
-        measured = common.written(distances(members, sets), "distances")
+        measured = common.written(distances(members, sets, num, den), "distances")
         links.append(measured.where("linked").select(F.col("sid").alias("u"), F.col("pivot").alias("v")))
-        split = rings(measured)
+        split = rings(measured, num, den)
         sized = split.groupBy("rid").agg(F.count(F.lit(1)).alias("members"), F.max("home").alias("any_home"), F.min(F.struct("d", "sid")).alias("next"))
         sized = sized.where("any_home AND members > 1").select("rid", "members", F.col("next.sid").alias("pivot"))
         regions = common.written(split.join(sized, "rid"), "regions")
         small = regions.where(F.col("members") <= leaf).select("rid", "sid", "d", "linked").join(sets.select("sid", "shingles"), "sid")
-        links.append(common.written(small.groupBy("rid").applyInArrow(joined_in_task, "u long, v long"), "found"))
+        links.append(common.written(small.groupBy("rid").applyInArrow(lambda t: joined_in_task(t, num, den), "u long, v long"), "found"))
         large = regions.where(F.col("members") > leaf).select("rid", "sid", "pivot")
         if large.isEmpty():
             break
@@ -204,16 +206,19 @@ def set_links(sets: DataFrame, leaf: int = LEAF) -> DataFrame:
     return out
 
 
-def jaccard_classes(documents: DataFrame, leaf: int = LEAF) -> DataFrame:
-    """(doc, h, n, first_doc, first_h): each row's class, named by its least row; equal sets are one class."""
+def jaccard_classes(documents: DataFrame, leaf: int = LEAF, size: int = SIZE, num: int = NUM, den: int = DEN) -> DataFrame:
+    """(doc, h, n, first_doc, first_h): each row's class, named by its least row; equal sets are one class.
+
+    Texts are linked if at least num / den of the union of their sets of shingles of `size` words is common to both.
+    """
     source = sources(documents)
-    rows = common.written(source.mapInArrow(id_rows, "doc long, h long, sid long, n long"), "sets")
+    rows = common.written(source.mapInArrow(lambda batches: id_rows(batches, size), "doc long, h long, sid long, n long"), "sets")
     sets = rows.where("n > 0").groupBy("sid", "n").agg(F.min(F.struct("doc", "h")).alias("at")).select("sid", "n", "at.doc", "at.h")
-    left = common.written(crowded(source, sets), "crowded")
-    full = source.join(left.select("doc", "h"), ["doc", "h"]).mapInArrow(set_rows, "sid long, shingles array<long>").dropDuplicates(["sid"])
+    left = common.written(crowded(source, sets, size, num, den), "crowded")
+    full = source.join(left.select("doc", "h"), ["doc", "h"]).mapInArrow(lambda batches: set_rows(batches, size), "sid long, shingles array<long>").dropDuplicates(["sid"])
     full = common.written(full.select("sid", F.size("shingles").cast("long").alias("n"), "shingles"), "shingles")
     node = left.select("sid", F.struct("doc", "h", "sid").alias("node"))
-    links = set_links(full, leaf)
+    links = set_links(full, leaf, num, den)
     edges = links.join(node.withColumnsRenamed({"sid": "u", "node": "nu"}), "u").join(node.withColumnsRenamed({"sid": "v", "node": "nv"}), "v")
     classes = components(edges.select(F.col("nu").alias("u"), F.col("nv").alias("v")))
     named = sets.select("sid", "n", F.struct("doc", "h", "sid").alias("u")).join(classes, "u", "left").select("sid", "n", F.coalesce("v", "u").alias("c"))
@@ -222,19 +227,19 @@ def jaccard_classes(documents: DataFrame, leaf: int = LEAF) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = jaccard_classes(common.table(spark, sf_dir, "documents"))
+    found = jaccard_classes(common.table(spark, sf_dir, "documents"), size=SIZE, num=NUM, den=DEN)
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return found.select(real("doc").alias("doc_id"), F.col("n").alias("n_shingles"), real("first_doc").alias("component_id"))
 
 
-def brute_force(rows: list[tuple[int, str]]) -> dict[int, tuple[int, int]]:
+def brute_force(rows: list[tuple[int, str]], size: int = SIZE, num: int = NUM, den: int = DEN) -> dict[int, tuple[int, int]]:
     """doc_id -> (n_shingles, component_id) by comparing all pairs; for tests with distinct ids."""
     import re
 
     sets = {}
     for doc_id, text in rows:
         w = re.findall("[^ \t-\r]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
-        sets[doc_id] = {tuple(w[i : i + SIZE]) for i in range(len(w) - SIZE + 1)} or ({tuple(w)} if w else set())
+        sets[doc_id] = {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} or ({tuple(w)} if w else set())
     root = {d: d for d in sets}
 
     def find(d: int) -> int:
@@ -246,7 +251,7 @@ def brute_force(rows: list[tuple[int, str]]) -> dict[int, tuple[int, int]]:
     for k, a in enumerate(ids):
         for b in ids[k + 1 :]:
             x, y = sets[a], sets[b]
-            if x and y and DEN * min(len(x), len(y)) >= NUM * max(len(x), len(y)) and DEN * len(x & y) >= NUM * len(x | y):
+            if x and y and den * min(len(x), len(y)) >= num * max(len(x), len(y)) and den * len(x & y) >= num * len(x | y):
                 r, s = sorted((find(a), find(b)))
                 root[s] = r
     return {d: (len(sets[d]), find(d)) for d in ids}

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm import common, op01_quality, op04_topk, op08_toxicity
+from lodestone.llm import common, op01_quality, op04_topk, op07_jaccard, op08_toxicity
 from lodestone.llm.components import components
 
 
@@ -87,3 +87,20 @@ def test_pipeline_keeps_edge_rows(spark, sf_dir):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3]
     assert corpus_pipeline.decontamination(spark, kept, sf_dir).count() == 3
     assert corpus_pipeline.jaccard_join(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_pipeline_drops_near_copies_between_the_settings(spark, sf_dir):
+    r, rows = random.Random(4), []
+    for k, (n, changed) in enumerate([(200, 4), (100, 2), (500, 10)] * 4):
+        words = [f"w{r.randint(0, 10**6)}" for _ in range(n)]
+        copy = list(words)
+        for at in range(changed):
+            copy[(2 * at + 1) * n // (2 * changed)] = f"other{k}_{at}"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+    missed = op07_jaccard.brute_force(rows)
+    want = op07_jaccard.brute_force(rows, corpus_pipeline.SHINGLE, corpus_pipeline.NUM, corpus_pipeline.DEN)
+    assert all(c == d for d, (_, c) in missed.items()) and all(c == d - d % 2 for d, (_, c) in want.items())
+    schema = common.table(spark, sf_dir, "documents").schema
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema)
+    kept = corpus_pipeline.jaccard_join(spark, docs, sf_dir)
+    assert sorted(x.doc_id for x in kept.collect()) == sorted({c for _, c in want.values()})

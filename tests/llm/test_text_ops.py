@@ -83,6 +83,13 @@ def test_jaccard(docs, leaf):
     assert got == want and sum(c != d for d, (_, c) in want.items()) > 4
 
 
+@pytest.mark.parametrize("leaf", [2, 2048])
+def test_jaccard_with_other_figures(docs, leaf):
+    got = {r.doc: (r.n, r.first_doc) for r in op07_jaccard.jaccard_classes(docs, leaf, size=5, num=80, den=100).collect()}
+    want = op07_jaccard.brute_force(corpus(), 5, 80, 100)
+    assert got == want and want != op07_jaccard.brute_force(corpus())
+
+
 def test_jaccard_edges(spark, empty):
     assert op07_jaccard.jaccard_classes(empty).count() == 0
     rows = spark.createDataFrame([(5, "a b c d"), (5, "a b c d"), (9, "A B C D"), (None, "a b c d"), (7, None), (8, ""), (3, "a b"), (4, "a  b"), (6, "b a")], "doc_id long, text string")
