@@ -80,9 +80,13 @@ def findings(text: Column | str) -> Column:
     return F.pandas_udf(_findings, FINDING)(text)
 
 
+#: What a match of each recogniser holds at least. Digits, blanks and cases are those of Python's patterns, so of all scripts.
+SUSPICIOUS = r"(?U)\d{3}|\d{1,3}(?:\.\d{1,3}){3}|@|eyJ|AKIA|-----BEGIN|(?i:password|passwd|secret|token|api[_-]?key)[\s\x1c-\x1f]*[=:]|[0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2}"
+
+
 def suspicious(text: Column) -> Column:
     """Whether a text can hold a finding at all: native, and true for every text with one."""
-    return text.rlike(r"\d{3}|@|eyJ|-----BEGIN|(?i:password|passwd|secret|token|api[_-]?key)\s*[=:]|[0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2}")
+    return text.rlike(SUSPICIOUS)
 
 
 def numbered(rows: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
