@@ -2,7 +2,7 @@
 
 Every component is floor(64 * x). Candidates and queries are dealt into blocks by a hash of the id; each pair of a
 query block and a candidate block is one group of one task. There the candidates are reduced to BITS bits a
-dimension; the cells give a lower and an upper bound of every inner product, the k-th largest lower bound drops
+dimension; the cells give a lower and an upper bound of every inner product, the k-th largest lower bound of distinct ids drops
 what cannot reach the top, and exact vectors are read in the order of their bounds until the k-th result is certain.
 The blocks' results are merged by rank. Nothing is approximate; queries are all rows whose id fits the query rule.
 
@@ -44,7 +44,9 @@ class VaFile:
     """Vectors with their cells: lo and hi are the least and greatest component of each vector's cell."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, bits: int = BITS) -> None:
-        self.ids, self.vectors = ids, vectors
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.vectors = ids, vectors = ids[order], vectors[order]
+        self.first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))  # where each distinct id begins
         least, most = vectors.min(0), vectors.max(0)
         width = np.maximum(1, -(-(most - least + 1) // (1 << bits)))
         codes = (vectors - least) // width
@@ -60,8 +62,10 @@ class VaFile:
             lower = up @ self.lo.T + down @ self.hi.T
             own = qid[at : at + TILE, None] == self.ids[None, :]
             upper[own] = lower[own] = -np.inf
-            n = min(k, len(self.ids))
-            floor = np.partition(lower, len(self.ids) - n, axis=1)[:, len(self.ids) - n]
+            if len(self.first) < len(self.ids):
+                lower = np.maximum.reduceat(lower, self.first, axis=1)
+            n = len(self.first) - min(k, len(self.first))
+            floor = np.partition(lower, n, axis=1)[:, n]
             for i in range(len(q)):
                 yield qid[at + i], *self._certain(queries[at + i], upper[i], floor[i], k)
 
@@ -75,7 +79,10 @@ class VaFile:
                 break
             rows = left[s : s + step]
             ids, scores = np.concatenate([ids, self.ids[rows]]), np.concatenate([scores, self.vectors[rows] @ q])
-            order = np.lexsort((ids, -scores))[:k]
+            order = np.lexsort((ids, -scores))
+            if len(self.first) < len(self.ids):  # an id counts once, by its best vector
+                order = order[np.sort(np.unique(ids[order], return_index=True)[1])]
+            order = order[:k]
             ids, scores = ids[order], scores[order]
         return ids, scores
 

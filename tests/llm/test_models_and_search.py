@@ -104,3 +104,16 @@ def test_pipeline_drops_near_copies_between_the_settings(spark, sf_dir):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema)
     kept = corpus_pipeline.jaccard_join(spark, docs, sf_dir)
     assert sorted(x.doc_id for x in kept.collect()) == sorted({c for _, c in want.values()})
+
+
+def test_top_k_of_ids_with_many_vectors(spark):
+    r = random.Random(2)
+    rows = [(1, [r.uniform(0.8, 1) for _ in range(6)]) for _ in range(25)] + [(i, [r.uniform(-1, 0.7) for _ in range(6)]) for i in range(2, 60)] + [(7, [0.75] * 6), (99, [0.5] * 6)]
+    vectors = op04_topk.scaled(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = {x.rank: (x.vec_id, x.score) for x in op04_topk.top_k(vectors, vectors.where("vec_id = 99"), 20).collect()}
+    ints = [(i, [int(np.floor(64 * float(np.float32(e)))) for e in v]) for i, v in rows]
+    best: dict[int, int] = {}
+    for i, v in ints:
+        best[i] = max(best.get(i, -(10**9)), sum(a * b for a, b in zip(dict(ints)[99], v, strict=True)))
+    want = sorted((-s, i) for i, s in best.items() if i != 99)[:20]
+    assert got == {k: (i, -s) for k, (s, i) in enumerate(want, 1)}
