@@ -18,10 +18,10 @@ def left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "c_name", "n_name")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 400000)")
 def orphan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers without orders, as an anti-join."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without large orders, as an anti-join."""
+    o = table(spark, sf_dir, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(o, "c_custkey", "left_anti")
 
 
@@ -112,11 +112,11 @@ def prefix_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy("o_orderkey").agg(F.min_by("price", "ord").cast("decimal(2,1)").alias("price"))
 
 
-@query("""WITH p AS (SELECT * FROM (VALUES (1, 'small', 5, 1000.0), (2, 'medium', 20, 1200.0), (3, 'large', 40, 1400.0)) t(ord, tier, min_size, min_price))
+@query("""WITH p AS (SELECT * FROM (VALUES (1, 'small', 5, 905.0), (2, 'medium', 20, 910.0), (3, 'large', 40, 915.0)) t(ord, tier, min_size, min_price))
 SELECT p_partkey, tier FROM (SELECT p_partkey, tier, row_number() OVER (PARTITION BY p_partkey ORDER BY ord DESC) AS rn FROM part JOIN p ON p_size >= min_size AND p_retailprice >= min_price) WHERE rn = 1""")
 def preset_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """both limits of a preset must hold; the highest preset counts."""
-    p = spark.createDataFrame([(1, "small", 5, 1000.0), (2, "medium", 20, 1200.0), (3, "large", 40, 1400.0)], "ord int, tier string, min_size int, min_price double")
+    p = spark.createDataFrame([(1, "small", 5, 905.0), (2, "medium", 20, 910.0), (3, "large", 40, 915.0)], "ord int, tier string, min_size int, min_price double")
     hit = table(spark, sf_dir, "part").join(F.broadcast(p), (F.col("p_size") >= F.col("min_size")) & (F.col("p_retailprice") >= F.col("min_price")))
     return hit.groupBy("p_partkey").agg(F.max_by("tier", "ord").alias("tier"))
 

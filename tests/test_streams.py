@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from lodestone.streaming import buffers
 
 
-def run(stream, name, spark, mode="append"):
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).start()
+SECONDS = 90
+
+
+def run(stream, name, spark, mode="append", rows=None):
+    """The stream's output. A state with a processing-time limit never falls idle, so its test says how many rows to wait for."""
+    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name)
+    q = writer.start() if rows else writer.trigger(availableNow=True).start()
     try:
-        q.processAllAvailable()
+        if rows:
+            end = time.monotonic() + SECONDS
+            while spark.table(name).count() < rows and time.monotonic() < end and q.isActive:
+                time.sleep(0.5)
+        else:
+            assert q.awaitTermination(SECONDS)
     finally:
         q.stop()
     return spark.table(name)
@@ -21,7 +33,7 @@ def test_answer_buffers(spark, tmp_path):
     chunks = spark.createDataFrame(rows, "guid string, seq int, chunk string, done boolean")
     chunks.coalesce(1).write.parquet(str(tmp_path / "chunks"))
     stream = spark.readStream.schema(chunks.schema).parquet(str(tmp_path / "chunks"))
-    got = run(buffers.streamed(stream), "buffers_out", spark, "update").collect()
+    got = run(buffers.streamed(stream), "buffers_out", spark, "update", rows=2).collect()
     want = buffers.assembled(chunks).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) == [("a", "hello😀", 7, True), ("b", "x", 1, False)]
 
