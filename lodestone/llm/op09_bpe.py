@@ -1,18 +1,18 @@
 """Byte-level BPE encoding and decoding.
 
-1. Texts are split into pieces by the vocabulary's pattern; a task keeps its distinct pieces once, and
-   each text as places among them. Texts go on in blocks of about BLOCK_BYTES, with the pieces that are new to the task.
-2. Spark's higher-order functions fold the ranked merges over the byte arrays of the distinct pieces. The rank map is a
-   literal: an array of 2**16 small maps, addressed by the crc32 of the bytes, so a look-up reads a few entries.
-3. Each text's ids are its pieces' ids in order; decoding concatenates the binary pieces of the ids.
+1. Texts are split into pieces by the vocabulary's pattern. A block is a row of about BLOCK_BYTES of texts: its distinct pieces
+   once, and every text as places among them. Blocks are written to the shared folder.
+2. The distinct pieces of all blocks are folded once: Spark's higher-order functions fold the ranked merges over the byte
+   array of each piece. The rank map is a literal: an array of 2**16 small maps, addressed by the crc32 of the bytes, so a
+   look-up reads a few entries. The ids' binary pieces are concatenated in the same place, which decodes the piece.
+3. Ids and decoded bytes go back to the blocks by a join on the piece; each text is its pieces' ids, and their bytes, in order.
 
-Pieces never leave their task, so nothing is shuffled, collected or broadcast but the vocabulary, whatever the input; what
-a task keeps is bounded by its split of the input. A
-piece of more than LONG bytes is merged with a heap instead of a fold (same ranks, same result), as a fold over n
-bytes takes n * n steps.
+What a task holds is bounded by a block, not by its split or the vocabulary of the corpus: a piece has one row in each block that
+holds it, so no piece is hot. Only the public vocabulary, of fixed size, is broadcast. A piece of more than LONG bytes is merged with a
+heap instead of a fold (same ranks, same result), as a fold over n bytes takes n * n steps.
 
 Defined cases: null and empty texts have no ids and decode to no bytes; null ids and repeated rows are rows as any other;
-other columns are ignored.
+a very long text is a block of its own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,23 +23,24 @@ import json
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 16 << 20
 BUCKETS = 1 << 16
 LONG = 512
 NONE = (1 << 31) - 1
-#: Splits of the input that one task takes, if each core still has two tasks: pieces are folded once for each task.
-SPLITS = 4
+#: Distinct pieces of a row of the fold; each row reads the literals once. Tasks hold one or two such rows.
+ROW_PIECES = 1 << 15
+BLOCK = "block long, doc_ids array<long>, sizes array<int>, stream binary, pieces array<binary>"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -57,6 +58,19 @@ def rank_literal(ranks: dict[bytes, int]) -> Column:
     return F.transform(parsed, lambda m: F.transform_keys(m, lambda k, v: F.unhex(k)))
 
 
+def token_literal(ranks: dict[bytes, int]) -> Column:
+    """The tokens' bytes as array<binary>, by rank."""
+    tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return F.transform(F.from_json(F.lit(json.dumps([t.hex() for t in tokens])), "array<string>"), F.unhex)
+
+
+def decoded(tokens: Column, ids: Column) -> Column:
+    """The bytes of ids: their binary pieces concatenated."""
+    return F.aggregate(ids, F.lit(b""), lambda out, i: F.concat(out, tokens[i]))
+
+
 def bound(value: Column, body) -> Column:
     """`body` of a value that is computed once."""
     return F.transform(F.array(value), body)[0]
@@ -132,76 +146,66 @@ def merge_long(ranks: dict[bytes, int], piece: bytes) -> list[int]:
     return out
 
 
-def split_blocks(pattern: str):
-    """Batches of (doc_id, text) -> blocks of texts, each with the pieces that its task has not met before."""
+def split_blocks(pattern: str, block_bytes: int = BLOCK_BYTES):
+    """Batches of (doc_id, text) -> blocks of texts with their distinct pieces; streams are compressed 32-bit places."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find = regex.compile(pattern).findall
-        place: dict[str, int] = defaultdict()
-        place.default_factory = place.__len__
-        known = 0
+        find, codec = regex.compile(pattern).findall, pa.Codec("zstd", 1)
+        block = TaskContext.get().partitionId() << 32
         for batch in batches:
             _, offsets = common.text_buffer(batch.column("text"))
             first = 0
             while first < batch.num_rows:
-                end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + BLOCK_BYTES, "right")) - 1)
+                end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + block_bytes, "right")) - 1)
+                place: dict[str, int] = defaultdict()
+                place.default_factory = place.__len__
                 sizes, stream = [], []
-                for text in batch.column("text").slice(first, end - first).to_pylist():
-                    pieces = find(text or "")
+                for text in batch.column("text").slice(first, end - first):
+                    pieces = find(text.as_py() or "")
                     sizes.append(len(pieces))
                     stream.append(np.fromiter(map(place.__getitem__, pieces), np.int32, len(pieces)))
-                new = [p.encode() for p in islice(place, known, None)]
-                known = len(place)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([batch.column("doc_id").slice(first, end - first).to_pylist()], pa.list_(pa.int64())),
-                        pa.array([sizes], pa.list_(pa.int32())),
-                        pa.array([np.concatenate(stream).tobytes()], pa.binary()),
-                        pa.array([new], pa.list_(pa.binary())),
-                    ],
-                    ["doc_ids", "sizes", "stream", "pieces"],
-                )
-                first = end
+                columns = [
+                    pa.array([block], pa.int64()),
+                    pa.array([batch.column("doc_id").slice(first, end - first).to_pylist()], pa.list_(pa.int64())),
+                    pa.array([sizes], pa.list_(pa.int32())),
+                    pa.array([codec.compress(np.concatenate(stream), asbytes=True)], pa.binary()),
+                    pa.array([[p.encode() for p in place]], pa.list_(pa.binary())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "doc_ids", "sizes", "stream", "pieces"])
+                block, first = block + 1, end
 
     return split
 
 
-class Codes:
-    """Ids of the pieces met so far, flat, and the bytes of the vocabulary's tokens, flat."""
-
-    def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.ranks = ranks
-        tokens = sorted((rank, token) for token, rank in ranks.items())
-        width = tokens[-1][0] + 1 if tokens else 0
-        self.token_size = np.zeros(width, np.int64)
-        self.token_size[[r for r, _ in tokens]] = [len(t) for _, t in tokens]
-        self.token_at = np.cumsum(self.token_size) - self.token_size
-        self.token_bytes = np.frombuffer(b"".join(t for _, t in tokens), np.uint8)
-        self.flat, self.at, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def add(self, pieces: pa.Array, codes: pa.ListArray) -> None:
-        size = codes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = codes.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-        at = np.cumsum(size) - size + len(self.flat)
-        extra, end = [self.flat, flat], len(self.flat) + len(flat)
-        for k in np.flatnonzero(codes.is_null().to_numpy(zero_copy_only=False)):
-            ids = np.array(merge_long(self.ranks, pieces[int(k)].as_py()), np.int32)
-            extra.append(ids)
-            at[k], size[k] = end, len(ids)
-            end += len(ids)
-        self.flat, self.at, self.size = np.concatenate(extra), np.concatenate([self.at, at]), np.concatenate([self.size, size])
-
-    def ids(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of pieces one after another, and each piece's number of ids."""
-        n = self.size[places]
-        return self.flat[_gather(self.at[places], n)], n
-
-    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids' binary pieces one after another, and each one's length."""
-        n = self.token_size[ids]
-        return self.token_bytes[_gather(self.token_at[ids], n)], n
+def packed(ranks: dict[bytes, int]):
+    """Rows of one piece -> rows of ROW_PIECES pieces, with the ids of those that are too long for a fold."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        for batch in batches:
+            held += batch.column("piece").to_pylist()
+            if len(held) >= ROW_PIECES:
+                yield row(held)
+                held = []
+        if held:
+            yield row(held)
+
+    def row(pieces: list[bytes]) -> pa.RecordBatch:
+        ready = [merge_long(ranks, p) if len(p) > LONG else None for p in pieces]
+        return pa.RecordBatch.from_arrays([pa.array([pieces], pa.list_(pa.binary())), pa.array([ready], pa.list_(pa.list_(pa.int32())))], ["pieces", "ready"])
+
+    return pack
+
+
+def coded(pieces: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """(piece, ids array<int>, bytes binary) of distinct pieces."""
+    rows = pieces.mapInArrow(packed(ranks), "pieces array<binary>, ready array<array<int>>")
+    folded = bound(rank_literal(ranks), lambda t: F.zip_with("pieces", "ready", lambda p, r: F.coalesce(r, merged(t, p))))
+    rows = rows.select("pieces", folded.alias("ids"))
+    with_bytes = bound(token_literal(ranks), lambda t: F.zip_with("pieces", "ids", lambda p, i: F.struct(p.alias("piece"), i.alias("ids"), decoded(t, i).alias("bytes"))))
+    return rows.select(F.explode(with_bytes).alias("c")).select("c.piece", "c.ids", "c.bytes")
 
 
 def _gather(at: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -209,42 +213,53 @@ def _gather(at: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(at - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
-def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def _flat(values: pa.ChunkedArray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Data of a list or binary column in a new order: all values, and each row's begin and length among them."""
+    column = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
+    if pa.types.is_binary(column.type):
+        data, ends = common.text_buffer(column)
+    else:
+        ends = column.offsets.to_numpy() - column.offsets[0].as_py()
+        data = column.flatten().to_numpy(zero_copy_only=False)
+    return data, ends[:-1][order].astype(np.int64), np.diff(ends)[order].astype(np.int64)
+
+
+def joined_texts(block: pa.Table, codes: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The texts of one block, each put together from the codes of its pieces, STEP texts at a time."""
+    order = np.argsort(codes.column("place").to_numpy(), kind="stable")
+    ids, ids_at, ids_n = _flat(codes.column("ids"), order)
+    data, data_at, data_n = _flat(codes.column("bytes"), order)
+    row = block.slice(0, 1).combine_chunks()
+    doc_ids, sizes = row.column("doc_ids").chunk(0).flatten(), row.column("sizes").chunk(0).flatten().to_numpy()
+    ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    stream = np.frombuffer(pa.Codec("zstd").decompress(row.column("stream")[0].as_buffer(), int(ends[-1]) * 4, asbytes=True), np.int32)
+    step = 256
+    for first in range(0, len(sizes), step):
+        cut = ends[first : first + step + 1]
+        places = stream[cut[0] : cut[-1]]
+        n, m = ids_n[places], data_n[places]
+        border = lambda k: np.concatenate([[0], np.cumsum(k)])[cut - cut[0]].astype(np.int32)
+        texts = pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(border(m)), pa.py_buffer(np.ascontiguousarray(data[_gather(data_at[places], m)]))])
+        lists = pa.ListArray.from_arrays(pa.array(border(n)), pa.array(ids[_gather(ids_at[places], n)].astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([doc_ids.slice(first, len(cut) - 1), lists, texts], ["doc_id", "ids", "decoded"])
+
+
+def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, ids array<int>, decoded binary): the ids of every whole text, and the bytes they decode to."""
-    context = documents.sparkSession.sparkContext
-    held = context.broadcast(ranks)  # one vocabulary, fixed in size
-    parts = documents.rdd.getNumPartitions()
-    tasks = max(1, min(parts, 2 * context.defaultParallelism), -(-parts // SPLITS))
-    blocks = documents.coalesce(tasks).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        split_blocks(pattern), "doc_ids array<long>, sizes array<int>, stream binary, pieces array<binary>"
-    )
-    folded = blocks.withColumn(
-        "codes",
-        bound(rank_literal(ranks), lambda t: F.transform("pieces", lambda p: F.when(F.octet_length(p) <= LONG, merged(t, p)))),
-    )
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Codes(held.value)
-        for batch in batches:
-            for row in range(batch.num_rows):
-                known.add(batch.column("pieces")[row].values, batch.column("codes")[row].values)
-                stream = np.frombuffer(batch.column("stream")[row].as_buffer(), np.int32)
-                doc_ids, sizes = batch.column("doc_ids")[row].values, batch.column("sizes")[row].values.to_numpy()
-                ends = np.cumsum(sizes)
-                step = 256  # texts handed on at a time
-                for first in range(0, len(sizes), step):
-                    n_docs = len(sizes[first : first + step])
-                    places = stream[ends[first] - sizes[first] : ends[first + n_docs - 1]]
-                    ids, n = known.ids(places)
-                    cuts = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], ends[first : first + n_docs] - ends[first] + sizes[first]])]
-                    data, size = known.decode(ids)
-                    borders = np.concatenate([[0], np.cumsum(size)])[cuts]
-                    decoded = pa.Array.from_buffers(pa.binary(), n_docs, [None, pa.py_buffer(borders.astype(np.int32)), pa.py_buffer(data)])
-                    yield pa.RecordBatch.from_arrays(
-                        [doc_ids.slice(first, n_docs), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids)), decoded], ["doc_id", "ids", "decoded"]
-                    )
-
-    return folded.mapInArrow(gather, "doc_id long, ids array<int>, decoded binary")
+    texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    blocks = common.written(texts.mapInArrow(split_blocks(pattern, block_bytes), BLOCK), "pieces")
+    each = blocks.select("block", F.posexplode("pieces").alias("place", "piece"))
+    most = blocks.agg(F.sum(F.size("pieces"))).first()[0] or 0
+    cores = documents.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(2 * cores, most // (ROW_PIECES // 8)), most // ROW_PIECES)
+    codes = common.written(coded(each.select("piece").repartition(tasks, "piece").distinct(), ranks), "codes")
+    found = each.join(codes, "piece").select(F.col("block").alias("of"), "place", "ids", "bytes")
+
+    def gather(block: pa.Table, codes: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(list(joined_texts(block, codes)))
+
+    rows = blocks.select("block", "doc_ids", "sizes", "stream")
+    return rows.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(gather, "doc_id long, ids array<int>, decoded binary")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
