@@ -2,22 +2,24 @@
 
 Suffixes are sampled: of every LENGTH-byte window, the suffix at its least K-byte gram (by hash, leftmost on a tie) is
 kept, so equal windows keep equal suffixes at equal places. Consecutive windows with one suffix are a segment: the
-suffix's key (hash of its first K bytes), the signature of the whole segment, its place and its number of windows. About
-one byte in 90 starts a segment.
-
-The index is a logarithmic family of levels. A level is a sorted suffix array: one entry for each (key, signature),
-bucketed and sorted by key, so scans and merges of levels need no shuffle. A new batch gets its array (counts are
-combined before the shuffle), is merge-scanned against every level for entries with its keys, and becomes a level;
-levels of equal size merge before the next batch. What the scans find are candidates:
-- entries with one key and one signature twice: all their windows are repeated;
-- entries with one key and several signatures: the segments' bytes are read once, and a suffix array over their windows,
-  cut at LENGTH bytes, is sorted; equal neighbours are repeated. A key with more than HEAVY signatures is not sorted in
-  one task: its windows are dealt by their own hashes and counted.
+suffix's first K bytes, the signature of the whole segment, its place and its number of windows. About one byte in 90 starts a segment.
+
+The index is a logarithmic family of levels. A level is a suffix array in shards: a suffix's shard follows from its first K bytes, and
+within a shard suffixes stand in the order of their bytes (K bytes as longs that sort as the bytes do, then the signature). Shards are
+buckets of a table, so levels are scanned and merged side by side without a shuffle. A new batch gets its array (counts are
+combined before the shuffle), is merge-scanned against every level for suffixes that agree in their first K bytes, and becomes
+a level; levels of equal size merge before the next batch. What the scans find are candidates for long matches:
+- suffixes with one signature twice: all windows of their segments are repeated;
+- suffixes with several signatures: the segments' bytes are read once, and a suffix array over their windows,
+  cut at LENGTH bytes, is sorted; equal neighbours are repeated. Where more than HEAVY signatures agree in K bytes, windows are not sorted
+  in one task: they are dealt by their own hashes and counted.
 Every occurrence of a repeated window is then marked in its text, those of earlier batches too.
 
-Defined cases: a null text is empty; texts under LENGTH bytes have no windows; rows that repeat an id and its text are
-documents of their own, so they repeat each other; null ids are ids; other columns are ignored. Signatures are 64-bit hashes
-that must agree with an equal 64-bit key; windows of differing signatures are compared byte by byte (heavy keys: by 128 bits).
+The levels are tables of the session's catalogue, so the warehouse must be shared by the driver and the executors, as on any cluster.
+
+Defined cases: a null text is empty; texts under LENGTH bytes have no windows; very long texts are scanned whole; rows that repeat an id and its
+text are documents of their own, so they repeat each other; null ids are ids; an empty table gives no rows; other columns are ignored. Signatures are
+64-bit hashes that must agree along with equal leading bytes; windows of differing signatures are compared byte by byte (heavy ones: by 128 bits).
 """
 
 from __future__ import annotations
@@ -41,7 +43,9 @@ HEAVY = 32768
 GROUP_ROWS = 1024
 SORTED_WINDOWS = 1 << 17
 SECOND_BASE = 0xC2B2AE3D27D4EB4F | 1
-ENTRY = "key long, sig long, doc long, h long, start int, n int, copies long"
+KEY = ["k1", "k2", "k3"]
+KEYS = "k1 long, k2 long, k3 long"
+ENTRY = f"{KEYS}, sig long, doc long, h long, start int, n int, copies long"
 
 
 def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
@@ -54,10 +58,16 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[:-rest], h[rest:]) if rest else h
 
 
+def leading(data: np.ndarray, at: np.ndarray, k: int = K) -> np.ndarray:
+    """The first k bytes of the suffixes at `at`, as k / 8 rows of longs in the order of the bytes."""
+    words = np.ascontiguousarray(data[at[:, None] + np.arange(k)]).view(">u8").astype(np.uint64)
+    return (words ^ np.uint64(1 << 63)).view(np.int64).T
+
+
 def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, ...]:
-    """(key, sig, start, n) of the segments of a chunk of texts; starts are places in the chunk."""
+    """(k1, k2, k3, sig, start, n) of the segments of a chunk of texts; starts are places in the chunk."""
     if len(data) < length:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
+        return tuple(np.zeros(0, np.int64) for _ in range(k // 8 + 3))
     sums = hashing.prefix_sums(data)
     grams = hashing.mix((sums[k:] - sums[:-k]) * hashing.powers(hashing.INVERSE, len(sums))[: len(sums) - k])
     high = np.uint64(0xFFFFFFFF00000000)
@@ -70,7 +80,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int
     cuts = np.flatnonzero(cut)
     kept = whole[cuts]
     starts, ends = cuts[kept], np.append(cuts[1:], len(anchor))[kept]
-    return grams[anchor[starts]], hashing.span_hashes(sums, starts, ends + length - 1), starts, ends - starts
+    return *leading(data, anchor[starts], k), hashing.span_hashes(sums, starts, ends + length - 1).view(np.int64), starts, ends - starts
 
 
 def _rows(batches: Iterator[pa.RecordBatch], combined: bool) -> Iterator[pa.RecordBatch]:
@@ -79,18 +89,18 @@ def _rows(batches: Iterator[pa.RecordBatch], combined: bool) -> Iterator[pa.Reco
         doc, h = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "h"))
         found = []
         for first, _, part, at in common.chunks(data, offsets):
-            key, sig, start, n = segments(part, at)
+            *key, sig, start, n = segments(part, at)
             text = hashing.text_of(start, at)
-            found.append((key.view(np.int64), sig.view(np.int64), doc[first + text], h[first + text], (start - at[text]).astype(np.int32), n.astype(np.int32)))
+            found.append((*key, sig, doc[first + text], h[first + text], (start - at[text]).astype(np.int32), n.astype(np.int32)))
         columns = [np.concatenate(c) for c in zip(*found, strict=True)]
         copies = np.ones(len(columns[0]), np.int64)
         if combined and len(copies):
-            order = np.lexsort((columns[1], columns[0]))
-            key, sig = columns[0][order], columns[1][order]
-            heads = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])]))
+            order = np.lexsort(columns[3::-1])
+            new = np.any([c[order[1:]] != c[order[:-1]] for c in columns[:4]], axis=0)
+            heads = np.flatnonzero(np.append(True, new))
             copies = np.diff(np.append(heads, len(order)))
             columns = [c[order[heads]] for c in columns]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, copies)], ["key", "sig", "doc", "h", "start", "n", "copies"])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, copies)], [*KEY, "sig", "doc", "h", "start", "n", "copies"])
 
 
 def combined_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +127,7 @@ class LevelIndex:
     def _store(self, entries: DataFrame, size: int) -> tuple[int, str]:
         name = f"lodestone_level_{uuid.uuid4().hex}"
         with common.shuffles_dropped(self.spark):
-            entries.write.format("parquet").bucketBy(self.buckets, "key").sortBy("key").saveAsTable(name)
+            entries.write.format("parquet").bucketBy(self.buckets, *KEY).sortBy(*KEY, "sig").saveAsTable(name)
         return size, name
 
     def _merge(self) -> None:
@@ -129,22 +139,22 @@ class LevelIndex:
                 self.spark.sql(f"DROP TABLE {name}")
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Indexes a batch (doc, h, text); returns the entries, new and old, whose key now occurs more than once."""
+        """Indexes a batch (doc, h, text); returns the entries, new and old, whose first K bytes now occur more than once."""
         self._merge()
         entries = (
             batch.mapInArrow(combined_rows, ENTRY)
-            .repartition(self.buckets, "key")
-            .groupBy("key", "sig")
+            .repartition(self.buckets, *KEY)
+            .groupBy(*KEY, "sig")
             .agg(F.min(F.struct("doc", "h", "start")).alias("at"), F.first("n").alias("n"), F.sum("copies").alias("copies"))
-            .select("key", "sig", "at.doc", "at.h", "at.start", "n", "copies")
+            .select(*KEY, "sig", "at.doc", "at.h", "at.start", "n", "copies")
         )
         size, name = self._store(entries, 1)
         new = self.spark.table(name)
-        repeated = new.groupBy("key").agg(F.sum("copies").alias("c")).where("c > 1").select("key")
-        found = new.join(repeated, "key", "left_semi")
+        repeated = new.groupBy(*KEY).agg(F.sum("copies").alias("c")).where("c > 1").select(*KEY)
+        found = new.join(repeated, KEY, "left_semi")
         for _, level in self.levels:
             old = self.spark.table(level)
-            found = found.unionByName(new.join(old, "key", "left_semi")).unionByName(old.join(new, "key", "left_semi"))
+            found = found.unionByName(new.join(old, KEY, "left_semi")).unionByName(old.join(new, KEY, "left_semi"))
         self.levels.append((size, name))
         return common.written(found, "matches")
 
@@ -191,7 +201,7 @@ def repeated_windows(t: pa.Table) -> pa.Table:
         same = suffix[order[1:]] == suffix[order[:-1]]
         flags[part[order[1:][same]]] = flags[part[order[:-1][same]]] = True
     s, first, count = runs_of(flags, segment, offset)
-    return pa.table({"key": t.column("key").to_numpy()[s], "sig": t.column("sig").to_numpy()[s], "first": first.astype(np.int32), "count": count.astype(np.int32)})
+    return pa.table({**{k: t.column(k).to_numpy()[s] for k in KEY}, "sig": t.column("sig").to_numpy()[s], "first": first.astype(np.int32), "count": count.astype(np.int32)})
 
 
 def window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,19 +212,19 @@ def window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             segment, offset = _windows(n)
             starts = at[segment] + offset
             a, b = (hashing.span_hashes(hashing.prefix_sums(part, base), starts, starts + LENGTH, base) for base in (hashing.BASE, SECOND_BASE))
-            key, sig = (batch.column(c).to_numpy()[first:end][segment] for c in ("key", "sig"))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a.view(np.int64), b.view(np.int64), key, sig, offset.astype(np.int32))], ["a", "b", "key", "sig", "off"])
+            names = (batch.column(c).to_numpy()[first:end][segment] for c in (*KEY, "sig"))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a.view(np.int64), b.view(np.int64), *names, offset.astype(np.int32))], ["a", "b", *KEY, "sig", "off"])
 
 
 def partial_runs(segs: DataFrame) -> DataFrame:
-    """(key, sig, first, count): runs of repeated windows in segments (key, sig, n, sigs, bytes) that share keys."""
-    groups = F.pmod(F.xxhash64("key"), F.greatest(F.lit(1), F.lit(max(64, segs.count() // GROUP_ROWS)))).alias("g")
-    light = segs.where(F.col("sigs") <= HEAVY).select(groups, "key", "sig", "n", "bytes")
-    found = light.groupBy("g").applyInArrow(repeated_windows, "key long, sig long, first int, count int")
-    windows = segs.where(F.col("sigs") > HEAVY).select("key", "sig", "bytes").repartition("key", "sig").mapInArrow(window_hashes, "a long, b long, key long, sig long, off int")
+    """(k1, k2, k3, sig, first, count): runs of repeated windows in segments (k1, k2, k3, sig, n, sigs, bytes) that agree in K bytes."""
+    groups = F.pmod(F.xxhash64(*KEY), F.lit(max(64, segs.count() // GROUP_ROWS))).alias("g")
+    light = segs.where(F.col("sigs") <= HEAVY).select(groups, *KEY, "sig", "n", "bytes")
+    found = light.groupBy("g").applyInArrow(repeated_windows, f"{KEYS}, sig long, first int, count int")
+    windows = segs.where(F.col("sigs") > HEAVY).select(*KEY, "sig", "bytes").repartition(*KEY, "sig").mapInArrow(window_hashes, f"a long, b long, {KEYS}, sig long, off int")
     # A window of a segment is seen once in it, so two rows of one hash are two places.
-    twice = windows.groupBy("a", "b", "key").agg(F.min(F.struct("sig", "off")).alias("x"), F.max(F.struct("sig", "off")).alias("y")).where("x != y").select("a", "b", "key")
-    heavy = windows.join(twice, ["a", "b", "key"], "left_semi").select("key", "sig", F.col("off").alias("first"), F.lit(1).alias("count"))
+    twice = windows.groupBy("a", "b").agg(F.min(F.struct("sig", "off")).alias("x"), F.max(F.struct("sig", "off")).alias("y")).where("x != y").select("a", "b")
+    heavy = windows.join(twice, ["a", "b"], "left_semi").select(*KEY, "sig", F.col("off").alias("first"), F.lit(1).alias("count"))
     return found.unionByName(heavy)
 
 
@@ -232,20 +242,21 @@ def repeats(documents: DataFrame, batches: int = BATCHES) -> DataFrame:
         log = log.unionByName(other)
     at = F.struct("doc", "h", "start")
     entries = common.written(
-        log.groupBy("key", "sig")
+        log.groupBy(*KEY, "sig")
         .agg(F.min(at).alias("at"), F.max(at).alias("other"), F.first("n").alias("n"), F.max("copies").alias("copies"))
-        .select("key", "sig", "at.doc", "at.h", "at.start", "n", ((F.col("copies") > 1) | (F.col("at") != F.col("other"))).alias("whole")),
+        .select(*KEY, "sig", "at.doc", "at.h", "at.start", "n", ((F.col("copies") > 1) | (F.col("at") != F.col("other"))).alias("whole")),
         "entries",
     )
     common.discard(*logs)
-    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("sigs")).where("sigs > 1")
-    several = entries.join(shared, "key").select("key", "sig", "doc", "h", "start", "n", "sigs")
+    shared = entries.groupBy(*KEY).agg(F.count(F.lit(1)).alias("sigs")).where("sigs > 1")
+    several = entries.join(shared, KEY).select(*KEY, "sig", "doc", "h", "start", "n", "sigs")
     cut = F.substring(F.col("text").cast("binary"), F.col("start") + 1, F.col("n") + LENGTH - 1).alias("bytes")
-    segs = several.join(source, ["doc", "h"]).select("key", "sig", "n", "sigs", cut).dropDuplicates(["key", "sig"])
+    segs = several.join(source, ["doc", "h"]).select(*KEY, "sig", "n", "sigs", cut).dropDuplicates([*KEY, "sig"])
     segs = common.written(segs, "segments")
     partial = partial_runs(segs)
-    runs = partial.unionByName(entries.where("whole").select("key", "sig", F.lit(0).alias("first"), F.col("n").alias("count")))
-    found = source.mapInArrow(single_rows, ENTRY).select("key", "sig", "doc", "h", "start").join(runs, ["key", "sig"])
+    runs = partial.unionByName(entries.where("whole").select(*KEY, "sig", F.lit(0).alias("first"), F.col("n").alias("count")))
+    key = F.xxhash64(*KEY).alias("key")  # with the signature 128 bits; the shuffle of all occurrences carries no more
+    found = source.mapInArrow(single_rows, ENTRY).select(key, "sig", "doc", "h", "start").join(runs.select(key, "sig", "first", "count"), ["key", "sig"])
     begin = F.col("start") + F.col("first")
     return found.groupBy("doc", "h").agg(F.collect_set(F.struct(begin.alias("a"), (begin + F.col("count") + LENGTH - 1).alias("b"))).alias("spans"))
 
