@@ -4,8 +4,9 @@
    once, and every text as places among them. Blocks are written to the shared folder.
 2. The distinct pieces of all blocks are folded once: Spark's higher-order functions fold the ranked merges over the byte
    array of each piece. The rank map is a literal: an array of 2**16 small maps, addressed by the crc32 of the bytes, so a
-   look-up reads a few entries. The ids' binary pieces are concatenated in the same place, which decodes the piece.
-3. Ids and decoded bytes go back to the blocks by a join on the piece; each text is its pieces' ids, and their bytes, in order.
+   look-up reads a few entries.
+3. Ids go back to the blocks by a join on the piece. Each text's ids are its pieces' ids in order; decoding concatenates the binary
+   pieces of the ids.
 
 What a task holds is bounded by a block, not by its split or the vocabulary of the corpus: a piece has one row in each block that
 holds it, so no piece is hot. Only the public vocabulary, of fixed size, is broadcast. A piece of more than LONG bytes is merged with a
@@ -34,12 +35,12 @@ from pyspark.sql import functions as F
 from . import common
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 BUCKETS = 1 << 16
 LONG = 512
 NONE = (1 << 31) - 1
-#: Distinct pieces of a row of the fold; each row reads the literals once. Tasks hold one or two such rows.
-ROW_PIECES = 1 << 15
+#: Distinct pieces of a row of the fold, which reads the literal once, and so of a task.
+ROW_PIECES = 1 << 16
 BLOCK = "block long, doc_ids array<long>, sizes array<int>, stream binary, pieces array<binary>"
 
 
@@ -58,19 +59,6 @@ def rank_literal(ranks: dict[bytes, int]) -> Column:
     return F.transform(parsed, lambda m: F.transform_keys(m, lambda k, v: F.unhex(k)))
 
 
-def token_literal(ranks: dict[bytes, int]) -> Column:
-    """The tokens' bytes as array<binary>, by rank."""
-    tokens = [b""] * (max(ranks.values(), default=-1) + 1)
-    for token, rank in ranks.items():
-        tokens[rank] = token
-    return F.transform(F.from_json(F.lit(json.dumps([t.hex() for t in tokens])), "array<string>"), F.unhex)
-
-
-def decoded(tokens: Column, ids: Column) -> Column:
-    """The bytes of ids: their binary pieces concatenated."""
-    return F.aggregate(ids, F.lit(b""), lambda out, i: F.concat(out, tokens[i]))
-
-
 def bound(value: Column, body) -> Column:
     """`body` of a value that is computed once."""
     return F.transform(F.array(value), body)[0]
@@ -147,38 +135,61 @@ def merge_long(ranks: dict[bytes, int], piece: bytes) -> list[int]:
 
 
 def split_blocks(pattern: str, block_bytes: int = BLOCK_BYTES):
-    """Batches of (doc_id, text) -> blocks of texts with their distinct pieces; streams are compressed 32-bit places."""
+    """Batches of (doc_id, text) -> blocks of texts: their distinct pieces, the most frequent first, and streams of places among them."""
+
+    def row(block: int, doc_ids: list, sizes: list[int], stream: list[np.ndarray], place: dict[str, int]) -> pa.RecordBatch:
+        places = np.concatenate(stream)
+        often = np.argsort(-np.bincount(places, minlength=len(place)), kind="stable")
+        rank = np.empty(len(often), np.int32)
+        rank[often] = np.arange(len(often))
+        pieces = [p.encode() for p in place]
+        columns = [
+            pa.array([block], pa.int64()),
+            pa.array([doc_ids], pa.list_(pa.int64())),
+            pa.array([sizes], pa.list_(pa.int32())),
+            pa.array([shrunk(rank[places])], pa.binary()),
+            pa.array([[pieces[k] for k in often]], pa.list_(pa.binary())),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["block", "doc_ids", "sizes", "stream", "pieces"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find, codec = regex.compile(pattern).findall, pa.Codec("zstd", 1)
-        block = TaskContext.get().partitionId() << 32
+        find, block = regex.compile(pattern).findall, TaskContext.get().partitionId() << 32
+        doc_ids, sizes, stream, place, held = [], [], [], _places(), 0
         for batch in batches:
-            _, offsets = common.text_buffer(batch.column("text"))
-            first = 0
-            while first < batch.num_rows:
-                end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + block_bytes, "right")) - 1)
-                place: dict[str, int] = defaultdict()
-                place.default_factory = place.__len__
-                sizes, stream = [], []
-                for text in batch.column("text").slice(first, end - first):
-                    pieces = find(text.as_py() or "")
-                    sizes.append(len(pieces))
-                    stream.append(np.fromiter(map(place.__getitem__, pieces), np.int32, len(pieces)))
-                columns = [
-                    pa.array([block], pa.int64()),
-                    pa.array([batch.column("doc_id").slice(first, end - first).to_pylist()], pa.list_(pa.int64())),
-                    pa.array([sizes], pa.list_(pa.int32())),
-                    pa.array([codec.compress(np.concatenate(stream), asbytes=True)], pa.binary()),
-                    pa.array([[p.encode() for p in place]], pa.list_(pa.binary())),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["block", "doc_ids", "sizes", "stream", "pieces"])
-                block, first = block + 1, end
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                pieces = find(text.as_py() or "")
+                doc_ids.append(doc_id)
+                sizes.append(len(pieces))
+                stream.append(np.fromiter(map(place.__getitem__, pieces), np.int32, len(pieces)))
+                held += len(text.as_buffer()) if text.is_valid else 0
+                if held >= block_bytes:
+                    yield row(block, doc_ids, sizes, stream, place)
+                    doc_ids, sizes, stream, place, held = [], [], [], _places(), 0
+                    block += 1
+        if doc_ids:
+            yield row(block, doc_ids, sizes, stream, place)
 
     return split
 
 
+def _places() -> dict[str, int]:
+    place: dict[str, int] = defaultdict()
+    place.default_factory = place.__len__
+    return place
+
+
+def shrunk(places: np.ndarray) -> bytes:
+    """Places as four planes of bytes, low ones first, compressed; `grown` reverses it."""
+    return pa.Codec("zstd", 1).compress(np.ascontiguousarray(places.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), asbytes=True)
+
+
+def grown(packed_places: pa.Buffer, count: int) -> np.ndarray:
+    planes = np.frombuffer(pa.Codec("zstd", 1).decompress(packed_places, 4 * count, asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<i4").ravel()
+
+
 def packed(ranks: dict[bytes, int]):
     """Rows of one piece -> rows of ROW_PIECES pieces, with the ids of those that are too long for a fold."""
 
@@ -200,12 +211,26 @@ def packed(ranks: dict[bytes, int]):
 
 
 def coded(pieces: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(piece, ids array<int>, bytes binary) of distinct pieces."""
+    """(piece, ids array<int>) of distinct pieces."""
     rows = pieces.mapInArrow(packed(ranks), "pieces array<binary>, ready array<array<int>>")
-    folded = bound(rank_literal(ranks), lambda t: F.zip_with("pieces", "ready", lambda p, r: F.coalesce(r, merged(t, p))))
-    rows = rows.select("pieces", folded.alias("ids"))
-    with_bytes = bound(token_literal(ranks), lambda t: F.zip_with("pieces", "ids", lambda p, i: F.struct(p.alias("piece"), i.alias("ids"), decoded(t, i).alias("bytes"))))
-    return rows.select(F.explode(with_bytes).alias("c")).select("c.piece", "c.ids", "c.bytes")
+    folded = bound(rank_literal(ranks), lambda t: F.zip_with("pieces", "ready", lambda p, r: F.struct(p.alias("piece"), F.coalesce(r, merged(t, p)).alias("ids"))))
+    return rows.select(F.explode(folded).alias("c")).select("c.piece", "c.ids")
+
+
+class Tokens:
+    """The binary pieces of the vocabulary, by rank."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.size = np.zeros(max(ranks.values(), default=-1) + 1, np.int64)
+        for token, rank in ranks.items():
+            self.size[rank] = len(token)
+        self.at = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(sorted(ranks, key=ranks.__getitem__)), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids' binary pieces one after another, and each one's length."""
+        n = self.size[ids]
+        return self.bytes[_gather(self.at[ids], n)], n
 
 
 def _gather(at: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -213,55 +238,58 @@ def _gather(at: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(at - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
-def _flat(values: pa.ChunkedArray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Data of a list or binary column in a new order: all values, and each row's begin and length among them."""
-    column = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
-    if pa.types.is_binary(column.type):
-        data, ends = common.text_buffer(column)
-    else:
-        ends = column.offsets.to_numpy() - column.offsets[0].as_py()
-        data = column.flatten().to_numpy(zero_copy_only=False)
-    return data, ends[:-1][order].astype(np.int64), np.diff(ends)[order].astype(np.int64)
-
-
-def joined_texts(block: pa.Table, codes: pa.Table) -> Iterator[pa.RecordBatch]:
-    """The texts of one block, each put together from the codes of its pieces, STEP texts at a time."""
+def joined_texts(block: pa.Table, codes: pa.Table, tokens: Tokens, step: int = 256) -> Iterator[pa.RecordBatch]:
+    """The texts of one block, each put together from the codes of its pieces, `step` texts at a time."""
     order = np.argsort(codes.column("place").to_numpy(), kind="stable")
-    ids, ids_at, ids_n = _flat(codes.column("ids"), order)
-    data, data_at, data_n = _flat(codes.column("bytes"), order)
+    lists = codes.column("ids").combine_chunks()
+    borders, flat = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy(zero_copy_only=False)
+    at, n = borders[:-1][order].astype(np.int64), np.diff(borders)[order].astype(np.int64)
     row = block.slice(0, 1).combine_chunks()
     doc_ids, sizes = row.column("doc_ids").chunk(0).flatten(), row.column("sizes").chunk(0).flatten().to_numpy()
     ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-    stream = np.frombuffer(pa.Codec("zstd").decompress(row.column("stream")[0].as_buffer(), int(ends[-1]) * 4, asbytes=True), np.int32)
-    step = 256
+    stream = grown(row.column("stream")[0].as_buffer(), int(ends[-1]))
     for first in range(0, len(sizes), step):
         cut = ends[first : first + step + 1]
         places = stream[cut[0] : cut[-1]]
-        n, m = ids_n[places], data_n[places]
-        border = lambda k: np.concatenate([[0], np.cumsum(k)])[cut - cut[0]].astype(np.int32)
-        texts = pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(border(m)), pa.py_buffer(np.ascontiguousarray(data[_gather(data_at[places], m)]))])
-        lists = pa.ListArray.from_arrays(pa.array(border(n)), pa.array(ids[_gather(ids_at[places], n)].astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([doc_ids.slice(first, len(cut) - 1), lists, texts], ["doc_id", "ids", "decoded"])
+        count = n[places]
+        ids = flat[_gather(at[places], count)].astype(np.int32)
+        data, size = tokens.decode(ids)
+        id_ends = np.concatenate([[0], np.cumsum(count)])[cut - cut[0]]
+        byte_ends = np.concatenate([[0], np.cumsum(size)])[id_ends]
+        decoded = pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(byte_ends.astype(np.int32)), pa.py_buffer(data)])
+        yield pa.RecordBatch.from_arrays([doc_ids.slice(first, len(cut) - 1), pa.ListArray.from_arrays(pa.array(id_ends.astype(np.int32)), pa.array(ids)), decoded], ["doc_id", "ids", "decoded"])
 
 
 def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, ids array<int>, decoded binary): the ids of every whole text, and the bytes they decode to."""
+    context = documents.sparkSession.sparkContext
     texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     blocks = common.written(texts.mapInArrow(split_blocks(pattern, block_bytes), BLOCK), "pieces")
     each = blocks.select("block", F.posexplode("pieces").alias("place", "piece"))
-    most = blocks.agg(F.sum(F.size("pieces"))).first()[0] or 0
-    cores = documents.sparkSession.sparkContext.defaultParallelism
-    tasks = max(1, min(2 * cores, most // (ROW_PIECES // 8)), most // ROW_PIECES)
+    distinct = each.agg(F.approx_count_distinct("piece")).first()[0]
+    tasks = max(1, min(2 * context.defaultParallelism, distinct // (ROW_PIECES // 8)), distinct // ROW_PIECES)
     codes = common.written(coded(each.select("piece").repartition(tasks, "piece").distinct(), ranks), "codes")
-    found = each.join(codes, "piece").select(F.col("block").alias("of"), "place", "ids", "bytes")
+    found = common.written(each.join(codes, "piece").select(F.col("block").alias("of"), "place", "ids"), "coded")
+    common.discard(codes)
+    held = context.broadcast(ranks)  # one vocabulary, fixed in size
 
     def gather(block: pa.Table, codes: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(joined_texts(block, codes)))
+        return pa.Table.from_batches(list(joined_texts(block, codes, tokens_of(held))))
 
     rows = blocks.select("block", "doc_ids", "sizes", "stream")
     return rows.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(gather, "doc_id long, ids array<int>, decoded binary")
 
 
+_tokens: list[tuple[dict, Tokens]] = []
+
+
+def tokens_of(held) -> Tokens:
+    """The vocabulary of a worker, laid out once for all its blocks."""
+    if not _tokens or _tokens[0][0] is not held.value:
+        _tokens[:] = [(held.value, Tokens(held.value))]
+    return _tokens[0][1]
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = read_ranks(public_tokenizers.path(RANK_FILE))
     return encode(common.table(spark, sf_dir, "documents"), ranks).select(
