@@ -16,7 +16,7 @@ CHUNK_BYTES = 1 << 20
 
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-#: Fallback for sessions without spark.checkpoint.dir (tests on one machine).
+#: For local sessions without spark.checkpoint.dir.
 LOCAL_CHECKPOINT_DIR = "/tmp/lodestone-checkpoints"
 
 
@@ -25,14 +25,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir, or a local one where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINT_DIR
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a session on one machine has a local one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return named or LOCAL_CHECKPOINT_DIR
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have, case aside."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(columns: list[str]) -> list[Column]:
+    return [F.col(f"`{c.replace('`', '``')}`") for c in columns]
+
+
+def session_dir(spark: SparkSession) -> str:
+    """Where this application's written tables lie; results read them, so they stay until `clear`."""
+    return f"{shared_dir(spark).rstrip('/')}/lodestone/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all written tables of this application, once its results are stored."""
+    _delete(spark, session_dir(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    with contextlib.suppress(Exception):
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """`df` as a table written to the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/lodestone/{label}-{uuid.uuid4().hex}"
+    path = f"{session_dir(spark)}/{label}-{uuid.uuid4().hex}"
     with shuffles_dropped(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -52,11 +83,8 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
 def discard(*frames: DataFrame) -> None:
     """Deletes tables made by `written` that no later step reads."""
     for df in frames:
-        spark = df.sparkSession
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            with contextlib.suppress(Exception):
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, folder)
 
 
 def remainder(doc_id: Column, n: int) -> Column:

@@ -7,7 +7,8 @@ much of an open document each block inherits, also over blocks without a separat
 in groups of GROUP, then groups), so neither a window nor a task grows with a file.
 
 Defined cases: an empty document has 0 tokens; ids after the last separator of a file are one more document, marked as
-not terminated; an empty file has no documents.
+not terminated; an empty file has no documents. Of tables: null and empty texts have 0 tokens; null ids and repeated rows are rows as any
+other; very long texts run over as many blocks as they need; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from .op09_bpe import RANK_FILE, read_ranks
 EOD = 50256
 BLOCK_TOKENS = 1 << 17
 GROUP = 1024
+WHOLE_BYTES, LEAST_RECORD = 32 << 20, 4096
 
 
 def token_blocks(documents: DataFrame, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN, eod: int = EOD, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -66,23 +68,40 @@ def token_blocks(documents: DataFrame, ranks: dict[bytes, int], pattern: str = p
 
 
 def read_token_files(spark: SparkSession, path: str, block_bytes: int = 2 * BLOCK_TOKENS) -> DataFrame:
-    """(file string, block long, payload binary) of flat files of 16-bit ids, read by Spark in fixed-length records.
+    """(file string, block long, payload binary) of flat files of 16-bit ids, read by Spark.
 
-    The record length of a file is the greatest even divisor of its size that is at most `block_bytes`; sizes come from
-    the file listing, so nothing is read twice.
+    A file of more than WHOLE_BYTES is read in records whose length is the greatest even divisor of its size that is at most `block_bytes`.
+    Smaller ones, and those whose size has no divisor of LEAST_RECORD bytes, are read as a whole, each in one task, and cut into blocks there.
+    An odd byte at the end of a file is half an id and is left out. Sizes come from the file listing, so nothing is read twice.
     """
-    sizes = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length").where("length > 1").collect()
-    parts = []
-    for name, length in sizes:
-        record = next(r for r in range(min(block_bytes, length) // 2 * 2, 0, -2) if length % r == 0)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    records = {}
+    for name, length in files.select("path", "length").where(F.col("length") > WHOLE_BYTES).collect():
+        record = next((r for r in range(min(block_bytes, length) // 2 * 2, LEAST_RECORD - 1, -2) if length % r == 0), None)
+        if record:
+            records[name] = record
+    fields = "file string, block long, payload binary"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = max(2, block_bytes // 2 * 2)
+        for batch in batches:
+            for name, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                raw = content.as_buffer()
+                for k, start in enumerate(range(0, len(raw) - 1, size)):
+                    payload = raw[start : min(start + size, len(raw) // 2 * 2)].to_pybytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()]), pa.array([k], pa.int64()), pa.array([payload], pa.binary())], ["file", "block", "payload"])
+
+    whole = files.where((F.col("length") > 1) & ~F.col("path").isin(list(records))).select("path", "content").mapInArrow(cut, fields)
+    if not records:
+        return whole
+
+    def read(name: str, record: int):
         conf = {"org.apache.spark.input.FixedLengthBinaryInputFormat.recordLength": str(record)}
-        records = spark.sparkContext.newAPIHadoopFile(name, "org.apache.spark.input.FixedLengthBinaryInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf=conf)
-        frame = spark.createDataFrame(records.map(lambda kv: (int(kv[0]), bytes(kv[1]))), "block long, payload binary")
-        parts.append(frame.select(F.lit(name).alias("file"), "block", "payload"))
-    out = spark.createDataFrame([], "file string, block long, payload binary")
-    for part in parts:
-        out = out.unionByName(part)
-    return out
+        rows = spark.sparkContext.newAPIHadoopFile(name, "org.apache.spark.input.FixedLengthBinaryInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf=conf)
+        return rows.map(lambda kv: (name, int(kv[0]), bytes(kv[1])))
+
+    large = spark.sparkContext.union([read(name, record) for name, record in sorted(records.items())])
+    return whole.unionByName(spark.createDataFrame(large, fields))
 
 
 def summaries(blocks: DataFrame, eod: int = EOD) -> DataFrame:

@@ -9,7 +9,8 @@ The blocks' results are merged by rank. Nothing is approximate; queries are all
 Defined cases: vectors that are null, empty or hold a null or non-finite component take no part, nor do rows without an
 id; rows that repeat an id and its vector count once; an id with several vectors is several candidates and its
 query asks for the best over its vectors' pairs, none with its own id; vectors are compared with vectors of the same length;
-ties go to the smaller vec_id. Components must stay within 2**28 after scaling, so that sums are exact in 64 bits.
+ties go to the smaller vec_id. Bounds are sums of whole numbers and exact; components too large for that are compared with Python's
+integers; scores beyond 64 bits are cut at their limits. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,25 +42,33 @@ def scaled(embeddings: DataFrame) -> DataFrame:
 
 
 class VaFile:
-    """Vectors with their cells: lo and hi are the least and greatest component of each vector's cell."""
+    """Vectors with their cells: mid is twice the middle of each vector's cell, half the width of the cell, in each dimension."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, bits: int = BITS) -> None:
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids, vectors = ids[order], vectors[order]
         self.first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))  # where each distinct id begins
+        self.most = max(abs(int(vectors.min())), abs(int(vectors.max())))
         least, most = vectors.min(0), vectors.max(0)
-        width = np.maximum(1, -(-(most - least + 1) // (1 << bits)))
-        codes = (vectors - least) // width
-        self.lo = (least + codes * width).astype(np.float64)
-        self.hi = np.minimum(self.lo + width - 1, most)
+        width = np.maximum(1, (most - least) // (1 << bits) + 1)
+        low = least + (vectors - least) // width * width
+        high = np.minimum(low + width - 1, most)
+        self.mid, self.half = low + high, high - low
 
     def top(self, qid: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query id, ids, scores) of the k best of each query, none of them of the query's own id."""
+        # Twice a bound is a sum of integers below `reach`: exact in 32 bits below 2**24, in 64 below 2**53. Beyond, all is compared with whole numbers.
+        reach = 4 * (self.most + 1) * (max(abs(int(queries.min())), abs(int(queries.max()))) + 1) * queries.shape[1]
+        if reach >= 1 << 53:
+            for i, q in enumerate(queries):
+                yield qid[i], *self._whole(int(qid[i]), q, k)
+            return
+        kind = np.float32 if reach < 1 << 24 else np.float64
+        mid, half = self.mid.astype(kind), self.half.astype(kind)
         for at in range(0, len(queries), TILE):
-            q = queries[at : at + TILE].astype(np.float64)
-            up, down = np.maximum(q, 0), np.minimum(q, 0)
-            upper = up @ self.hi.T + down @ self.lo.T
-            lower = up @ self.lo.T + down @ self.hi.T
+            q = queries[at : at + TILE].astype(kind)
+            middle, spread = q @ mid.T, np.abs(q) @ half.T
+            upper, lower = (middle + spread) / 2, (middle - spread) / 2
             own = qid[at : at + TILE, None] == self.ids[None, :]
             upper[own] = lower[own] = -np.inf
             if len(self.first) < len(self.ids):
@@ -69,6 +78,15 @@ class VaFile:
             for i in range(len(q)):
                 yield qid[at + i], *self._certain(queries[at + i], upper[i], floor[i], k)
 
+    def _whole(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same for components whose sums floating point can't hold. Scores beyond 64 bits are cut at their limits."""
+        best: dict[int, int] = {}
+        for i, s in zip(self.ids.tolist(), (self.vectors.astype(object) @ q.astype(object)).tolist(), strict=True):
+            if i != own:
+                best[i] = max(s, best.get(i, s))
+        top = sorted((-max(-(1 << 63), min((1 << 63) - 1, s)), i) for i, s in best.items())[:k]
+        return np.array([i for _, i in top], np.int64), np.array([-s for s, _ in top], np.int64)
+
     def _certain(self, q: np.ndarray, upper: np.ndarray, floor: float, k: int) -> tuple[np.ndarray, np.ndarray]:
         left = np.flatnonzero((upper >= floor) & (upper > -np.inf))
         left = left[np.argsort(-upper[left], kind="stable")]

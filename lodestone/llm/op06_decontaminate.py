@@ -11,7 +11,7 @@ the benchmark; each block is one pass over the documents. One block serves about
 
 Defined cases: null and empty texts have no words and no hits; items without words have no windows; rows without an
 item_id are left out, rows that repeat one are one item with all their windows; rows that repeat a doc_id are judged
-each by its own text; other columns are ignored.
+each by its own text; very long texts are searched whole; empty tables give no hits; other columns are ignored.
 """
 
 from __future__ import annotations

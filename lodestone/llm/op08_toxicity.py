@@ -2,12 +2,14 @@
 
 score = sigmoid(bias + sum of w_i + sum over pairs of <v_i, v_j>), over the distinct lower-cased words of a text
 and the first PREFIXES bytes of longer ones, so inflected and joined forms share terms. The
-linear part is learnt by FTRL-proximal, whose L1 term keeps only words seen often enough to be believed; the factors
-(AdaGrad) of those words carry what two of them mean together, such as an insult next to the mention of a group. A
-word without a linear weight has no part in pairs either, so long clean texts do not gather noise.
+linear part is learnt by FTRL-proximal, whose L1 term keeps only words seen often enough to be believed. Factors
+(AdaGrad) carry what two words mean together, such as an insult next to the mention of a group. Two kinds of terms have them: those with a
+linear weight, and, after the first pass, those that are neutral on their own but stand in at least MIN_TEXTS texts that the model
+still gets wrong (by HARD or more on average), as only a pair can explain those. Other words take no part, so long clean texts do not gather noise.
 
 It learns from a bounded sample of labelled rows (MAX_ROWS, in one task) and scores every whole text where it lies.
-Defined cases: as in the quality classifier; an empty text gets the bias alone.
+Defined cases: a null or empty text has no terms and gets the bias alone; without usable labels every score is 0.5; very long texts are
+scored whole; null ids, repeated rows and empty tables as any; other columns pass through `score_toxicity`, but for one that has the score's name.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ MAX_ROWS = 8000
 EPOCHS = 4
 ALPHA, L1, L2 = 0.5, 2.0, 0.01
 FACTOR_RATE, FACTOR_L2, FACTOR_START = 0.05, 1e-3, 0.01
+MIN_TEXTS, HARD = 20, 0.35
 PART, HELD_OUT = 5, 0
 
 
@@ -49,19 +52,24 @@ def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = np.full((1 << BITS, RANK), 1e-2, np.float32)
     share = (sum(ys) + 1) / (len(ys) + 2)
     model.bias = float(np.log(share / (1 - share)))
+    texts = np.bincount(np.concatenate(ids), minlength=1 << BITS)
+    hard = np.zeros(1 << BITS, bool)
     for _ in range(EPOCHS):
+        wrong = np.zeros(1 << BITS, np.float32)
         for u, y in zip(ids, ys, strict=True):
             w = model.weights(u)
-            on = u[w != 0]
+            on = u[(w != 0) | hard[u]]
             f = v[on]
             error = float(sigmoid(model.bias + w.sum() + pairs(f))) - y
+            wrong[u] += abs(error)
             model.update(u, np.ones(len(u)), w, error)
             if len(on) > 1:
                 g = error * (f.sum(0) - f) + FACTOR_L2 * f
                 seen[on] += g * g
                 v[on] = f - FACTOR_RATE * g / np.sqrt(seen[on])
+        hard |= (texts >= MIN_TEXTS) & (wrong >= HARD * np.maximum(1, texts))
     w = model.weights(slice(None))
-    kept = np.flatnonzero(w)
+    kept = np.flatnonzero((w != 0) | (hard & (seen > 0.02).any(1)))
     yield pa.RecordBatch.from_pydict({"bias": [model.bias], "terms": [kept.astype("<i4").tobytes()], "weights": [w[kept].astype("<f4").tobytes()], "factors": [v[kept].astype("<f4").tobytes()]})
 
 

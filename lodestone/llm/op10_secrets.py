@@ -164,14 +164,16 @@ def per_text(documents: DataFrame, model: PipelineModel, cutoff: float = CUTOFF)
 
 
 def redact(documents: DataFrame, model: PipelineModel, mark: str = "[SECRET]") -> DataFrame:
-    """`documents` with the secrets of every text replaced by `mark`, and n_secrets; all columns pass through."""
-    found = per_text(documents, model).where("n_secrets > 0").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("n_secrets").alias("_n"), F.col("secrets").alias("_s"))
+    """`documents` with the secrets of every text replaced by `mark`, and n_secrets (which replaces a column of that name); all others pass through."""
+    key = common.fresh(documents, "found")
+    found = per_text(documents, model).where("n_secrets > 0").select(F.struct("doc_id", "h", "n_secrets", "secrets").alias(key))
+    mine = F.col(key)
     place = lambda s: F.when(F.length(s) >= MIN_LENGTH, s).otherwise(F.concat(F.lit(f"(?<!{_RUN})"), s, F.lit(f"(?!{_RUN})")))
-    pattern = F.array_join(F.transform("_s", lambda s: place(F.replace(s, F.lit("+"), F.lit("[+]")))), "|")
+    pattern = F.array_join(F.transform(mine["secrets"], lambda s: place(F.replace(s, F.lit("+"), F.lit("[+]")))), "|")
     text = F.coalesce(F.regexp_replace(F.col("text"), pattern, F.lit(re.sub(r"([\\$])", r"\\\1", mark))), F.col("text"))
-    joined = documents.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left")
-    kept = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns if c != "n_secrets"]
-    return joined.select(*kept, F.coalesce("_n", F.lit(0).cast("long")).alias("n_secrets"))
+    joined = documents.join(found, F.col("doc_id").eqNullSafe(mine["doc_id"]) & (F.xxhash64("text") == mine["h"]), "left")
+    kept = [text.alias("text") if c == "text" else x for c, x in zip(documents.columns, common.quoted(documents.columns), strict=True) if c != "n_secrets"]
+    return joined.select(*kept, F.coalesce(mine["n_secrets"], F.lit(0).cast("long")).alias("n_secrets"))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
