@@ -27,28 +27,36 @@ SCORE = "__toxicity"
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = op08_toxicity.train_toxicity(docs, common.table(spark, sf_dir, "labels"))
-    return op08_toxicity.score_toxicity(docs, model, SCORE).where(F.col(SCORE) < TOXIC).select(*(F.col(f"`{c}`") for c in docs.columns))
+    score = common.fresh(docs, "toxicity")
+    return op08_toxicity.score_toxicity(docs, model, score).where(F.col(score) < TOXIC).select(*common.quoted(docs.columns))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     classes = op07_jaccard.jaccard_classes(docs, size=SHINGLE, num=NUM, den=DEN)
-    stays = classes.where("doc = first_doc AND h = first_h").select(F.col("doc").alias("__doc"), F.col("h").alias("__h")).distinct()
+    key = common.fresh(docs, "key")
+    stays = classes.where("doc = first_doc AND h = first_h").select(F.struct("doc", "h").alias(key)).distinct()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(op07_jaccard.NO_ID)), "__h": F.xxhash64(text)})
-    return keyed.join(stays, ["__doc", "__h"], "left_semi").dropDuplicates(["__doc", "__h"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    mine = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(op07_jaccard.NO_ID)).alias("doc"), F.xxhash64(text).alias("h"))
+    return docs.withColumn(key, mine).join(stays, key, "left_semi").dropDuplicates([key]).select(*common.quoted(docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    hits = op06_decontaminate.contamination(docs, common.table(spark, sf_dir, "benchmark")).where("n_hit > 0")
-    hits = hits.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
-    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h")), "left_anti")
+    key = common.fresh(docs, "key")
+    hits = op06_decontaminate.contamination(docs, common.table(spark, sf_dir, "benchmark")).where("n_hit > 0").select(F.struct("doc_id", "h").alias(key))
+    mine = F.struct("doc_id", F.xxhash64("text").alias("h"))
+    return docs.join(hits, mine.eqNullSafe(F.col(key)), "left_anti")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = op10_secrets.train_forest(op10_secrets.labelled_findings(spark))
-    cleaned = op10_secrets.redact(docs, model)
-    chars = {"n_chars": F.when(F.col("n_secrets") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
-    return cleaned.withColumns(chars).select(*(F.col(f"`{c}`") for c in docs.columns))
+    cleaned, found = op10_secrets.redact(docs, model), F.col("n_secrets")
+    if "n_secrets" in docs.columns:  # the column of the documents stays as it is
+        count, key = common.fresh(docs, "secrets"), common.fresh(docs, "given")
+        given = docs.withColumn(key, F.col("n_secrets"))
+        cleaned = op10_secrets.redact(given, model).withColumnsRenamed({"n_secrets": count}).withColumnsRenamed({key: "n_secrets"})
+        found = F.col(count)
+    chars = {"n_chars": F.when(found > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
+    return cleaned.withColumns(chars).select(*common.quoted(docs.columns))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
