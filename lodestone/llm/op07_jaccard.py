@@ -6,7 +6,7 @@ The Jaccard distance is a metric, so pivots can part the texts. But nearly all p
 a text at distance 1 from all pivots lies in no cell more than in another: its window holds every cell. Two exact steps
 therefore come before the metric join:
 - isolation: a text of n shingles linked with another has at most n - ceil(n num / den) shingles of its own. Shingles are counted
-  by a fixed share of their hashes (1 in SAMPLE, over all texts); a text with more shingles of its own than that has no
+  by a fixed share of their hashes (see `sample`; over all texts); a text with more shingles of its own than that has no
   link and is done. What the share can't tell stays in the join, so nothing is lost.
 - ground: the texts left are ordered by their rarest shingles; linked texts share one of the first n - ceil(n num / den) + 1.
   Texts with such a shingle in common form a first region, named by the least of them.
@@ -42,7 +42,6 @@ from .components import components
 
 SIZE = 3
 NUM, DEN = 90, 100
-SAMPLE = 3
 LEAF = 2048
 PIVOTS = 8
 CELLS = 16
@@ -88,9 +87,14 @@ def id_rows(batches: Iterator[pa.RecordBatch], size: int = SIZE) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, len(sets)) for c in ("doc", "h")), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["doc", "h", "sid", "n"])
 
 
-def sampled_rows(batches: Iterator[pa.RecordBatch], size: int = SIZE) -> Iterator[pa.RecordBatch]:
+def sample(num: int = NUM, den: int = DEN) -> int:
+    """One in how many shingles tells isolation: about twice as many of them as a linked text may have to itself."""
+    return max(3, 5 * den // (10 * max(1, den - num)))
+
+
+def sampled_rows(batches: Iterator[pa.RecordBatch], size: int = SIZE, share: int = 3) -> Iterator[pa.RecordBatch]:
     for _, _, sets in _each(batches, size):
-        kept = [s[s % np.uint64(SAMPLE) == 0] for s in sets]
+        kept = [s[s % np.uint64(share) == 0] for s in sets]
         owner = np.repeat(np.array([set_id(s) for s in sets], np.int64), [len(k) for k in kept])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kept).view(np.int64)), pa.array(owner)], ["shingle", "sid"])
 
@@ -113,7 +117,8 @@ def prefix(n: Column, num: int = NUM, den: int = DEN) -> Column:
 
 def crowded(source: DataFrame, sets: DataFrame, size: int = SIZE, num: int = NUM, den: int = DEN) -> DataFrame:
     """The rows of `sets` (sid, n, doc, h) that isolation can't tell to be without links."""
-    seen = source.mapInArrow(lambda batches: sampled_rows(batches, size), "shingle long, sid long").groupBy("shingle").agg(F.min("sid").alias("sid"), F.max("sid").alias("other"))
+    share = sample(num, den)
+    seen = source.mapInArrow(lambda batches: sampled_rows(batches, size, share), "shingle long, sid long").groupBy("shingle").agg(F.min("sid").alias("sid"), F.max("sid").alias("other"))
     own = seen.where("sid = other").groupBy("sid").agg(F.count(F.lit(1)).alias("own"))
     return sets.join(own, "sid", "left").where(F.coalesce("own", F.lit(0)) < prefix(F.col("n"), num, den)).drop("own")
 
@@ -121,8 +126,7 @@ def crowded(source: DataFrame, sets: DataFrame, size: int = SIZE, num: int = NUM
 def region_members(sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """(rid, sid, label): sets (sid, n, shingles) by the regions of their rarest shared shingles; no label is known yet."""
     each = sets.select("sid", "n", F.explode("shingles").alias("s"))
-    shared = each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    kept = each.join(shared, "s")
+    kept = each.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("s"))).where("df > 1")
     by_set = Window.partitionBy("sid")
     rank = F.row_number().over(by_set.orderBy("df", "s")) + F.col("n") - F.count(F.lit(1)).over(by_set)
     keys = common.written(kept.withColumn("rank", rank).where(F.col("rank") <= prefix(F.col("n"), num, den)).select("s", "sid"), "keys")
