@@ -1,6 +1,6 @@
 r"""Secret scans: a random forest over candidate strings, trained from labelled findings to remove false positives.
 
-A candidate is a run of [A-Za-z0-9_+/-] that holds a digit and at least MIN_LENGTH characters, or that is assigned (= or :) to one of
+A candidate is a run of [A-Za-z0-9_+/-] that holds a digit and at least MIN_LENGTH characters, that begins with one of PREFIXES, or that is assigned (= or :) to one of
 SECRET_WORDS, whatever its length and characters. Candidates may be joined by '.', ':' or '@'. Its features are its length,
 the shares of its kinds of characters, the transitions between kinds, how much of it a small dictionary covers, whether it looks like
 part of a path, address or name, and the words next to it. Everything runs in DataFrame functions and in pyspark.ml's forest.
@@ -37,7 +37,7 @@ PREFIXES = "AKIA ghp_ gho_ sk_live_ sk- xoxb- glpat- npm_ AIza hf_"
 PLAIN_WORDS = "required optional string none null true false value enabled disabled hidden changed invalid missing expired here below management rotation policy manager field input reset length generator please unknown public important"
 _RUN = "[A-Za-z0-9_+/-]"
 _ASSIGNED = rf"""(?<=[=:]\s{{0,3}}["']?)(?<=(?i:(?<![A-Za-z])(?:{'|'.join(SECRET_WORDS.split())})["']?\s{{0,3}}[=:]\s{{0,3}}["']?))"""
-CANDIDATE = rf"(?<!{_RUN})(?:(?=[A-Za-z_+/-]*[0-9]){_RUN}{{16,}}|{_ASSIGNED}{_RUN}+)"
+CANDIDATE = rf"(?<!{_RUN})(?:(?=[A-Za-z_+/-]*[0-9]){_RUN}{{16,}}|(?:{'|'.join(PREFIXES.split())}){_RUN}{{12,}}|{_ASSIGNED}{_RUN}+)"
 #: Groups: before, candidate, after. What stands next to a candidate is looked at, not consumed, so it can be a candidate itself.
 IN_CONTEXT = rf"(?={CANDIDATE})(?:(?<=((?<![A-Za-z])[A-Za-z][A-Za-z_-]{{1,19}}[^A-Za-z0-9_+/\n-]{{1,5}}))|)({CANDIDATE})(?=([.@:][A-Za-z0-9]{{1,8}})?)"
 FEATURES = ["length", "digits", "upper", "lower", "marks", "hexes", "distinct", "runs", "longest_letters", "longest_digits", "covered", "vowels", "consonants", "path", "tail", "dashes", "secret_word", "harmless_word", "assigned", "prefixed"]

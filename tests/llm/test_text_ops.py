@@ -289,7 +289,7 @@ def test_secret_recall_against_a_plain_scan(spark):
     plain = re.compile(r"[A-Za-z0-9_+/-]{16,}")
     for k, text in rows:
         want = {m for m in plain.findall(text) if any(c.isdigit() for c in m)}
-        assert want <= {c for c, _ in found.get(k, [])} and planted[k] in want
+        assert want | {planted[k]} <= {c for c, _ in found.get(k, [])}
     assert sum(any(c == s and score >= op10_secrets.CUTOFF for c, score in found[k]) for k, s in enumerate(planted)) >= 0.9 * len(planted)
 
 
