@@ -90,6 +90,15 @@ def utf16_units(text: Column) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16LE")) / 2).cast("int")
 
 
+def utf16_slice(text: Column, start: int, end: int) -> Column:
+    """The UTF-16 units start <= k < end of a text; half of a surrogate pair at a border is left out."""
+    units = F.substring(F.encode(text, "UTF-16BE"), 2 * start + 1, 2 * (end - start))
+    head = F.hex(F.substring(units, 1, 1)).between("DC", "DF")
+    units = F.when(head, F.substring(units, F.lit(3), F.octet_length(units))).otherwise(units)
+    tail = F.hex(F.substring(units, F.octet_length(units) - 1, F.lit(1))).between("D8", "DB") & (F.octet_length(units) > 0)
+    return F.decode(F.when(tail, F.substring(units, F.lit(1), F.octet_length(units) - 2)).otherwise(units), "UTF-16BE")
+
+
 def code_blocks(text: Column) -> Column:
     """Distinct bodies of fenced blocks, in order, without a leading language name."""
     return F.array_distinct(F.transform(found(text, r"(?s)```(?:[a-z]+(?=\s))?\n?(.*?)```", 1), lambda b: F.regexp_replace(F.regexp_replace(b, r"^query\s+", ""), r"^\s+|\s+$", "")))

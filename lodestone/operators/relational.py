@@ -64,3 +64,43 @@ def allowed(client: Column, acl: Column) -> Column:
 def clone_tenant(rows: DataFrame, column: str, source: int, target: int) -> DataFrame:
     """Adds the source tenant's rows under the target's id."""
     return rows.unionByName(rows.where(F.col(column) == source).withColumn(column, F.lit(target).cast(rows.schema[column].dataType)))
+
+
+def app_fits(app: Column, installed: list[str]) -> Column:
+    """Whether a row names no app (null or blank), or an installed one."""
+    return app.isNull() | (F.trim(app) == "") | app.isin(installed)
+
+
+#: Folders that say a document's type, and folders of models before them.
+TYPES = ("action", "plan", "qna", "cve")
+MODELS = ("gpt-oss", "gpt", "llama", "general")
+
+
+def without_model(path: Column) -> Column:
+    return F.regexp_replace(path, f"^(?:{'|'.join(MODELS)})/", "")
+
+
+def type_of_path(path: Column, default: str = "qna") -> Column:
+    """The first folder of a path if it is a type, else the default; null for a null path."""
+    first = F.split_part(path, F.lit("/"), F.lit(1))
+    return F.when(first.isin(*TYPES), first).when(path.isNotNull(), default)
+
+
+def first_kind(hits: DataFrame, key: str, kind: str, first: str) -> DataFrame:
+    """Of each key the hits of the kind `first`; where it has none, all others. Keys without hits have no rows."""
+    best = hits.where(F.col(kind) == first)
+    return best.unionByName(hits.where(F.col(kind) != first).join(best.select(key).distinct(), key, "left_anti"))
+
+
+def merged_maps(left: Column, right: Column) -> Column:
+    """One map of both, right entries win; named m. A null map counts as an empty one."""
+    none = F.create_map().cast("map<string,string>")
+    a, b = F.coalesce(left, none), F.coalesce(right, none)
+    return F.map_concat(F.map_filter(a, lambda k, _: ~F.array_contains(F.map_keys(b), k)), b).alias("m")
+
+
+def edited(base: DataFrame, edits: DataFrame, key: str, vector: str, payload: str) -> DataFrame:
+    """Applies edits (key, vector, payload, reembed): the payload always, the vector where `reembed` holds. Unknown keys are ignored."""
+    e = edits.select(key, F.col(vector).alias("_v"), F.col(payload).alias("_p"), "reembed")
+    new = F.coalesce(F.col("reembed"), F.lit(False)) & F.col("_v").isNotNull()
+    return base.join(e, key, "left").withColumns({vector: F.when(new, F.col("_v")).otherwise(F.col(vector)), payload: F.coalesce("_p", payload)}).drop("_v", "_p", "reembed")

@@ -105,3 +105,8 @@ def packed(ranked_docs: DataFrame, budget: int, order: str = "rk", size: str = "
     """Documents of each query, in order, up to the first that would overflow the budget."""
     w = Window.partitionBy("qid").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return ranked_docs.withColumn("used", F.sum(size).over(w)).where(F.col("used") <= budget)
+
+
+def widened(k: int, by_id: Column, several: Column) -> Column:
+    """How many rows a search for the best k asks for: twice k, ten times for questions by id, two more for several intents."""
+    return F.when(by_id, F.lit(10 * k)).otherwise(F.lit(2 * k)) + F.when(several, F.lit(2)).otherwise(F.lit(0))
