@@ -9,11 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def cooccurrences(mentions: DataFrame, key: str = "doc_id", concept: str = "concept") -> DataFrame:
-    """(a, b, docs): concepts of one text, a < b, with the number of texts. Concepts of a text must be few (see plans)."""
-    left = mentions.select(key, F.col(concept).alias("a"))
-    right = mentions.select(key, F.col(concept).alias("b"))
-    return left.join(right, key).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("docs"))
+def cooccurrences(concepts: DataFrame, column: str = "concepts") -> DataFrame:
+    """(a, b, docs): pairs a < b of the concepts of one row, with the number of rows. Pairs are made within the row, counts are combined before the shuffle.
+
+    The array holds a text's distinct concepts, of which the extraction gives ten at most; null and empty ones have no pairs.
+    """
+    c = F.array_sort(column)
+    pairs = F.flatten(F.transform(c, lambda a, i: F.transform(F.slice(c, i + 2, F.size(c)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    return concepts.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("docs"))
 
 
 def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -45,18 +48,30 @@ def position_weight(index: Column) -> Column:
 
 
 def similar_names(names: DataFrame, least: float = 0.7) -> DataFrame:
-    """(a, b, score): pairs of (id, name) whose sequence-matcher ratio is at least `least`.
+    """(a, b, score): pairs of (id, name) whose sequence-matcher ratio is at least `least`, a before b.
 
-    A ratio of r needs lengths of which the smaller is at least r / (2 - r) of the greater, and at least one common
-    character pair; names are joined on their distinct two-letter grams and filtered by length before they are compared.
+    A ratio of r over names of x and y characters has r (x + y) / 2 of them in common, so at least r / (2 - r) of either's. As multisets
+    of characters, rarest first, such names share one of the first x - ceil(r x / (2 - r)) + 1: they are joined on these, and only pairs
+    whose lengths and common characters allow the ratio are compared. Nothing is lost. Names without characters have no pairs; names
+    that are equal are one row of the join (see `group`), and come back as pairs of their ids with the first of them.
     """
     clean = F.regexp_replace(F.lower("name"), r"[^\w\s]", "")
-    n = names.select("id", clean.alias("name")).withColumn("size", F.length("name"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("size") - 1)), lambda i: F.substring(F.col("name"), i, F.lit(2)))
-    g = n.withColumn("g", F.explode(F.array_distinct(grams)))
-    other = g.select(*(F.col(c).alias(f"{c}2") for c in ("id", "name", "size")), "g")
-    ratio = least / (2 - least)
-    pairs = g.join(other, "g").where((F.col("id") < F.col("id2")) & (F.least("size", "size2") >= ratio * F.greatest("size", "size2"))).select("id", "name", "id2", "name2").distinct()
+    rows = names.select("id", clean.alias("name")).where(F.length("name") > 0)
+    group = rows.groupBy("name").agg(F.min("id").alias("id"), F.length("name").alias("size"))
+    chars = F.filter(F.split("name", ""), lambda c: c != "")
+    numbered = F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, 1, i + 1), lambda d: d == c)).cast("string")))
+    each = group.select("id", "size", F.explode(numbered).alias("c"))
+    often = each.groupBy("c").agg(F.count(F.lit(1)).alias("often"))  # characters and their numbers: a few thousand
+    bag = each.join(often, "c").groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("often", "c"))).alias("bag"))
+    share = least / (2 - least)
+    first = F.slice("bag", 1, (F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1).cast("int"))
+    keyed = bag.select("id", "size", F.transform("bag", lambda x: x["c"]).alias("cs"), F.explode(F.transform(first, lambda x: x["c"])).alias("c"))
+    other = keyed.select(*(F.col(c).alias(f"{c}2") for c in ("id", "size", "cs")), "c")
+    total = F.col("size") + F.col("size2")
+    pairs = keyed.join(other, "c").where((F.col("id") < F.col("id2")) & (2 * F.least("size", "size2") >= least * total - 1e-9))
+    pairs = pairs.where(2 * F.size(F.array_intersect("cs", "cs2")) >= least * total - 1e-9).select("id", "id2").distinct()
+    text = group.select("id", "name")
+    pairs = pairs.join(text, "id").join(text.select(F.col("id").alias("id2"), F.col("name").alias("name2")), "id2")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from difflib import SequenceMatcher
@@ -65,4 +80,44 @@ def similar_names(names: DataFrame, least: float = 0.7) -> DataFrame:
             scores = [SequenceMatcher(None, x, y).ratio() for x, y in zip(b["name"], b["name2"], strict=True)]
             yield pd.DataFrame({"a": b["id"], "b": b["id2"], "score": scores})
 
-    return pairs.mapInPandas(compare, "a long, b long, score double").where(F.col("score") >= least)
+    found = pairs.mapInPandas(compare, "a long, b long, score double").where(F.col("score") >= least)
+    same = rows.join(group.select("name", F.col("id").alias("a")), "name").where("id != a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("score"))
+    return found.unionByName(same)
+
+
+def both_ways(terms: DataFrame) -> DataFrame:
+    """(term, other) of (ko, en) in both directions, with and without blanks; blank terms are left out."""
+    t = terms.select(F.lower(F.trim("ko")).alias("a"), F.lower(F.trim("en")).alias("b")).where((F.col("a") != "") & (F.col("b") != ""))
+    t = t.unionByName(t.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    bare = F.replace("a", F.lit(" "), F.lit(""))
+    return t.select(F.explode(F.array_distinct(F.array("a", bare))).alias("term"), F.col("b").alias("other")).distinct()
+
+
+def rebuilt(edges: DataFrame, affected: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Edges (source, target, ...) without those that touch an affected id, and the fresh ones."""
+    gone = affected.select("id").distinct()
+    kept = edges.join(gone.withColumnRenamed("id", "source"), "source", "left_anti").join(gone.withColumnRenamed("id", "target"), "target", "left_anti")
+    return kept.unionByName(fresh)
+
+
+def related(affected: DataFrame, nodes: DataFrame, edges: DataFrame, score, least: float, limit: int = 10_000) -> DataFrame:
+    """(source, target, score): affected nodes (id, name) with every node whose score is above `least`, without edges there are already, either way.
+
+    The affected side is counted: up to `limit` nodes it is broadcast, a larger one goes in parts of that size, each by its own join.
+    """
+    parts = max(1, -(-affected.count() // limit))
+    out = None
+    for k in range(parts):
+        a = affected.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == k).select(F.col("id").alias("source"), F.col("name").alias("x"))
+        found = nodes.select(F.col("id").alias("target"), F.col("name").alias("y")).join(F.broadcast(a), F.col("source") != F.col("target"))
+        found = found.select("source", "target", score(F.col("x"), F.col("y")).alias("score")).where(F.col("score") > least)
+        out = found if out is None else out.unionByName(found)
+    known = edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
+    return out.join(known, ["source", "target"], "left_anti")
+
+
+def dangling(edges: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Edges of a workflow (source, target) that name a task that is not there."""
+    ids = tasks.select("id").distinct()
+    bad = lambda side: edges.join(ids.withColumnRenamed("id", side), side, "left_anti").select("source", "target", F.lit(side).alias("problem"))
+    return bad("source").unionByName(bad("target"))
