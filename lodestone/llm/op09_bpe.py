@@ -2,14 +2,14 @@
 
 1. Texts are split into pieces by the vocabulary's pattern. A block is a row of about BLOCK_BYTES of texts: its distinct pieces
    once, and every text as places among them. Blocks are written to the shared folder.
-2. The distinct pieces of all blocks are folded once: Spark's higher-order functions fold the ranked merges over the byte
-   array of each piece. The rank map is a literal: an array of 2**16 small maps, addressed by the crc32 of the bytes, so a
-   look-up reads a few entries.
-3. Ids go back to the blocks by a join on the piece. Each text's ids are its pieces' ids in order; decoding concatenates the binary
+2. Pieces are dealt by their hash, so equal ones of all blocks meet and are folded once: Spark's higher-order functions fold the
+   ranked merges over the byte array of each piece. The rank map is a literal: an array of 2**16 small maps, addressed by the crc32 of
+   the bytes, so a look-up reads a few entries.
+3. Ids go back to their blocks, packed by block. Each text's ids are its pieces' ids in order; decoding concatenates the binary
    pieces of the ids.
 
-What a task holds is bounded by a block, not by its split or the vocabulary of the corpus: a piece has one row in each block that
-holds it, so no piece is hot. Only the public vocabulary, of fixed size, is broadcast. A piece of more than LONG bytes is merged with a
+What a task holds is bounded by a block, or by TASK_PIECES, not by its split or the vocabulary of the corpus: a piece has one row of a
+few bytes in each block that holds it, so no piece is hot. Only the public vocabulary, of fixed size, is broadcast. A piece of more than LONG bytes is merged with a
 heap instead of a fold (same ranks, same result), as a fold over n bytes takes n * n steps.
 
 Defined cases: null and empty texts have no ids and decode to no bytes; null ids and repeated rows are rows as any other;
@@ -39,8 +39,8 @@ BLOCK_BYTES = 32 << 20
 BUCKETS = 1 << 16
 LONG = 512
 NONE = (1 << 31) - 1
-#: Distinct pieces of a row of the fold, which reads the literal once, and so of a task.
-ROW_PIECES = 1 << 16
+#: Pieces (of all blocks, equal ones counted again) of a task that folds; it reads the literal once.
+TASK_PIECES = 1 << 18
 BLOCK = "block long, doc_ids array<long>, sizes array<int>, stream binary, pieces array<binary>"
 
 
@@ -190,31 +190,53 @@ def grown(packed_places: pa.Buffer, count: int) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, -1).T).view("<i4").ravel()
 
 
-def packed(ranks: dict[bytes, int]):
-    """Rows of one piece -> rows of ROW_PIECES pieces, with the ids of those that are too long for a fold."""
+CODEC = "zstd"
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
-        for batch in batches:
-            held += batch.column("piece").to_pylist()
-            if len(held) >= ROW_PIECES:
-                yield row(held)
-                held = []
-        if held:
-            yield row(held)
 
-    def row(pieces: list[bytes]) -> pa.RecordBatch:
-        ready = [merge_long(ranks, p) if len(p) > LONG else None for p in pieces]
-        return pa.RecordBatch.from_arrays([pa.array([pieces], pa.list_(pa.binary())), pa.array([ready], pa.list_(pa.list_(pa.int32())))], ["pieces", "ready"])
+def shut(values: np.ndarray) -> bytes:
+    return pa.Codec(CODEC, 1).compress(np.ascontiguousarray(values).tobytes(), asbytes=True)
+
 
-    return pack
+def opened(packed_values: pa.Buffer, count: int, kind: str) -> np.ndarray:
+    return np.frombuffer(pa.Codec(CODEC, 1).decompress(packed_values, count * np.dtype(kind).itemsize, asbytes=True), kind)
 
 
-def coded(pieces: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(piece, ids array<int>) of distinct pieces."""
-    rows = pieces.mapInArrow(packed(ranks), "pieces array<binary>, ready array<array<int>>")
-    folded = bound(rank_literal(ranks), lambda t: F.zip_with("pieces", "ready", lambda p, r: F.struct(p.alias("piece"), F.coalesce(r, merged(t, p)).alias("ids"))))
-    return rows.select(F.explode(folded).alias("c")).select("c.piece", "c.ids")
+def gathered(ranks: dict[bytes, int]):
+    """Rows (block, place, piece) of a task -> one row: its distinct pieces, the ids of those too long for a fold, and where each stands."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, at = _places(), [[], [], []]
+        for batch in batches:
+            pieces = batch.column("piece").to_pylist()
+            at[0].append(np.fromiter(map(number.__getitem__, pieces), np.int32, len(pieces)))
+            at[1].append(batch.column("block").to_numpy())
+            at[2].append(batch.column("place").to_numpy())
+        if number:
+            ready = [merge_long(ranks, p) if len(p) > LONG else None for p in number]
+            where = [pa.array([np.concatenate(a).tobytes()], pa.binary()) for a in at]
+            yield pa.RecordBatch.from_arrays([pa.array([list(number)], pa.list_(pa.binary())), pa.array([ready], pa.list_(pa.list_(pa.int32()))), *where], ["pieces", "ready", "number", "blocks", "places"])
+
+    return gather
+
+
+def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ids of a task's pieces, packed for each block that holds any of them: places, numbers of ids, ids."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            codes = batch.column("ids")[k].values
+            ends = codes.offsets.to_numpy() - codes.offsets[0].as_py()
+            flat = codes.flatten().to_numpy(zero_copy_only=False).astype("<i4")
+            number, block, place = (np.frombuffer(batch.column(c)[k].as_buffer(), t) for c, t in (("number", "<i4"), ("blocks", "<i8"), ("places", "<i4")))
+            order = np.lexsort((place, block))
+            cuts = np.flatnonzero(np.concatenate([[True], np.diff(block[order]) != 0, [True]]))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                rows = order[a:b]
+                n = np.diff(ends)[number[rows]].astype("<i4")
+                ids = flat[_gather(ends[:-1][number[rows]].astype(np.int64), n)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(block[rows[0]])], pa.int64()), pa.array([b - a], pa.int64()), pa.array([len(ids)], pa.int64()), *(pa.array([shut(x)], pa.binary()) for x in (place[rows], n, ids))],
+                    ["of", "pieces", "total", "places", "sizes", "ids"],
+                )
 
 
 class Tokens:
@@ -240,10 +262,11 @@ def _gather(at: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def joined_texts(block: pa.Table, codes: pa.Table, tokens: Tokens, step: int = 256) -> Iterator[pa.RecordBatch]:
     """The texts of one block, each put together from the codes of its pieces, `step` texts at a time."""
-    order = np.argsort(codes.column("place").to_numpy(), kind="stable")
-    lists = codes.column("ids").combine_chunks()
-    borders, flat = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy(zero_copy_only=False)
-    at, n = borders[:-1][order].astype(np.int64), np.diff(borders)[order].astype(np.int64)
+    parts = [(int(x["pieces"]), int(x["total"]), x["places"], x["sizes"], x["ids"]) for x in codes.select(["pieces", "total", "places", "sizes", "ids"]).to_pylist()]
+    read = lambda which, count, kind: np.concatenate([np.zeros(0, kind), *(opened(pa.py_buffer(x[which]), x[count], kind) for x in parts)])
+    place, size, flat = read(2, 0, "<i4"), read(3, 0, "<i4").astype(np.int64), read(4, 1, "<i4")
+    order = np.argsort(place)
+    at, n = (np.cumsum(size) - size)[order], size[order]
     row = block.slice(0, 1).combine_chunks()
     doc_ids, sizes = row.column("doc_ids").chunk(0).flatten(), row.column("sizes").chunk(0).flatten().to_numpy()
     ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
@@ -266,18 +289,19 @@ def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str = public_
     texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     blocks = common.written(texts.mapInArrow(split_blocks(pattern, block_bytes), BLOCK), "pieces")
     each = blocks.select("block", F.posexplode("pieces").alias("place", "piece"))
-    distinct = each.agg(F.approx_count_distinct("piece")).first()[0]
-    tasks = max(1, min(2 * context.defaultParallelism, distinct // (ROW_PIECES // 8)), distinct // ROW_PIECES)
-    codes = common.written(coded(each.select("piece").repartition(tasks, "piece").distinct(), ranks), "codes")
-    found = common.written(each.join(codes, "piece").select(F.col("block").alias("of"), "place", "ids"), "coded")
-    common.discard(codes)
+    most = blocks.agg(F.sum(F.size("pieces"))).first()[0] or 0
+    tasks = max(1, min(2 * context.defaultParallelism, most // (TASK_PIECES // 32)), most // TASK_PIECES)
+    rows = each.repartition(tasks, "piece").mapInArrow(gathered(ranks), "pieces array<binary>, ready array<array<int>>, number binary, blocks binary, places binary")
+    ids = bound(rank_literal(ranks), lambda t: F.zip_with("pieces", "ready", lambda p, r: F.coalesce(r, merged(t, p))))
+    coded = rows.select(ids.alias("ids"), "number", "blocks", "places").mapInArrow(by_block, "of long, pieces long, total long, places binary, sizes binary, ids binary")
+    found = common.written(coded, "codes")
     held = context.broadcast(ranks)  # one vocabulary, fixed in size
 
     def gather(block: pa.Table, codes: pa.Table) -> pa.Table:
         return pa.Table.from_batches(list(joined_texts(block, codes, tokens_of(held))))
 
-    rows = blocks.select("block", "doc_ids", "sizes", "stream")
-    return rows.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(gather, "doc_id long, ids array<int>, decoded binary")
+    streams = blocks.select("block", "doc_ids", "sizes", "stream")
+    return streams.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(gather, "doc_id long, ids array<int>, decoded binary")
 
 
 _tokens: list[tuple[dict, Tokens]] = []
