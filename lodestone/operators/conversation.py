@@ -1,4 +1,8 @@
-"""Windows over conversations: cleaning, budgets, islands."""
+"""Windows over conversations: cleaning, budgets, islands.
+
+Turns are ordered by `turn` within a conversation; of turns with one number any may come first. Null texts are blank: they are cleaned
+away, cost no tokens, and can be a role's last message. Empty tables give no rows; further columns pass through.
+"""
 
 from __future__ import annotations
 
@@ -18,6 +22,7 @@ def cleaned(turns: DataFrame, size: int = 2000) -> DataFrame:
 
 
 def last_turns(turns: DataFrame, n: int = 10) -> DataFrame:
+    """The newest n turns of each conversation."""
     w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
     return turns.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
@@ -29,6 +34,7 @@ def within_budget(turns: DataFrame, budget: int) -> DataFrame:
 
 
 def last_by_role(turns: DataFrame, role: str) -> DataFrame:
+    """(conv_id, text, turn) of the newest turn of a role; conversations without one have no row."""
     return turns.where(F.col("role") == role).groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"), F.max("turn").alias("turn"))
 
 
@@ -40,7 +46,7 @@ def islands(rows: DataFrame, key: str, order: str, boundary) -> DataFrame:
 
 
 def sessions(events: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
-    """Sessions that end after `gap_seconds` of silence, numbered for each key."""
+    """Sessions that end after `gap_seconds` of silence or more (as event-time session windows do), numbered for each key."""
     w = Window.partitionBy(key).orderBy(ts, "event_id")
-    new = F.coalesce((F.unix_timestamp(F.col(ts).cast("timestamp")) - F.lag(F.unix_timestamp(F.col(ts).cast("timestamp"))).over(w)) > gap_seconds, F.lit(True))
+    new = F.coalesce((F.unix_timestamp(F.col(ts).cast("timestamp")) - F.lag(F.unix_timestamp(F.col(ts).cast("timestamp"))).over(w)) >= gap_seconds, F.lit(True))
     return events.withColumn("_new", new).withColumn("session", F.sum(F.col("_new").cast("int")).over(w)).drop("_new")

@@ -1,4 +1,4 @@
-"""Evaluation aggregates and verdict rules."""
+"""Evaluation aggregates and verdict rules. Nulls are left out of means and break no rule; empty tables give no rows."""
 
 from __future__ import annotations
 
@@ -24,6 +24,7 @@ def sampled(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
 
 
 def mean_positive(score: Column, digits: int = 2) -> Column:
+    """Mean of the scores above 0, null if there are none."""
     return F.round(F.avg(F.when(score > 0, score)), digits)
 
 

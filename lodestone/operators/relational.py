@@ -1,4 +1,8 @@
-"""Keyed merges, diffs and access rules over relations."""
+"""Keyed merges, diffs and access rules over relations.
+
+A null key matches nothing, so its row is new, gone or kept as the operation has it; of rows that repeat a key all take part, unless an
+operator says which one stays. Empty tables are empty sides; further columns pass through where the result has the input's rows.
+"""
 
 from __future__ import annotations
 
@@ -27,13 +31,15 @@ def revised(base: DataFrame, changes: DataFrame, key: str, value: str) -> DataFr
     return joined.withColumns({value: F.coalesce(new, F.col(value)), "rev": F.when(changed, F.col("rev") + 1).otherwise(F.col("rev"))}).drop("_new")
 
 
-def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The row of greatest `order` of each key."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The row of greatest `order` of each key, as one aggregate that is combined before the shuffle."""
+    rest = [c for c in rows.columns if c != key]
+    best = rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_b"))
+    return best.select(key, *(F.col("_b").getField(c).alias(c) for c in rest))
 
 
 def without_orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
+    """Children whose parent is there; those with a null key have none."""
     return child.join(parent.select(F.col(parent_key).alias(child_key)), child_key, "left_semi")
 
 

@@ -88,8 +88,8 @@ def page_of_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT e.user_id, e.event_id, round(e.value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) e WHERE rn = 1""")
 def latest_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest row of each key."""
-    best = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by(F.struct("event_id", "value"), F.struct("ts", "event_id")).alias("b"))
-    return best.select("user_id", F.col("b.event_id").alias("event_id"), F.round("b.value", 6).alias("value"))
+    best = rel.latest(table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value"), "user_id", ["ts", "event_id"])
+    return best.select("user_id", "event_id", F.round("value", 6).alias("value"))
 
 
 @query("""SELECT doc_id, ip, n <= 4 AND bool_and(p <= 255) AS valid, CASE WHEN bool_and(p <= 255) THEN CAST(sum(p * pow(256, 3 - i)) AS BIGINT) END AS number FROM

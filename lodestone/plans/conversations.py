@@ -66,7 +66,7 @@ def token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.groupBy("role").agg(F.count(F.lit(1)).alias("calls"), F.sum(t.token_estimate(F.col("text"))).alias("tokens"), F.sum(t.word_count(F.col("text")).cast("long")).alias("words"))
 
 
-@query("""WITH s AS (SELECT *, coalesce(epoch(ts)::BIGINT - lag(epoch(ts)::BIGINT) OVER w > 3600, TRUE) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+@query("""WITH s AS (SELECT *, coalesce(epoch(ts)::BIGINT - lag(epoch(ts)::BIGINT) OVER w >= 3600, TRUE) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 g AS (SELECT *, CAST(sum(n::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS session FROM s)
 SELECT user_id, session, count(*) AS events, round(sum(value), 6) AS total FROM g GROUP BY 1, 2""")
 def activity_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,15 +23,15 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(off, "doc_id", "left_anti").join(points, "doc_id")
 
 
-def batch(points: DataFrame, n: int = 5) -> DataFrame:
-    """The query batch: the n points of least id."""
-    return points.orderBy("doc_id").limit(n).select(F.col("doc_id").alias("qid"), F.col("vec").alias("qvec"), F.col("text").alias("qtext"))
+def batch(points: DataFrame) -> DataFrame:
+    """The queries: every point whose id is divisible by 100."""
+    return points.where("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), F.col("vec").alias("qvec"), F.col("text").alias("qtext"))
 
 
 CORPUS = """
 corpus AS (SELECT d.doc_id, d.text, d.source, CAST(e.embedding AS DOUBLE[]) AS vec FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id
            WHERE d.doc_id % 3 + 1 IN (1, 2) AND d.doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)),
-q AS (SELECT doc_id AS qid, vec AS qvec, text AS qtext FROM corpus ORDER BY doc_id LIMIT 5)"""
+q AS (SELECT doc_id AS qid, vec AS qvec, text AS qtext FROM corpus WHERE doc_id % 100 = 0)"""
 DENSE = """
 dense AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM
           (SELECT qid, doc_id, round(list_cosine_similarity(qvec, vec), 9) AS score FROM q JOIN corpus ON doc_id <> qid))"""

@@ -26,3 +26,55 @@ SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS eve
 def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event-time session windows."""
     return buffers.session_totals(table(spark, sf_dir, "events")).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(guid, seq, chunk): turns of a conversation as the chunks of one answer."""
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("guid"), F.col("turn").alias("seq"), F.col("text").alias("chunk"))
+
+
+@query("""WITH a AS (SELECT CAST(conv_id AS VARCHAR) AS guid, string_agg(coalesce(text, ''), '' ORDER BY turn) AS t FROM conversations GROUP BY 1) SELECT guid, contains(t, 'qu') AS open, md5(CASE WHEN contains(t, 'qu') THEN substr(t, strpos(t, 'qu') + 2) ELSE '' END) AS readable FROM a""")
+def gated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An answer can be read after its marker."""
+    return buffers.gated(chunks(spark, sf_dir), "qu").select("guid", "open", F.md5("readable").alias("readable"))
+
+
+@query("""WITH k AS (SELECT CAST(c_nationkey AS VARCHAR) AS guid, c_custkey AS seq, substr(c_name, 15, 1 + c_custkey % 5) AS chunk FROM customer), d AS (SELECT *, lag(chunk) OVER (PARTITION BY guid ORDER BY seq) AS p FROM k) SELECT guid, string_agg(chunk, '' ORDER BY seq) AS answer, TRUE AS fit FROM d WHERE chunk IS DISTINCT FROM p GROUP BY guid""")
+def coalesced_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Z3: short chunks are held together; all text comes out in order, and no piece but the last is short."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("guid"), F.col("c_custkey").alias("seq"), F.expr("substring(c_name, 15, 1 + c_custkey % 5)").alias("chunk"))
+    p = buffers.coalesced(c).groupBy("guid").agg(F.array_sort(F.collect_list(F.struct("part", "piece"))).alias("p"))
+    text = F.array_join(F.transform("p", lambda x: x["piece"]), "")
+    return p.select("guid", text.alias("answer"), F.forall(F.slice("p", 1, F.greatest(F.lit(0), F.size("p") - 1)), lambda x: F.length(x["piece"]) >= 4).alias("fit"))
+
+
+@query("""WITH b AS (SELECT user_id, max(ts) AS last, bool_or(event_type = 'error') AS done FROM events WHERE event_id % 7 = 0 GROUP BY user_id), n AS (SELECT max(ts) AS now FROM events) SELECT user_id, done, (done AND date_diff('second', date_trunc('second', last), date_trunc('second', now)) >= 5) OR date_diff('second', date_trunc('second', last), date_trunc('second', now)) > 600000 AS gone FROM b, n""")
+def evicted_buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buffers that are done and idle, or idle for long, at the time of the last event."""
+    e = table(spark, sf_dir, "events")
+    b = e.where("event_id % 7 = 0").groupBy("user_id").agg(F.max("ts").alias("last"), F.bool_or(F.col("event_type") == "error").alias("done"))
+    now = e.agg(F.max("ts").cast("timestamp").alias("now"))
+    return buffers.evicted(b.join(F.broadcast(now)), F.col("now"), idle_seconds=600_000).select("user_id", "done", "gone")
+
+
+@query("""WITH k AS (SELECT event_id, lower(trim(event_type)) || ':m' || user_id % 5 AS key, epoch(ts)::BIGINT AS t, ts FROM events), h AS (SELECT key, t - lag(t) OVER (PARTITION BY key ORDER BY ts) AS d FROM k) SELECT key, count(*) AS lookups, count(*) FILTER (d <= 600) AS hits FROM h GROUP BY key""")
+def response_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Look-ups by query and model, and those that find an answer of the last ten minutes."""
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit(" "), F.upper("event_type")).alias("query"), F.concat(F.lit("m"), (F.col("user_id") % 5).cast("string")).alias("model"), "ts")
+    return buffers.cached(e, 600).groupBy("key").agg(F.count(F.lit(1)).alias("lookups"), F.count_if("hit").alias("hits"))
+
+
+@query("SELECT user_id, count(*) AS requests, count(*) FILTER (event_type <> 'error') AS succeeded FROM events GROUP BY user_id")
+def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit log, summed up by user."""
+    log = buffers.audited(table(spark, sf_dir, "events"))
+    return log.groupBy("user_id").agg(F.count(F.lit(1)).alias("requests"), F.count_if("success").alias("succeeded"))
+
+
+@query("""WITH s AS (SELECT conv_id, turn, contains(lower(text), 'wh') AS bad, role = 'user' AND turn >= 6 AS open FROM conversations), f AS (SELECT conv_id, min(turn) FILTER (bad OR open) AS at, max(turn) AS last FROM s GROUP BY conv_id)
+SELECT f.conv_id AS workflow, CASE WHEN f.at IS NULL THEN 'completed' WHEN s.open THEN 'pending' ELSE 'requires_alternative' END AS state, coalesce(f.at, f.last) AS at FROM f LEFT JOIN s ON s.conv_id = f.conv_id AND s.turn = f.at""")
+def workflow_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each workflow has come."""
+    answer = F.when(~((F.col("role") == "user") & (F.col("turn") >= 6)), F.col("text"))
+    s = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("workflow"), F.col("turn").alias("ord"), answer.alias("answer"))
+    return buffers.workflow_states(s, ["wh"])

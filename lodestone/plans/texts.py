@@ -26,12 +26,12 @@ def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", t.cut(F.col("text"), 100).alias("preview"), t.masked_key((F.col("doc_id") + 1000000).cast("string")).alias("masked"), t.token_estimate(F.col("text")).alias("tokens"), t.word_count(F.col("text")).cast("long").alias("words"))
 
 
-@query("""SELECT doc_id, coalesce(array_to_string(list_slice(w, 1, 5), ' '), '') AS head, coalesce(array_to_string([w[i] || ' ' || w[i + 1] FOR i IN range(1, least(len(w), 6))], '|'), '') AS pairs
+@query("""SELECT doc_id, coalesce(array_to_string(list_slice(w, 1, 5), ' '), '') AS head, coalesce(md5(array_to_string([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))], '|')), '') AS pairs
 FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{3,}') AS w FROM documents)""")
 def word_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring words."""
+    """The first five words, and all neighbouring ones as a digest."""
     d = table(spark, sf_dir, "documents").select("doc_id", t.term_counts(F.coalesce("text", F.lit(""))).alias("w"))
-    return d.select("doc_id", F.array_join(F.slice("w", 1, 5), " ").alias("head"), F.array_join(t.bigrams(F.slice("w", 1, 6)), "|").alias("pairs"))
+    return d.select("doc_id", F.array_join(F.slice("w", 1, 5), " ").alias("head"), F.md5(F.array_join(t.bigrams(F.col("w")), "|")).alias("pairs"))
 
 
 @query("""SELECT item_id, 'id: ' || CAST(item_id AS VARCHAR) || CASE WHEN length(trim(text)) > 0 THEN ' text: ' || trim(text) ELSE '' END AS joined FROM benchmark""")
