@@ -4,7 +4,8 @@ A window is WINDOW consecutive words of an item (a shorter item is one window).
 over all documents. A document that holds a window holds its rarest word, so that word is the window's necessary
 prefix: documents' words are joined with the prefixes alone. The prefix's place in the window and the window's length
 bound where it can start (positional and length bounds), and the words there are compared one by one. Everything runs
-in built-in functions; the verification is part of the join's stage, so candidates are never materialised.
+in built-in functions; the verification is part of the join's stage, so candidates are never materialised. Documents are cut into words
+once; the words are written to the shared folder, joined by blanks, and later passes cut them at these.
 
 Windows travel to the documents, in blocks of at most BLOCK_BYTES, so what is broadcast is bounded whatever the size of
 the benchmark; each block is one pass over the documents. One block serves about 100,000 windows.
@@ -41,9 +42,20 @@ def item_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     return w.select("item_id", "words", F.explode(starts).alias("start")).select("item_id", F.slice("words", F.col("start"), size).alias("window")).distinct()
 
 
-def word_counts(documents: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def tokenised(documents: DataFrame) -> DataFrame:
+    """(doc_id, h, n_words, joined): the words of every document, cut once and written."""
+    w = documents.select("doc_id", F.xxhash64("text").alias("h"), words(F.col("text").cast("string")).alias("w"))
+    return common.written(w.select("doc_id", "h", F.size("w").cast("long").alias("n_words"), F.array_join("w", " ").alias("joined")), "words")
+
+
+def cut(tokens: DataFrame) -> DataFrame:
+    """`tokens` with `words` in place of `joined`; documents without words are left out."""
+    return tokens.where("n_words > 0").select("doc_id", "h", F.split("joined", " ").alias("words"))
+
+
+def word_counts(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(word, n) for the words of `vocabulary`, over all documents; absent words have no row."""
-    each = documents.select(F.explode_outer(words(F.col("text"))).alias("word"))
+    each = cut(tokens).select(F.explode("words").alias("word"))
     return each.join(F.broadcast(vocabulary), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -54,9 +66,9 @@ def with_prefix(windows: DataFrame, counts: DataFrame) -> DataFrame:
     return windows.join(rarest, "window").select("item_id", "window", F.col("p.word").alias("word"), F.col("p.at").alias("at"))
 
 
-def occurrences(documents: DataFrame, windows: DataFrame) -> DataFrame:
+def occurrences(tokens: DataFrame, windows: DataFrame) -> DataFrame:
     """(doc_id, h, item_id, start, stop): word spans where a window occurs. `windows` must be small enough to broadcast."""
-    each = documents.select("doc_id", "h", words(F.col("text")).alias("words")).select("doc_id", "h", "words", F.posexplode_outer("words").alias("pos", "word"))
+    each = cut(tokens).select("doc_id", "h", "words", F.posexplode("words").alias("pos", "word"))
     start = F.col("pos") - F.col("at")
     return (
         each.join(F.broadcast(windows), "word")
@@ -78,7 +90,11 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
     items: sorted ids as strings; spans: sorted distinct word spans (start, stop) of the windows found.
     """
-    documents = documents.select("doc_id", F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
+    return hits_in(tokenised(documents), benchmark, window, block_bytes)
+
+
+def hits_in(tokens: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """`contamination` of documents that are cut into words already."""
     windows = item_windows(benchmark, window)
     total = windows.agg(F.sum(F.aggregate("window", F.lit(64).cast("long"), lambda a, w: a + F.octet_length(w) + 16))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
@@ -87,8 +103,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
         part = windows if blocks == 1 else windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k)
         vocabulary = part.select(F.explode("window").alias("word")).distinct()
         # A table of at most block_bytes; kept, so that the count over the documents runs once.
-        prefixed = common.written(with_prefix(part, word_counts(documents, vocabulary)).coalesce(1), "windows")
-        found.append(occurrences(documents, prefixed))
+        prefixed = common.written(with_prefix(part, word_counts(tokens, vocabulary)).coalesce(1), "windows")
+        found.append(occurrences(tokens, prefixed))
     hits = reduce(DataFrame.unionByName, found)
     return (
         hits.groupBy("doc_id", "h")
@@ -98,9 +114,9 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = common.table(spark, sf_dir, "documents")
-    hits = contamination(documents, common.table(spark, sf_dir, "benchmark"))
-    sized = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    tokens = tokenised(common.table(spark, sf_dir, "documents"))
+    hits = hits_in(tokens, common.table(spark, sf_dir, "benchmark"))
+    sized = tokens.select(F.col("doc_id").cast("long"), "h", "n_words")
     hits = hits.select(F.col("doc_id").alias("id"), F.col("h").alias("g"), "n_hit", "items")
     zero = F.lit(0).cast("long")
     return sized.join(hits, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("g")), "left").select(
