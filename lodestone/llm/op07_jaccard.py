@@ -297,7 +297,8 @@ def jaccard_classes(documents: DataFrame, leaf: int = LEAF, size: int = SIZE, nu
     rows = common.written(source.mapInArrow(lambda batches: id_rows(batches, size), "doc long, h long, sid long, n long"), "sets")
     sets = rows.where("n > 0").groupBy("sid", "n").agg(F.min(F.struct("doc", "h")).alias("at")).select("sid", "n", "at.doc", "at.h")
     left = common.written(crowded(source, sets, size, num, den), "crowded")
-    full = source.join(left.select("doc", "h"), ["doc", "h"]).mapInArrow(lambda batches: set_rows(batches, size), "sid long, shingles array<long>").dropDuplicates(["sid"])
+    # The texts left grow with the corpus, so they are never broadcast: every size has the plan of a large one.
+    full = source.join(left.select("doc", "h").hint("merge"), ["doc", "h"]).mapInArrow(lambda batches: set_rows(batches, size), "sid long, shingles array<long>").dropDuplicates(["sid"])
     full = common.written(full.select("sid", F.size("shingles").cast("long").alias("n"), "shingles"), "shingles")
     node = left.select("sid", F.struct("doc", "h", "sid").alias("node"))
     links = set_links(full, leaf, num, den)
