@@ -78,3 +78,15 @@ def logged_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     files.chat_log(table(spark, sf_dir, "events").where("user_id < 8").select("ts", user.alias("user"), "event_type"), path)
     log = spark.read.schema("ts string, event_type string, date string, user string").csv(path, header=True)
     return log.groupBy("date", "user").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT 'nodes' AS entity, count(DISTINCT p_name) AS n FROM part UNION ALL SELECT 'relations', count(*) FROM (SELECT DISTINCT p_name, p_brand FROM part)""")
+def saved_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph's entities saved as one snapshot, a table each, and loaded again."""
+    p = table(spark, sf_dir, "part")
+    graph = {"nodes": p.select(F.col("p_name").alias("id")).distinct(), "relations": p.select("p_name", "p_brand").distinct()}
+    path = shared(spark, "graph")
+    files.save_snapshot(graph, path)
+    back = files.load_snapshot(spark, path, list(graph))
+    counts = [df.agg(F.lit(name).alias("entity"), F.count(F.lit(1)).alias("n")) for name, df in back.items()]
+    return counts[0].unionByName(counts[1])

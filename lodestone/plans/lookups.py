@@ -262,3 +262,19 @@ def aged_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").where(F.col("o_orderdate") >= F.expr("timestamp_ntz'1997-01-01'")).select("o_orderkey")
     kept = rel.without_orphans(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), o, "l_orderkey", "o_orderkey")
     return o.agg(F.count(F.lit(1)).alias("documents")).join(kept.agg(F.count(F.lit(1)).alias("embeddings")))
+
+
+@query("""WITH r AS (SELECT * FROM (VALUES ('web', 8000), ('db', 8002)) v(role, base)), p AS (SELECT role, unnest(range(base, base + 200)) AS port FROM r), used AS (SELECT 8000 + s_suppkey % 7 AS port FROM supplier) SELECT role, CAST(min(port) AS INTEGER) AS port FROM p WHERE port NOT IN (SELECT port FROM used) GROUP BY role""")
+def free_ports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least free port of each role within 200 of its base, as an anti-join."""
+    roles = spark.createDataFrame([("web", 8000), ("db", 8002)], "role string, base int")
+    ports = roles.select("role", F.explode(F.sequence(F.col("base"), F.col("base") + 199)).alias("port"))
+    used = table(spark, sf_dir, "supplier").select((8000 + F.col("s_suppkey") % 7).cast("int").alias("port")).distinct()
+    return ports.join(used, "port", "left_anti").groupBy("role").agg(F.min("port").alias("port"))
+
+
+@query("SELECT c_custkey, c_custkey % 10 = 4 AND c_custkey <> 14 AS allowed FROM customer")
+def file_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """keys that are registered for files, but for the admin's."""
+    keys = table(spark, sf_dir, "customer").where("c_custkey % 10 = 4").select("c_custkey", F.lit(True).alias("known"))
+    return table(spark, sf_dir, "customer").select("c_custkey").join(keys, "c_custkey", "left").select("c_custkey", (F.coalesce("known", F.lit(False)) & (F.col("c_custkey") != 14)).alias("allowed"))

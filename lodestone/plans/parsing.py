@@ -170,3 +170,20 @@ def utf16_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T-21, Z1: lengths and slices in UTF-16 units."""
     c = table(spark, sf_dir, "conversations").where(~F.col("text").rlike(r"[^\x{0}-\x{FFFF}]"))
     return c.select("conv_id", "turn", t.utf16_units(F.col("text")).alias("units"), t.utf16_slice(F.col("text"), 5, 25).alias("slice"))
+
+
+@query("""SELECT p_partkey, 'show logs of ' || p_name AS asked, 'a [data] b' AS masked, CASE WHEN p_partkey % 2 = 0 THEN 'own' WHEN p_partkey % 3 = 0 THEN 'sub' ELSE 'default' END AS setting, CASE WHEN p_partkey % 2 = 0 THEN 'no_where' ELSE '' END AS broken FROM part""")
+def stripped_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X4, T-6, M20, V4: spans of time go from a question, long runs of base64 are masked, the first setting counts, rules of a plug-in."""
+    k = F.col("p_partkey")
+    asked = t.without_times(made("show logs of ", F.col("p_name"), " in the last 3 days yesterday"))
+    blob = t.without_blobs(F.concat(F.lit("a "), F.repeat(F.lit("Zm9v"), 200), F.lit(" b")))
+    value = p.setting(F.when(k % 2 == 0, "own"), F.when(k % 3 == 0, "sub"), F.lit("default"))
+    broken = p.validated(F.when(k % 2 == 0, "table x | where y").otherwise("table x"), {"no_where": r"\|\s*where\b", "no_head": r"\|\s*head\b"})
+    return table(spark, sf_dir, "part").select("p_partkey", asked.alias("asked"), blob.alias("masked"), value.alias("setting"), F.array_join(broken, ",").alias("broken"))
+
+
+@query(None)
+def technical_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most telling pieces of documents' technical content."""
+    return table(spark, sf_dir, "documents").select("doc_id", p.technical_parts(F.col("text")).alias("parts")).where("parts IS NOT NULL")

@@ -81,3 +81,13 @@ def chat_log(rows: DataFrame, path: str) -> None:
     """Appends (ts, user, ...) as CSV, in a folder for each day and user; a null user is REST_API."""
     out = rows.withColumns({"date": F.date_format("ts", "yyyy-MM-dd"), "user": F.coalesce("user", F.lit("REST_API"))})
     out.write.mode("append").partitionBy("date", "user").option("escape", '"').csv(path, header=True)
+
+
+def save_snapshot(entities: dict[str, DataFrame], path: str) -> None:
+    """Writes each entity as a table below `path`, in place of an earlier snapshot."""
+    for name, rows in entities.items():
+        rows.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_snapshot(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{path}/{name}") for name in names}

@@ -117,3 +117,20 @@ def test_stream_folds(spark):
     assert "".join(x.piece for x in pii.restored_pieces(marked).orderBy("seq").collect()) == "now GO here"
     steps = spark.createDataFrame([(1, 0, "ok"), (1, 1, "No Result found"), (2, 0, "ok"), (3, 0, None)], "workflow int, ord int, answer string")
     assert {x.workflow: (x.state, x["at"]) for x in buffers.workflow_states(steps, ["no result"]).collect()} == {1: ("requires_alternative", 1), 2: ("completed", 0), 3: ("pending", 0)}
+
+
+def test_technical_content(spark):
+    import re
+
+    def plain(text):
+        seen = dict.fromkeys(m.group() for pattern in p.TECHNICAL for m in re.finditer(pattern, text, re.I | re.A) if m.group())
+        rank = []
+        for x in seen:
+            low = x.lower()
+            points = max([n for n, words in p.FOLDER_POINTS.items() if any(w in low for w in words.split())], default=0)
+            points += 10 * (x.startswith("/") and len(x) > 20) + 20 * any(e in low for e in (".php", ".jsp", ".asp")) + 30 * any(w in low for w in ("upload", "admin", "config"))
+            rank.append((-points, text.find(x), -len(x), x))
+        return "\n".join(r[3] for r in sorted(rank)[:5]) or None
+
+    texts = ["GET /admin/upload.php?x=1 from 10.0.0.7 CVE-2024-12345", "see https://a.example/js/app.js and ../etc/passwd", "no", "", "/a/very/long/path/of/config/files/x.jsp"]
+    assert values(spark, p.technical_parts, texts) == [plain(x) for x in texts] and values(spark, p.technical_parts, [None]) == [None]

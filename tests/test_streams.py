@@ -50,3 +50,16 @@ def test_sessions(spark, sf_dir, tmp_path):
 def test_once(spark):
     events = spark.createDataFrame([(1, "2024-01-01"), (1, "2024-01-01"), (2, "2024-01-02")], "event_id int, ts string").withColumn("ts", F.to_timestamp("ts"))
     assert events.isStreaming is False and buffers.once(events).count() == 2
+
+
+def test_periodic_sync(spark, tmp_path):
+    schema = "k int, v string, ts int"
+    for n, rows in enumerate(([(1, "a", 1), (1, "b", 2), (2, "x", 1)], [(2, "y", 3), (3, "z", 1)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    q = buffers.synced(stream, str(tmp_path / "out"), "k", "ts").trigger(availableNow=True).start()
+    try:
+        assert q.awaitTermination(SECONDS)
+    finally:
+        q.stop()
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out/v1")).select("k", "v").collect())) == [(1, "b"), (2, "y"), (3, "z")]
