@@ -179,3 +179,13 @@ def restored_pieces(chunks: DataFrame) -> DataFrame:
 
     pieces = c.select("guid", "marks", F.explode(F.aggregate("c", start, step, lambda a: a["out"])).alias("p"))
     return pieces.select("guid", "p.seq", unmasked(F.col("p.piece"), F.col("marks")).alias("piece"))
+
+
+def semantic(segments: DataFrame, prototypes: DataFrame, cosine, least: float = 0.6) -> DataFrame:
+    """(id, category, score): segments (id, vec) whose most similar prototype (category, proto) has a cosine of at least `least`.
+
+    Vectors come from the caller's embedder. Prototypes are a fixed list, a few for each category, and are broadcast; ties go to the lesser category.
+    """
+    scored = segments.join(F.broadcast(prototypes)).select("id", "category", cosine(F.col("vec"), F.col("proto")).alias("score"))
+    best = scored.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "category")).alias("b"))
+    return best.select("id", "b.category", (-F.col("b.s")).alias("score")).where(F.col("score") >= least)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions import vectors
 from lodestone.operators import pii
 from lodestone.sources.tables import table
 
@@ -62,3 +63,12 @@ def email_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P2 for one recogniser that SQL can express."""
     d = table(spark, sf_dir, "documents").where(F.contains("text", F.lit("@")))
     return d.select("doc_id", F.size(F.filter(pii.findings("text"), lambda f: f["entity"] == "KR_EMAIL")).cast("long").alias("emails"))
+
+
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT 'c' || vec_id AS category, v AS proto FROM e WHERE vec_id < 10), s AS (SELECT vec_id AS id, category, round(list_cosine_similarity(v, proto), 9) AS score FROM e, p),
+b AS (SELECT id, category, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, category) AS rn FROM s) SELECT id, category, score FROM b WHERE rn = 1 AND score >= 0.3""")
+def semantic_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P2, the semantic layer: segments near a prototype of a category. Ten vectors stand for the prototypes, as no embedder is here."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), vectors.doubles(F.col("embedding")).alias("vec"))
+    prototypes = e.where("id < 10").select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("category"), F.col("vec").alias("proto"))
+    return pii.semantic(e, prototypes, lambda a, b: F.round(vectors.cosine(a, b), 9), 0.3)
