@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from . import common
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 BUCKETS = 1 << 16
 LONG = 512
 NONE = (1 << 31) - 1
@@ -287,20 +287,22 @@ def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str = public_
     """(doc_id, ids array<int>, decoded binary): the ids of every whole text, and the bytes they decode to."""
     context = documents.sparkSession.sparkContext
     texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    blocks = common.written(texts.mapInArrow(split_blocks(pattern, block_bytes), BLOCK), "pieces")
+    blocks = common.written(texts.mapInArrow(split_blocks(pattern, block_bytes), BLOCK), "pieces", CODEC)
     each = blocks.select("block", F.posexplode("pieces").alias("place", "piece"))
     most = blocks.agg(F.sum(F.size("pieces"))).first()[0] or 0
     tasks = max(1, min(2 * context.defaultParallelism, most // (TASK_PIECES // 32)), most // TASK_PIECES)
     rows = each.repartition(tasks, "piece").mapInArrow(gathered(ranks), "pieces array<binary>, ready array<array<int>>, number binary, blocks binary, places binary")
     ids = bound(rank_literal(ranks), lambda t: F.zip_with("pieces", "ready", lambda p, r: F.coalesce(r, merged(t, p))))
-    coded = rows.select(ids.alias("ids"), "number", "blocks", "places").mapInArrow(by_block, "of long, pieces long, total long, places binary, sizes binary, ids binary")
-    found = common.written(coded, "codes")
+    # Written before it goes on, so that no stage needs two Python workers for a task.
+    codes = common.written(rows.select(ids.alias("ids"), "number", "blocks", "places"), "codes", CODEC)
+    found = codes.mapInArrow(by_block, "of long, pieces long, total long, places binary, sizes binary, ids binary")
+    streams = common.written(blocks.select("block", "doc_ids", "sizes", "stream"), "streams")
+    common.discard(blocks)
     held = context.broadcast(ranks)  # one vocabulary, fixed in size
 
     def gather(block: pa.Table, codes: pa.Table) -> pa.Table:
         return pa.Table.from_batches(list(joined_texts(block, codes, tokens_of(held))))
 
-    streams = blocks.select("block", "doc_ids", "sizes", "stream")
     return streams.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(gather, "doc_id long, ids array<int>, decoded binary")
 
 
