@@ -112,9 +112,9 @@ def word_variants(word: Column, most: int = 5) -> Column:
 
 
 def english_concepts(text: Column, stop: tuple[str, ...] = ("the", "and", "for", "with", "that"), most: int = 10) -> Column:
-    """Capitalised phrases, neighbouring words, then single words of at least three letters, without stop words: the first `most` distinct, in lower case."""
+    """Capitalised phrases, neighbouring words, then single words of at least three letters (a to z), without stop words: the first `most` distinct, in lower case."""
     words = F.filter(found(F.lower(text), "[a-z]{3,}"), lambda w: ~w.isin(*stop))
-    phrases = F.transform(found(text, r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)+\b"), lambda p: F.lower(p))
+    phrases = F.transform(found(text, "[A-Z][a-z]+(?: [A-Z][a-z]+)+"), lambda p: F.lower(p))
     pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
     return F.slice(F.array_distinct(F.concat(phrases, pairs, words)), 1, most)
 

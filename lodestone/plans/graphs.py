@@ -12,7 +12,7 @@ from lodestone.sources.tables import table
 
 from .base import query
 
-CONCEPTS = """wd AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z]{3,}'), lambda x: x NOT IN ('the', 'and', 'for', 'with', 'that')) AS w, [lower(x) FOR x IN regexp_extract_all(text, '\\b[A-Z][a-z]+(?: [A-Z][a-z]+)+\\b')] AS ph FROM documents),
+CONCEPTS = """wd AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z]{3,}'), lambda x: x NOT IN ('the', 'and', 'for', 'with', 'that')) AS w, [lower(x) FOR x IN regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+')] AS ph FROM documents),
 ls AS (SELECT doc_id, list_concat(list_concat(ph, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]), w) AS c FROM wd), un AS (SELECT doc_id, unnest(c) AS concept, unnest(range(len(c))) AS i FROM ls),
 fi AS (SELECT doc_id, concept, min(i) AS i FROM un GROUP BY 1, 2), m AS (SELECT * FROM (SELECT doc_id, concept, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn FROM fi) WHERE rn <= 10)"""
 

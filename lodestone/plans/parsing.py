@@ -80,7 +80,7 @@ def variant_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("word", F.array_join(F.array_sort(p.word_variants(F.col("word"))), ",").alias("variants"))
 
 
-@query("""WITH w AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[a-z]{3,}'), lambda x: x NOT IN ('the', 'and', 'for', 'with', 'that')) AS w, [lower(x) FOR x IN regexp_extract_all(text, '\\b[A-Z][a-z]+(?: [A-Z][a-z]+)+\\b')] AS ph FROM benchmark),
+@query("""WITH w AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[a-z]{3,}'), lambda x: x NOT IN ('the', 'and', 'for', 'with', 'that')) AS w, [lower(x) FOR x IN regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+')] AS ph FROM benchmark),
 l AS (SELECT item_id, list_concat(list_concat(ph, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]), w) AS c FROM w), u AS (SELECT item_id, unnest(c) AS c, unnest(range(len(c))) AS i FROM l), f AS (SELECT item_id, c, min(i) AS i FROM u GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY i) AS rn FROM f)
 SELECT item_id, string_agg(c, '|' ORDER BY i) AS concepts FROM r WHERE rn <= 10 GROUP BY item_id""")
 def text_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
