@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op01_quality, op02_suffix, op03_tokens, op04_topk, op05_license, op06_decontaminate, op07_jaccard, op08_toxicity, op09_bpe, op10_secrets
+from . import op01_quality, op02_suffix, op03_tokens, op04_topk, op05_license, op06_decontaminate, op07_jaccard, op08_toxicity, op09_bpe, op10_secrets, op11_fingerprint
 
 QUERIES = {
     "op1_quality_classifier": op01_quality.op1_quality_classifier,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": op08_toxicity.op8_toxicity,
     "op9_byte_bpe": op09_bpe.op9_byte_bpe,
     "op10_secret_scan": op10_secrets.op10_secret_scan,
+    "op11_fingerprints": op11_fingerprint.op11_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {
