@@ -4,13 +4,14 @@ A paragraph is a piece of a text between line feeds. It hashes to a vector of tw
 
 - EXACT lanes modulo 2**32, cut from SHA-512 digests of the paragraph. They decide equality.
 - LIKE lanes modulo 2**24: every word of the paragraph, joined with the word after it, adds 1 or -1 to one lane that its
-  hash names (a signed count sketch). They estimate how much two texts share.
+  hash names (a signed count sketch). A paragraph of less than SHORT characters adds its pairs of characters in the same way,
+  as so few words say little. These lanes estimate how much two texts share.
 
 A text's fingerprint is the sum of its paragraphs' vectors, lane by lane. So it does not depend on the order of
 paragraphs, fingerprints of parts add up to that of the whole, and a paragraph is inserted or deleted by adding or
 subtracting its vector (`plus`, `minus`, `updated`) without the rest of the text. The likeness of two fingerprints is
-1 - |a - b|**2 / (|a|**2 + |b|**2) over the LIKE lanes, not below 0; its error for texts without common words is
-about 1 / sqrt(LIKE) = 0.06. Everything is built-in functions and the hashing transformer of pyspark.ml; no Python runs on executors.
+2 * a.b / (a.a + b.b) over the LIKE lanes, not below 0, where a lane counts as the logarithm of its size, so that a line
+repeated a hundred times doesn't outweigh all others; its error for texts without common words is about 1 / sqrt(LIKE) = 0.06. Everything is built-in functions and the hashing transformer of pyspark.ml; no Python runs on executors.
 
 The next document is found in one shuffle: ranges of (doc_id, hash of the text) of about RANGE_BYTES are counted first,
 each text goes to its range, and the first text of each range is dealt to the range before it as well.
@@ -34,6 +35,7 @@ from . import common
 
 EXACT, EXACT_BITS = 32, 32
 LIKE, LIKE_BITS = 256, 24
+SHORT = 40
 RANGE_BYTES = 4 << 20
 #: Bounds that travel with the plan: 16 bytes each.
 MAX_RANGES = 1 << 16
@@ -56,9 +58,12 @@ def exact_lanes(parts: Column) -> Column:
 
 
 def word_hashes(parts: Column) -> Column:
-    """A hash for every word with the word after it in the same paragraph."""
+    """A hash for every word with the word after it in the same paragraph, and for pairs of characters of short paragraphs."""
     words = F.transform(parts, lambda p: F.filter(F.split(p, " "), lambda w: w != ""))
-    return F.flatten(F.transform(words, lambda w: F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1)))))
+    pairs = F.transform(words, lambda w: F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1))))
+    letters = lambda p: F.transform(F.sequence(F.lit(1), F.length(p)), lambda i: F.xxhash64(F.lit(SHORT), F.substring(p, i, F.lit(2))))
+    short = F.transform(F.filter(parts, lambda p: F.length(p).between(1, SHORT - 1)), letters)
+    return F.flatten(F.concat(pairs, short))
 
 
 def with_lanes(df: DataFrame, text: str, name: str) -> DataFrame:
@@ -101,18 +106,26 @@ def minus(a: Column, b: Column) -> Column:
     return F.transform(F.zip_with(a, b, lambda x, y: x - y), _wrapped)
 
 
-def _squares(lanes: Column) -> Column:
-    """Sum of squares of the LIKE lanes, each taken as a number around 0."""
-    half, full = 1 << (LIKE_BITS - 1), 1 << LIKE_BITS
-    signed = lambda x: F.pmod(x + half, F.lit(full)) - half
-    return F.aggregate(F.slice(lanes, EXACT + 1, LIKE), F.lit(0.0), lambda acc, x: acc + signed(x) * signed(x).cast("double"))
+def spread(lanes: Column) -> Column:
+    """The LIKE lanes as numbers around 0, each by the logarithm of its size."""
+    half = 1 << (LIKE_BITS - 1)
+    signed = F.transform(F.slice(lanes, EXACT + 1, LIKE), lambda x: F.pmod(x + half, F.lit(1 << LIKE_BITS)) - half)
+    return F.transform(signed, lambda x: F.signum(x) * F.log2(F.abs(x) + 1.0))
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+
+
+def alike(a: Column, b: Column, spread_a: Column, spread_b: Column) -> Column:
+    """`likeness` of lanes whose spread is known."""
+    both = _dot(spread_a, spread_a) + _dot(spread_b, spread_b)
+    return F.when(a == b, 1.0).when(both == 0, 0.0).otherwise(F.greatest(F.lit(0.0), 2 * _dot(spread_a, spread_b) / both))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """How much two texts share, from their lanes: 1 for equal fingerprints, about 0 for texts without common words."""
-    apart = _squares(F.zip_with(a, b, lambda x, y: x - y))
-    both = _squares(a) + _squares(b)
-    return F.when(a == b, 1.0).when(both == 0, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - apart / both))
+    return alike(a, b, spread(a), spread(b))
 
 
 def fingerprinted(docs: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
@@ -179,8 +192,10 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
     rows = rows.select("doc_id", "text", "k", "h", "range", "guest", n.cast("long").alias("n_chars"), F.when(~F.col("guest"), edited).alias("edited"))
     rows = with_lanes(with_lanes(rows, "text", "own"), "edited", "after").select("doc_id", "k", "h", "range", "guest", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", "after")
-    rows = rows.withColumn("following", F.lead("own").over(window)).where(~F.col("guest"))
-    return rows.select(
+    rows = rows.withColumns({"own_spread": spread(F.col("own")), "after_spread": spread(F.col("after"))})
+    following = {"following": F.lead("own").over(window), "following_spread": F.lead("own_spread").over(window)}
+    near = lambda other: alike(F.col("own"), F.col(other), F.col("own_spread"), F.col(f"{other}_spread"))
+    return rows.withColumns(following).where(~F.col("guest")).select(
         "doc_id", "n_chars", "edited_sha256", printed(F.col("own")).alias("fingerprint"), printed(F.col("after")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("after")).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next"),
+        near("after").alias("near_edited"), near("following").alias("near_next"),
     )
