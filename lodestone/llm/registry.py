@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op01_quality, op02_suffix, op03_tokens, op04_topk, op05_license, op06_decontaminate, op07_jaccard, op08_toxicity, op09_bpe, op10_secrets, op11_fingerprint
+from . import op01_quality, op02_suffix, op03_tokens, op04_topk, op05_license, op06_decontaminate, op07_jaccard, op08_toxicity, op09_bpe, op10_secrets, op11_fingerprint, op12_whitening
 
 QUERIES = {
     "op1_quality_classifier": op01_quality.op1_quality_classifier,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_byte_bpe": op09_bpe.op9_byte_bpe,
     "op10_secret_scan": op10_secrets.op10_secret_scan,
     "op11_fingerprints": op11_fingerprint.op11_fingerprints,
+    "op12_whitening": op12_whitening.op12_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
