@@ -123,3 +123,30 @@ def test_every_finding_is_suspicious(spark):
     assert {r.conv_id: r.text for r in plain} == {i: f"see {context[i]}<{entity}> there" for i, _, _, entity in rows}
     without = spark.createDataFrame([(1, "see 11-22-33 there"), (2, "1-123456789"), (3, None), (4, "")], "i int, text string")
     assert all(not r.f for r in without.select(pii.findings("text").alias("f")).collect())
+
+
+def test_number_runs_lose_no_match():
+    import random
+    import re
+
+    r = random.Random(4)
+    pieces = ["4111 1111 1111 1111", "010-1234-5678", "12가 3456", "M12345678", "-", "1", "7-110-22-333444", "1.2.3.4", " ", "가", "a", "900101-1234567", "\u0663" * 9, "\n", "1-4111 1111 1111 1111", "220-81-62517", "x", ".."]
+    for _ in range(1500):
+        text = "".join(r.choices(pieces, k=r.randint(1, 9)))
+        runs = [m.span() for m in re.finditer(pii.DIGITS, text)]
+        for entity, _, pattern, needs, _ in pii.RECOGNISERS:
+            if needs == pii.DIGITS:
+                compiled = re.compile(pattern)
+                assert {m.span() for m in pii.matches(text, runs, compiled, needs)} == {m.span() for m in compiled.finditer(text)}, (entity, text)
+
+
+def test_guards_of_numbers(spark):
+    rows = [("1-4111 1111 1111 1111", False), ("x 4111 1111 1111 1111", True), ("계좌 7-110-22-333444", False), ("계좌 110-22-333444", True)]
+    got = spark.createDataFrame(rows, "text string, found boolean").select("found", F.exists(pii.findings("text"), lambda f: f["entity"].isin("KR_CREDIT_CARD", "KR_ACCOUNT")).alias("f")).collect()
+    assert all(x.found == x.f for x in got)
+
+
+def test_altered_marks(spark):
+    rows = [(r"to <KR\_IP\_1>, < KR_IP_2 > and <KR_IP_3>", {"<KR_IP_1>": "a$1", "<KR_IP_2>": r"b\1"}), ("<KR_IP_1>", None), (None, {"<A_1>": "x"}), ("a < b > <A_1>", {"<A_1>": "x"})]
+    got = spark.createDataFrame(rows, "text string, marks map<string,string>").select(pii.unmasked(F.col("text"), F.col("marks")).alias("t")).collect()
+    assert [x.t for x in got] == [r"to a$1, b\1 and <KR_IP_3>", "<KR_IP_1>", None, "a < b > x"]
