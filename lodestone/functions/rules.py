@@ -15,7 +15,7 @@ CLARIFY = ["어떤 시간", "어떤 ip", "어떤 테이블", "무엇을", "어
 ASKING = ["언제", "어떤", "무엇", "어디", "몇", "얼마", "어느"]
 DATES = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{8}|최근.*[0-9]+.*일|지난.*[0-9]+.*일|[0-9]+월\s*[0-9]+일|어제.*오늘|오늘.*어제|이번.*주|지난.*주|작년.*올해"
 TIMES = ["어제", "오늘", "내일", "모레", "그제", "yesterday", "today", "tomorrow", "부터", "까지", "동안", "from", "to", "until", "이번", "지난", "다음", "this", "last", "next"]
-FOUR_NUMBERS = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"
+FOUR_NUMBERS = r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"
 QNA_WORDS = ["무엇", "뭐", "어떻게", "왜", "차이", "설명", "의미", "개념", "이란", "란", "what", "how", "why", "difference", "explain", "meaning", "concept"]
 PLAN_WORDS = ["계획", "전략", "방법", "접근", "구조", "설계", "단계별", "순서대로", "과정", "plan", "strategy", "method", "approach", "structure", "design"]
 ACTION_WORDS = ["찾아", "검색", "보여", "생성", "실행", "가져와", "추출", "분석해", "해줘", "만들어", "find", "search", "show", "generate", "run", "get", "extract"]

@@ -73,15 +73,3 @@ def activity_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions end after an hour of silence."""
     s = c.sessions(table(spark, sf_dir, "events"), "user_id", "ts", 3600)
     return s.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("events"), F.round(F.sum("value"), 6).alias("total"))
-
-
-@query("""WITH o AS (SELECT event_id, event_type, user_id, epoch(ts)::BIGINT AS t, lag(epoch(ts)::BIGINT) OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS p FROM events)
-SELECT event_type, count(*) AS lookups, count(*) FILTER (t - p <= 3600) AS hits FROM o GROUP BY event_type""")
-def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Look-ups within an hour of the one before."""
-    from pyspark.sql import Window
-
-    s = F.unix_timestamp(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy("event_type", "user_id").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events").select("event_type", s.alias("t"), F.lag(s).over(w).alias("p"))
-    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("lookups"), F.count_if(F.col("t") - F.col("p") <= 3600).alias("hits"))

@@ -16,8 +16,10 @@ from .parsing import made
 
 def shared(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir; a session on one machine may go without that setting."""
-    home = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lodestone-checkpoints"
-    return f"{home.rstrip('/')}/lodestone-files/{name}-{uuid.uuid4().hex}"
+    home = spark.conf.get("spark.checkpoint.dir", None)
+    if not home and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(home or '/tmp/lodestone-checkpoints').rstrip('/')}/lodestone-files/{name}-{uuid.uuid4().hex}"
 
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, 'said \"hi\", then' || chr(10) || c_custkey AS note, c_custkey || ' ' || c_name || ' said \"hi\", then' || chr(10) || c_custkey AS text FROM customer")
@@ -30,13 +32,13 @@ def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.csv_rows(spark, path).select("c_custkey", "c_name", "note", "text")
 
 
-@query("""SELECT 'item' AS kind, count(*) AS n, count(DISTINCT p_partkey) AS distinct_values FROM part WHERE p_partkey % 50 <> 3 UNION ALL SELECT 'rejected', count(DISTINCT p_partkey), NULL FROM part WHERE p_partkey % 50 = 3 AND p_partkey < 200""")
+@query("""SELECT 'item' AS kind, count(*) AS n, count(DISTINCT p_partkey) AS distinct_values FROM part WHERE p_partkey % 50 <> 3 UNION ALL SELECT 'rejected', count(DISTINCT p_partkey % 8), NULL FROM part WHERE p_partkey % 50 = 3""")
 def json_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON files with an array of objects each; files that don't parse are set apart with the reason."""
     path = shared(spark, "json")
     p = table(spark, sf_dir, "part").select("p_partkey")
-    good = p.where("p_partkey % 50 <> 3").groupBy((F.col("p_partkey") % 4).alias("g")).agg(F.to_json(F.collect_list(F.struct("p_partkey"))).alias("value"))
-    bad = p.where("p_partkey % 50 = 3 AND p_partkey < 200").select((F.col("p_partkey") + 100).alias("g"), made("{broken ", F.col("p_partkey")).alias("value"))
+    good = p.where("p_partkey % 50 <> 3").groupBy(F.floor(F.col("p_partkey") / 100).alias("g")).agg(F.to_json(F.collect_list(F.struct("p_partkey"))).alias("value"))
+    bad = p.where("p_partkey % 50 = 3").groupBy((-1 - F.col("p_partkey") % 8).alias("g")).agg(made("{broken ", F.min("p_partkey")).alias("value"))
     both = good.unionByName(bad)
     # One file for each group: the writer's files are named by the partition, and hold one line each.
     both.repartitionByRange(64, "g").write.partitionBy("g").text(path)
@@ -62,20 +64,20 @@ def registry_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("c_custkey", "r.tag", "r.name", F.try_element_at("r.pairs", F.lit("port")).alias("port"), F.try_element_at("r.pairs", F.lit("note")).alias("note"))
 
 
-@query("""SELECT n_regionkey AS path, section, key, value FROM (SELECT DISTINCT n_regionkey FROM nation), (VALUES ('', 'top', '1'), ('main', 'port', '80'), ('main', 'host', 'a b'), ('other', 'port', '81')) v(section, key, value)""")
+@query("""SELECT c_custkey AS path, unnest(['', 'main', 'main', 'other']) AS section, unnest(['top', 'port', 'host', 'port']) AS key, unnest([c_mktsegment, CAST(8000 + c_nationkey AS VARCHAR), c_name || ' x', CAST(c_custkey AS VARCHAR)]) AS value FROM customer""")
 def settings_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Settings of INI files, each with the section above it."""
-    text = "top = 1\n; comment\n[main]\nport=80\nhost : a b\n\n[other]\n# no = yes\nport = 81"
-    lines = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("path")).distinct().select("path", F.posexplode(F.split(F.lit(text), "\n")).alias("n", "line"))
+    text = made("top = ", F.col("c_mktsegment"), "\n; comment\n[main]\nport=", 8000 + F.col("c_nationkey"), "\nhost : ", F.col("c_name"), " x\n\n[other]\n# no = yes\nport = ", F.col("c_custkey"))
+    lines = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("path"), F.posexplode(F.split(text, "\n")).alias("n", "line"))
     return files.settings(lines)
 
 
-@query("""SELECT strftime(ts, '%Y-%m-%d') AS date, CASE WHEN user_id % 4 = 0 THEN 'REST_API' ELSE 'u' || user_id END AS user, count(*) AS n FROM events WHERE user_id < 8 GROUP BY ALL""")
+@query("""SELECT strftime(ts, '%Y-%m-%d') AS date, CASE WHEN user_id % 4 = 0 THEN 'REST_API' ELSE 'u' || user_id END AS user, count(*) AS n FROM events GROUP BY ALL""")
 def logged_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log in folders by day and user, read back."""
     path = shared(spark, "log")
     user = F.when(F.col("user_id") % 4 != 0, made("u", F.col("user_id")))
-    files.chat_log(table(spark, sf_dir, "events").where("user_id < 8").select("ts", user.alias("user"), "event_type"), path)
+    files.chat_log(table(spark, sf_dir, "events").select("ts", user.alias("user"), "event_type"), path)
     log = spark.read.schema("ts string, event_type string, date string, user string").csv(path, header=True)
     return log.groupBy("date", "user").agg(F.count(F.lit(1)).alias("n"))
 

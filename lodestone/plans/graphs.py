@@ -82,11 +82,11 @@ def merged_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.merged_nodes(nodes).select("id", "name_ko", F.array_join("aliases", ",").alias("aliases"), "properties")
 
 
-GRAPH = "e AS (SELECT l_orderkey AS source, l_partkey AS target FROM lineitem WHERE l_linenumber <= 2)"
+GRAPH = "e AS (SELECT l_orderkey AS source, l_partkey AS target FROM lineitem)"
 
 
 def order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("target"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("target"))
 
 
 @query(f"""WITH {GRAPH}, gone AS (SELECT p_partkey FROM part WHERE p_brand = 'Brand#2') SELECT 'nodes' AS kind, count(*) AS n FROM part WHERE p_partkey NOT IN (SELECT * FROM gone) UNION ALL SELECT 'edges', count(*) FROM e WHERE source NOT IN (SELECT * FROM gone) AND target NOT IN (SELECT * FROM gone)""")

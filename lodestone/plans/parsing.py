@@ -73,11 +73,18 @@ def named_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", s["qna"].alias("qna"), s["plan"].alias("plan"), s["action"].alias("action"), j["qna"].alias("json_qna"))
 
 
-@query("""SELECT * FROM (VALUES ('analyze', 'analyze,analyzed,analyzeed,analyzes,analyzing'), ('parsed', 'pars,parse,parsed,parseded,parseds'), ('cat', 'cat,cated,cater,catly,cats')) v(word, variants)""")
+_STEM = "CASE WHEN ends_with(w, '{0}') AND length(w) - {1} >= 3 THEN left(w, length(w) - {1}) || '{2}' END"
+_LONGER = ", ".join(_STEM.format(gone, len(gone), new) for gone, new in p.ENDINGS)
+_SHORTER = ", ".join(_STEM.format(new, len(new), gone) for gone, new in p.ENDINGS)
+
+
+@query(f"""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark), f AS (SELECT w, list_concat(list_concat([w], [x FOR x IN [{_LONGER}] IF length(x) <= 15]), [x FOR x IN [{_SHORTER}] IF x IS NOT NULL]) AS f FROM t),
+u AS (SELECT w, unnest(f) AS v, unnest(range(len(f))) AS i FROM f), d AS (SELECT w, v, min(i) AS i FROM u GROUP BY ALL), r AS (SELECT w, v, row_number() OVER (PARTITION BY w ORDER BY length(v), i) AS rn FROM d)
+SELECT w AS word, string_agg(v, ',' ORDER BY rn) AS variants FROM r WHERE rn <= 5 GROUP BY w""")
 def variant_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word variants by rules of endings, worked out by hand."""
-    w = spark.createDataFrame([("analyze",), ("parsed",), ("cat",)], "word string")
-    return w.select("word", F.array_join(F.array_sort(p.word_variants(F.col("word"))), ",").alias("variants"))
+    """Variants of the words of the benchmark by rules of endings, shorter ones first, at most five."""
+    w = table(spark, sf_dir, "benchmark").select(F.explode(t.found(F.lower("text"), "[a-z]+")).alias("word")).distinct()
+    return w.select("word", F.array_join(p.word_variants(F.col("word")), ",").alias("variants"))
 
 
 @query("""WITH w AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[a-z]{3,}'), lambda x: x NOT IN ('the', 'and', 'for', 'with', 'that')) AS w, [lower(x) FOR x IN regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+')] AS ph FROM benchmark),
@@ -165,10 +172,13 @@ def patched_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(F.transform(years, lambda y: y.cast("string")), ",").alias("years"), q.alias("query"))
 
 
-@query("""SELECT conv_id, turn, CAST(length(text) + len(regexp_extract_all(text, '[😀-🙏]')) AS INTEGER) AS units, substr(text, 6, 20) AS slice FROM conversations WHERE NOT regexp_matches(text, '[^\\x00-\\x{FFFF}]')""")
+@query("""WITH c AS (SELECT conv_id, turn, CASE WHEN conv_id % 2 = 1 THEN translate(text, 'aeiou', '😀😁😂😃😄') ELSE text END AS t FROM conversations),
+u AS (SELECT conv_id, turn, t, [struct_pack(c := c, at := i - 1 + len(regexp_extract_all(left(t, i - 1), '[\\x{10000}-\\x{10FFFF}]')), w := CASE WHEN regexp_matches(c, '[\\x{10000}-\\x{10FFFF}]') THEN 2 ELSE 1 END) FOR c, i IN string_split(left(t, 25), '')] AS l FROM c)
+SELECT conv_id, turn, CAST(length(t) + len(regexp_extract_all(t, '[\\x{10000}-\\x{10FFFF}]')) AS INTEGER) AS units, array_to_string([x.c FOR x IN l IF x.at >= 5 AND x.at + x.w <= 25], '') AS slice FROM u""")
 def utf16_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T-21, Z1: lengths and slices in UTF-16 units."""
-    c = table(spark, sf_dir, "conversations").where(~F.col("text").rlike(r"[^\x{0}-\x{FFFF}]"))
+    """T-21, Z1: lengths and slices in UTF-16 units; vowels of every second conversation take two units each."""
+    text = F.when(F.col("conv_id") % 2 == 1, F.translate("text", "aeiou", "😀😁😂😃😄")).otherwise(F.col("text"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("text"))
     return c.select("conv_id", "turn", t.utf16_units(F.col("text")).alias("units"), t.utf16_slice(F.col("text"), 5, 25).alias("slice"))
 
 

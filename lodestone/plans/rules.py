@@ -30,12 +30,23 @@ def question_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("c_custkey", "question", rules.casual(F.col("question"), ["firewall", "port", "log"]).alias("casual"), rules.complete(F.col("question")).alias("complete"), rules.parameters_only(F.col("question")).alias("parameters"))
 
 
-@query("""WITH a AS (SELECT conv_id, max(turn) AS turn FROM conversations WHERE role = 'assistant' GROUP BY conv_id), l AS (SELECT c.conv_id, c.text FROM conversations c JOIN a USING (conv_id, turn)) SELECT conv_id, conv_id % 2 = 0 AS followup FROM l""")
+def _any(text: str, words: list[str]) -> str:
+    return f"len([x FOR x IN {words!r} IF contains({text}, x)]) > 0"
+
+
+@query(f"""WITH a AS (SELECT conv_id, arg_max(text, turn) AS a FROM conversations WHERE role = 'assistant' GROUP BY conv_id), u AS (SELECT conv_id, arg_max(text, turn) AS u FROM conversations WHERE role = 'user' GROUP BY conv_id),
+t AS (SELECT conv_id, lower(CASE WHEN conv_id % 2 = 0 THEN a || ' {{"action": "clarify"}}' ELSE a END) AS a, CASE conv_id % 3 WHEN 0 THEN left(u, 40) || ' 10.0.0.' || conv_id WHEN 1 THEN regexp_extract(u, '^\\S+ \\S+') ELSE u END AS u FROM a JOIN u USING (conv_id))
+SELECT conv_id, u AS question, (contains(replace(a, '": "', '":"'), '"action":"clarify"') OR {_any("a", rules.CLARIFY)} OR regexp_matches(a, 'from.*to|기간.*알려') OR (contains(a, '?') AND {_any("a", rules.ASKING)}))
+AND u <> '' AND length(u) <= 200 AND (regexp_matches(u, '{rules.FOUR_NUMBERS}') OR regexp_matches(u, '{rules.DATES}') OR {_any("lower(trim(u))", rules.TIMES)} OR lower(trim(u)) IN ('yes', 'no', '네', '아니오', '예') OR regexp_full_match(lower(trim(u)), '[0-9]+')
+  OR (len([x FOR x IN regexp_split_to_array(lower(trim(u)), '\\s+') IF x <> '']) <= 5 AND NOT {_any("lower(trim(u))", ["조회", "search", "query", "show", "list"])})) AS followup FROM t""")
 def clarify_followups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last answer asks back (here: marked for even conversations), and the question only gives values."""
-    last = table(spark, sf_dir, "conversations").where("role = 'assistant'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
-    answer = F.when(F.col("conv_id") % 2 == 0, F.concat(F.left("text", F.lit(0)), F.lit('{"action": "clarify"}'))).otherwise(F.lit("fine"))
-    return last.select("conv_id", (rules.clarifies(answer) & rules.parameters_only(F.lit("from 2024-01-01"))).alias("followup"))
+    """The last answer asks back, and the last question only gives values. Every second answer carries the mark of asking back."""
+    turns, k = table(spark, sf_dir, "conversations"), F.col("conv_id")
+    last = turns.groupBy("conv_id").agg(F.max_by(F.when(F.col("role") == "assistant", F.col("text")), F.when(F.col("role") == "assistant", F.col("turn"))).alias("a"), F.max_by(F.when(F.col("role") == "user", F.col("text")), F.when(F.col("role") == "user", F.col("turn"))).alias("u"))
+    answer = F.when(k % 2 == 0, F.concat("a", F.lit(' {"action": "clarify"}'))).otherwise(F.col("a"))
+    asked = F.when(k % 3 == 0, F.concat(F.left("u", F.lit(40)), F.lit(" 10.0.0."), k.cast("string"))).when(k % 3 == 1, F.regexp_extract("u", r"^\S+ \S+", 0)).otherwise(F.col("u"))
+    both = last.where("a IS NOT NULL AND u IS NOT NULL").select("conv_id", answer.alias("answer"), asked.alias("question"))
+    return both.select("conv_id", "question", (rules.clarifies(F.col("answer")) & rules.parameters_only(F.col("question"))).alias("followup"))
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'installation' WHEN 1 THEN 'configuration' WHEN 2 THEN 'faq' WHEN 3 THEN 'action' WHEN 4 THEN 'other' WHEN 5 THEN 'troubleshooting' WHEN 6 THEN 'playbook' ELSE 'faq' END AS doc_type FROM part""")

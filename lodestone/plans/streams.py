@@ -48,20 +48,13 @@ def coalesced_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("guid", text.alias("answer"), F.forall(F.slice("p", 1, F.greatest(F.lit(0), F.size("p") - 1)), lambda x: F.length(x["piece"]) >= 4).alias("fit"))
 
 
-@query("""WITH b AS (SELECT user_id, max(ts) AS last, bool_or(event_type = 'error') AS done FROM events WHERE event_id % 7 = 0 GROUP BY user_id), n AS (SELECT max(ts) AS now FROM events) SELECT user_id, done, (done AND date_diff('second', date_trunc('second', last), date_trunc('second', now)) >= 5) OR date_diff('second', date_trunc('second', last), date_trunc('second', now)) > 600000 AS gone FROM b, n""")
+@query("""WITH b AS (SELECT user_id, max(ts) AS last, bool_or(event_type = 'error') AS done FROM events GROUP BY user_id), n AS (SELECT max(ts) AS now FROM events) SELECT user_id, done, (done AND date_diff('second', date_trunc('second', last), date_trunc('second', now)) >= 5) OR date_diff('second', date_trunc('second', last), date_trunc('second', now)) > 600 AS gone FROM b, n""")
 def evicted_buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Buffers that are done and idle, or idle for long, at the time of the last event."""
     e = table(spark, sf_dir, "events")
-    b = e.where("event_id % 7 = 0").groupBy("user_id").agg(F.max("ts").alias("last"), F.bool_or(F.col("event_type") == "error").alias("done"))
+    b = e.groupBy("user_id").agg(F.max("ts").alias("last"), F.bool_or(F.col("event_type") == "error").alias("done"))
     now = e.agg(F.max("ts").cast("timestamp").alias("now"))
-    return buffers.evicted(b.join(F.broadcast(now)), F.col("now"), idle_seconds=600_000).select("user_id", "done", "gone")
-
-
-@query("""WITH k AS (SELECT event_id, lower(trim(event_type)) || ':m' || user_id % 5 AS key, epoch(ts)::BIGINT AS t, ts FROM events), h AS (SELECT key, t - lag(t) OVER (PARTITION BY key ORDER BY ts) AS d FROM k) SELECT key, count(*) AS lookups, count(*) FILTER (d <= 600) AS hits FROM h GROUP BY key""")
-def response_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Look-ups by query and model, and those that find an answer of the last ten minutes."""
-    e = table(spark, sf_dir, "events").select(F.concat(F.lit(" "), F.upper("event_type")).alias("query"), F.concat(F.lit("m"), (F.col("user_id") % 5).cast("string")).alias("model"), "ts")
-    return buffers.cached(e, 600).groupBy("key").agg(F.count(F.lit(1)).alias("lookups"), F.count_if("hit").alias("hits"))
+    return buffers.evicted(b.join(F.broadcast(now)), F.col("now")).select("user_id", "done", "gone")
 
 
 @query("SELECT user_id, count(*) AS requests, count(*) FILTER (event_type <> 'error') AS succeeded FROM events GROUP BY user_id")

@@ -62,10 +62,10 @@ def time_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", t.stamp(ts).alias("stamp"), t.day_start(ts, 7).alias("week_before"), t.renewed(ts.cast("date"), F.lit(1), unit).alias("renewed"))
 
 
-@query("""SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]')) AS latin, CASE WHEN regexp_matches(text, '[A-Za-z]') THEN 'en' END AS script FROM documents WHERE NOT regexp_matches(text, '[가-힣]')""")
+@query("""SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]')) AS latin, CASE WHEN regexp_matches(text, '[가-힣]') AND regexp_matches(text, '[A-Za-z]') THEN 'mixed' WHEN regexp_matches(text, '[가-힣]') THEN 'ko' WHEN regexp_matches(text, '[A-Za-z]') THEN 'en' END AS script FROM documents""")
 def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T-11."""
-    d = table(spark, sf_dir, "documents").where(~F.col("text").rlike("[가-힣]"))
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.regexp_count("text", F.lit("[A-Za-z]")).cast("long").alias("latin"), t.script_of(F.col("text")).alias("script"))
 
 
