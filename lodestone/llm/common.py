@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 20
 
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While tables are written, descriptions of plans are cut: literals such as op9's rank map would fill the driver's memory and event log.
+PLAN_STRING, PLAN_CHARACTERS = "spark.sql.maxPlanStringLength", 1 << 16
 
 #: For local sessions without spark.checkpoint.dir.
 LOCAL_CHECKPOINT_DIR = "/tmp/lodestone-checkpoints"
@@ -71,13 +73,16 @@ def written(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
 
 @contextlib.contextmanager
 def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Queries that end in here leave no shuffle files: what they wrote is a table, which needs them no more."""
-    before = spark.conf.get(SHUFFLE_CLEANUP, None)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    """Queries that end in here leave no shuffle files: what they wrote is a table, which needs them no more. Their plans are described in brief."""
+    held = {SHUFFLE_CLEANUP: "true", PLAN_STRING: str(PLAN_CHARACTERS)}
+    before = {k: spark.conf.get(k, None) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def discard(*frames: DataFrame) -> None:
