@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.sources.tables import table
-from lodestone.streaming import buffers
+from lodestone.streaming import answers, buffers, sync
 
 from .base import query
+from .files import shared
 
 
 @query("""WITH k AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations),
@@ -71,3 +72,26 @@ def workflow_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     answer = F.when(~((F.col("role") == "user") & (F.col("turn") >= 6)), F.col("text"))
     s = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("workflow"), F.col("turn").alias("ord"), answer.alias("answer"))
     return buffers.workflow_states(s, ["wh"])
+
+
+@query("""WITH k AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations), a AS (SELECT conv_id, turn, coalesce(string_agg(CASE WHEN text IS DISTINCT FROM p THEN text END, '') OVER (PARTITION BY conv_id ORDER BY turn), '') AS t FROM k),
+g AS (SELECT *, strpos(t, 'qu') AS pos, (turn * 53) % 200 AS o FROM a), f AS (SELECT *, greatest(o, pos + 1) AS first FROM g), v AS (SELECT *, CASE WHEN pos = 0 THEN '' ELSE substr(t, first + 1, 100) END AS value FROM f)
+SELECT CAST(conv_id AS VARCHAR) AS guid, CAST(2 * turn + 1 AS BIGINT) AS seq, value, CAST(CASE WHEN pos = 0 THEN o ELSE first + length(value) END AS INTEGER) AS next, pos > 0 AND turn = 7 AND first + length(value) >= length(t) AS finished FROM v""")
+def answer_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An answer is read by offset after each of its chunks, a hundred UTF-16 units at a time, from its marker on."""
+    c, turn = table(spark, sf_dir, "conversations"), F.col("turn").cast("long")
+    guid, none = F.col("conv_id").cast("string").alias("guid"), F.lit(None)
+    no_marks = none.cast("map<string,string>").alias("marks")
+    chunks = c.select(guid, (2 * turn).alias("seq"), F.col("text").alias("chunk"), (turn == 7).alias("done"), no_marks, none.cast("int").alias("offset"), none.cast("int").alias("units"))
+    reads = c.select(guid, (2 * turn + 1).alias("seq"), none.cast("string").alias("chunk"), none.cast("boolean").alias("done"), no_marks, (turn * 53 % 200).cast("int").alias("offset"), F.lit(100).alias("units"))
+    return answers.replies(chunks.unionByName(reads), marker="qu", short=0)
+
+
+@query("""SELECT user_id, max(ts) AS ts, arg_max(event_type, (ts, event_id, event_type)) AS event_type FROM events WHERE user_id IS NOT NULL GROUP BY user_id""")
+def synced_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three versions of changes, of which the later ones are older; the newest row of each key stays."""
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    path = shared(spark, "sync")
+    for version in range(3):
+        sync.merge(events.where(F.pmod("event_id", F.lit(3)) == 2 - version), path, "user_id", "ts", version)
+    return sync.snapshot(spark, path, events.schema).select("user_id", "ts", "event_type")

@@ -105,18 +105,3 @@ def workflow_states(steps: DataFrame, no_result: list[str]) -> DataFrame:
     stop = F.when(F.col("answer").isNull(), "pending").when(failed, "requires_alternative")
     first = steps.withColumn("stop", stop).groupBy("workflow").agg(F.min(F.when(F.col("stop").isNotNull(), F.struct("ord", "stop"))).alias("s"), F.max("ord").alias("last"))
     return first.select("workflow", F.coalesce("s.stop", F.lit("completed")).alias("state"), F.coalesce("s.ord", "last").alias("at"))
-
-
-def synced(changes: DataFrame, path: str, key: str, order: str, interval: str = "60 seconds"):
-    """Starts the periodic sync of a stream of changes: each batch's newest row of every key replaces the snapshot's, in a new version folder.
-
-    Versions are folders named by the batch, so a batch that runs again writes the same folder; `snapshot` reads the newest one.
-    """
-
-    def merge(rows: DataFrame, batch: int) -> None:
-        rest = [c for c in rows.columns if c != key]
-        new = rows.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_b")).select(key, *(F.col("_b").getField(c).alias(c) for c in rest))
-        old = rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/v{batch - 1}") if batch else new.limit(0)
-        old.join(new.select(key), key, "left_anti").unionByName(new).write.mode("overwrite").parquet(f"{path}/v{batch}")
-
-    return changes.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/checkpoint").trigger(processingTime=interval)
