@@ -1,33 +1,13 @@
-"""Filtered hybrid retrieval for sets of queries: channels, ranks, fusion, packing.
-
-Filters come before ranks. Queries are broadcast to the corpus in blocks of at most MAX_BATCH, so what is broadcast is bounded
-whatever the number of queries; each block is one pass over the corpus. Vectors of differing lengths and null vectors have no score and
-rank last; an empty set of queries or an empty corpus gives no rows; repeated points are candidates each; ties go to the smaller doc_id.
-"""
+"""Filtered hybrid retrieval for sets of queries: filters, budgets, fusion of ranked channels, packing. The channels are in `search`."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions import text, vectors
-
-#: Queries of one block, which is broadcast.
-MAX_BATCH = 1024
 RRF_K = 60
 
 
-def in_blocks(queries: DataFrame, scores, limit: int = MAX_BATCH) -> DataFrame:
-    """`scores` (of a block with a broadcast hint) over all queries, in blocks of about `limit` that are counted first."""
-    blocks = max(1, -(-queries.count() // limit))
-    if blocks == 1:
-        return scores(F.broadcast(queries))
-    parts = [scores(F.broadcast(queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k))) for k in range(blocks)]
-    return reduce(DataFrame.unionByName, parts)
-
-
 def visible(tenant: Column, target: int, shared: int = 1) -> Column:
     """Rows of the target tenant and of the shared one."""
     return tenant.isin(*sorted({shared, target}))
@@ -54,44 +34,6 @@ def ranked(scored: DataFrame, limit: int, by: str = "score") -> DataFrame:
     return scored.select("qid", "doc_id", by, F.row_number().over(w).alias("rank")).where(F.col("rank") <= limit)
 
 
-def dense_scores(corpus: DataFrame, queries: DataFrame, digits: int = 9, limit: int = MAX_BATCH) -> DataFrame:
-    """Cosine of every query (qid, qvec) with every point (doc_id, vec), itself excepted."""
-
-    def scores(batch: DataFrame) -> DataFrame:
-        pairs = corpus.select("doc_id", "vec").join(batch, F.col("doc_id") != F.col("qid"))
-        return pairs.select("qid", "doc_id", F.round(vectors.cosine(F.col("qvec"), F.col("vec")), digits).alias("score"))
-
-    return in_blocks(queries.select("qid", "qvec"), scores, limit)
-
-
-def multi_scores(corpus: DataFrame, queries: DataFrame, parts: int = 4, digits: int = 9, limit: int = MAX_BATCH) -> DataFrame:
-    """MaxSim of vectors cut into `parts` unit vectors."""
-    width = 64 // parts
-    cut = lambda c: F.transform(vectors.slices(F.col(c), width, parts), vectors.unit)
-    docs = corpus.select("doc_id", cut("vec").alias("d"))
-
-    def scores(batch: DataFrame) -> DataFrame:
-        return docs.join(batch, F.col("doc_id") != F.col("qid")).select("qid", "doc_id", F.round(vectors.maxsim(F.col("q"), F.col("d")), digits).alias("score"))
-
-    return in_blocks(queries.select("qid", cut("qvec").alias("q")), scores, limit)
-
-
-def term_weights(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
-    """(key, term, w, norm): term counts and the norm of each row's counts."""
-    counts = docs.select(key, F.explode(text.term_counts(F.col(column))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).cast("double").alias("w"))
-    norms = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return counts.join(norms, key)
-
-
-def sparse_scores(corpus: DataFrame, queries: DataFrame, digits: int = 9) -> DataFrame:
-    """Cosine of term counts: an equi-join on the terms of the queries, which grow with their texts and are not broadcast by hand, then one aggregation."""
-    q = term_weights(queries, "qid", "qtext").select("qid", "term", F.col("w").alias("qw"), F.col("norm").alias("qn"))
-    counts = corpus.select("doc_id", F.explode(text.term_counts(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).cast("double").alias("w"))
-    norms = counts.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = counts.join(q, "term").where("doc_id != qid").groupBy("qid", "doc_id").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"), F.first("qn").alias("qn"))
-    return dots.join(norms, "doc_id").select("qid", "doc_id", F.round(F.col("dot") / (F.col("qn") * F.col("norm")), digits).alias("score"))
-
-
 def rrf(channels: list[DataFrame], k: int = RRF_K, digits: int = 9) -> DataFrame:
     """Reciprocal rank fusion of ranked channels: one union and one aggregation, however many channels there are."""
     all_ranks = channels[0].select("qid", "doc_id", "rank")

@@ -2,26 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.sources import files
-from lodestone.sources.tables import table
+from lodestone.sources.tables import shared, table
 
 from .base import query
 from .parsing import made
 
 
-def shared(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; a session on one machine may go without that setting."""
-    home = spark.conf.get("spark.checkpoint.dir", None)
-    if not home and spark.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{(home or '/tmp/lodestone-checkpoints').rstrip('/')}/lodestone-files/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, 'said \"hi\", then' || chr(10) || c_custkey AS note, c_custkey || ' ' || c_name || ' said \"hi\", then' || chr(10) || c_custkey AS text FROM customer")
 def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CSV files of a folder and its subfolders; rows without questions and answers become text."""

@@ -10,17 +10,18 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import vectors
 from lodestone.operators import retrieval as r
-from lodestone.sources.tables import table
+from lodestone.operators import search
+from lodestone.sources.tables import table, written
 
 from .base import query
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text, source, vec) of the points that tenant 2 may see."""
+    """(doc_id, text, source, vec) of the points that tenant 2 may see, written once for all channels."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source").where(r.visible(F.col("doc_id") % 3 + 1, 2))
     off = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
     points = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), vectors.doubles(F.col("embedding")).alias("vec"))
-    return docs.join(off, "doc_id", "left_anti").join(points, "doc_id")
+    return written(docs.join(off, "doc_id", "left_anti").join(points, "doc_id"), "corpus")
 
 
 def batch(points: DataFrame) -> DataFrame:
@@ -61,7 +62,7 @@ def hybrid_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filter, two channels, fusion, top 10."""
     points = corpus(spark, sf_dir)
     q, n = batch(points), r.budgets(10)
-    fused = r.rrf([r.ranked(r.dense_scores(points, q), n["dense"]), r.ranked(r.sparse_scores(points, q), n["sparse"])])
+    fused = r.rrf([search.dense_topk(points, q, n["dense"]), search.sparse_topk(points, q, n["sparse"])])
     return r.top(fused, 10).select("qid", "doc_id", "score", "ch", "rk")
 
 
@@ -70,7 +71,7 @@ def three_way_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The third channel is MaxSim over slices of the vector."""
     points = corpus(spark, sf_dir)
     q, n = batch(points), r.budgets(10)
-    channels = [r.ranked(r.dense_scores(points, q), n["dense"]), r.ranked(r.sparse_scores(points, q), n["sparse"]), r.ranked(r.multi_scores(points, q), n["multi"])]
+    channels = [search.dense_topk(points, q, n["dense"]), search.sparse_topk(points, q, n["sparse"]), search.multi_topk(points, q, n["multi"])]
     return r.top(r.rrf(channels), 10).select("qid", "doc_id", "score", "ch", "rk")
 
 
@@ -78,21 +79,21 @@ def three_way_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J6, M2, W1, L1."""
     points = corpus(spark, sf_dir)
-    return r.ranked(r.dense_scores(points, batch(points)), 10)
+    return search.dense_topk(points, batch(points), 10)
 
 
 @query(f"WITH {CORPUS}, {SPARSE} SELECT qid, doc_id, score, CAST(rank AS INTEGER) AS rank FROM sparse WHERE rank <= 10")
 def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J5, W1, L1."""
     points = corpus(spark, sf_dir)
-    return r.ranked(r.sparse_scores(points, batch(points)), 10)
+    return search.sparse_topk(points, batch(points), 10)
 
 
 @query(f"WITH {CORPUS}, {MULTI} SELECT qid, doc_id, score, CAST(rank AS INTEGER) AS rank FROM multi WHERE rank <= 10")
 def maxsim_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J7, W1."""
     points = corpus(spark, sf_dir)
-    return r.ranked(r.multi_scores(points, batch(points)), 10)
+    return search.multi_topk(points, batch(points), 10)
 
 
 @query(f"""WITH {CORPUS}, {DENSE}, {MULTI},
@@ -104,8 +105,8 @@ def weighted_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of two channels, missing scores 0, weights scaled to sum to 1."""
     points = corpus(spark, sf_dir)
     q = batch(points)
-    d = r.ranked(r.dense_scores(points, q), 20).select("qid", "doc_id", F.col("score").alias("dense"))
-    m = r.ranked(r.multi_scores(points, q), 20).select("qid", "doc_id", F.col("score").alias("multi"))
+    d = search.dense_topk(points, q, 20).select("qid", "doc_id", F.col("score").alias("dense"))
+    m = search.multi_topk(points, q, 20).select("qid", "doc_id", F.col("score").alias("multi"))
     zero = F.lit(0.0)
     both = d.join(m, ["qid", "doc_id"], "full_outer").select("qid", "doc_id", F.coalesce("dense", zero).alias("dense"), F.coalesce("multi", zero).alias("multi"))
     score = F.round(F.col("dense") * (0.4 / 0.7) + F.col("multi") / 4 * (0.3 / 0.7), 9)
@@ -120,8 +121,8 @@ def channel_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the channels agree."""
     points = corpus(spark, sf_dir)
     q = batch(points)
-    marked = lambda df, name: r.ranked(df, 45).select("qid", "doc_id", F.lit(True).alias(name))
-    both = marked(r.dense_scores(points, q), "x").join(marked(r.sparse_scores(points, q), "y"), ["qid", "doc_id"], "full_outer")
+    marked = lambda df, name: df.select("qid", "doc_id", F.lit(True).alias(name))
+    both = marked(search.dense_topk(points, q, 45), "x").join(marked(search.sparse_topk(points, q, 45), "y"), ["qid", "doc_id"], "full_outer")
     x, y = F.coalesce("x", F.lit(False)), F.coalesce("y", F.lit(False))
     return both.groupBy("qid").agg(F.count_if(x & y).alias("both_channels"), F.count_if(x & ~y).alias("dense_only"), F.count_if(y & ~x).alias("sparse_only"))
 
@@ -131,9 +132,7 @@ GROUP BY qid, c.source""")
 def best_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best hit of each source of a query."""
     points = corpus(spark, sf_dir)
-    scored = r.dense_scores(points, batch(points)).join(points.select("doc_id", "source"), "doc_id")
-    best = scored.groupBy("qid", "source").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("m"))).alias("b"))
-    return best.select("qid", "source", F.col("b.score").alias("score"), (-F.col("b.m")).alias("doc_id"))
+    return search.dense_topk(points, batch(points), 1, best_by="source").select("qid", "source", "score", "doc_id")
 
 
 @query(f"""WITH {CORPUS}, {DENSE}, b AS (SELECT qid, dense.doc_id, CASE WHEN c.source = 'src1' THEN least(0.95, score * 2.5) ELSE score END AS score
@@ -142,9 +141,8 @@ FROM dense JOIN corpus c USING (doc_id)) SELECT qid, doc_id, round(score, 6) AS
 def boosted_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boost on a match, rank, threshold."""
     points = corpus(spark, sf_dir)
-    scored = r.dense_scores(points, batch(points)).join(points.select("doc_id", "source"), "doc_id")
-    scored = scored.withColumn("score", r.boosted(F.col("score"), F.col("source") == "src1"))
-    return r.top(scored, 10).where("score >= 0.05").select("qid", "doc_id", F.round("score", 6).alias("score"), "rk")
+    hits = search.dense_topk(points.withColumn("match", F.col("source") == "src1"), batch(points), 10, boost=("match", 2.5, 0.95))
+    return hits.where("score >= 0.05").select("qid", "doc_id", F.round("score", 6).alias("score"), F.col("rank").alias("rk"))
 
 
 @query(f"""WITH {CORPUS}, {DENSE}, k AS (SELECT qid, doc_id, rank, CAST(floor(length(c.text) / 4) AS BIGINT) AS tokens FROM dense JOIN corpus c USING (doc_id) WHERE rank <= 20),
@@ -153,7 +151,7 @@ SELECT qid, CAST(rank AS INTEGER) AS rank, doc_id, tokens, used FROM u WHERE use
 def packed_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Context of each query up to its token budget."""
     points = corpus(spark, sf_dir)
-    hits = r.ranked(r.dense_scores(points, batch(points)), 20).join(points.select("doc_id", F.floor(F.length("text") / 4).cast("long").alias("tokens")), "doc_id")
+    hits = search.dense_topk(points, batch(points), 20).join(points.select("doc_id", F.floor(F.length("text") / 4).cast("long").alias("tokens")), "doc_id")
     return r.packed(hits, 4000, "rank").select("qid", "rank", "doc_id", "tokens", "used")
 
 

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.sources.tables import table
+from lodestone.sources.tables import shared, table
 from lodestone.streaming import answers, buffers, sync
 
 from .base import query
-from .files import shared
 
 
 @query("""WITH k AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations),

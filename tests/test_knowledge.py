@@ -12,7 +12,6 @@ from lodestone.functions import text as t
 from lodestone.operators import graph as g
 from lodestone.operators import knowledge as k
 from lodestone.operators import pii
-from lodestone.operators import retrieval as r
 from lodestone.sources import files
 from lodestone.streaming import buffers
 
@@ -87,15 +86,6 @@ def test_similar_names_lose_nothing(spark):
     assert got == want
 
 
-def test_queries_in_blocks(spark):
-    r_ = random.Random(1)
-    corpus = spark.createDataFrame([(i, [r_.random() for _ in range(64)]) for i in range(30)], "doc_id long, vec array<double>")
-    queries = corpus.where("doc_id < 9").select(F.col("doc_id").alias("qid"), F.col("vec").alias("qvec"))
-    one, many = (sorted(map(tuple, f(corpus, queries, limit=n).collect())) for f in (r.dense_scores,) for n in (100, 2))
-    assert one == many and len(one) == 9 * 29
-    assert r.multi_scores(corpus, queries, limit=2).count() == 9 * 29
-
-
 def test_file_scans(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "x.txt").write_bytes(b"ok \xff end")
