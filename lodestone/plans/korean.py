@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import concepts as c
 from lodestone.functions import text as t
-from lodestone.operators import terms
+from lodestone.operators import knowledge_graph, terms
 from lodestone.sources.tables import table
 
 from .base import query
@@ -30,13 +30,16 @@ MIXED = f"SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN translate(lower(text), '{
 LONG, ONE = tuple(p for p in c.PARTICLES if len(p) == 2), tuple(p for p in c.PARTICLES if len(p) == 1)
 
 
-@query(f"""WITH d AS ({MIXED}), w AS (SELECT doc_id, t, regexp_matches(t, '[가-힣]') AS ko, [x FOR x IN regexp_split_to_array(coalesce(t, ''), '\\s+') IF length(x) > 1] AS w FROM d),
+CONCEPTS = f"""w AS (SELECT doc_id, t, regexp_matches(t, '[가-힣]') AS ko, [x FOR x IN regexp_split_to_array(coalesce(t, ''), '\\s+') IF length(x) > 1] AS w FROM d),
 s AS (SELECT doc_id, t, ko, CASE WHEN ko THEN [CASE WHEN right(x, 2) IN ({_listed(LONG)}) THEN left(x, length(x) - 2) WHEN right(x, 1) IN ({_listed(ONE)}) THEN left(x, length(x) - 1) ELSE x END FOR x IN w IF x NOT IN ({_listed(c.KOREAN_STOP)})]
   ELSE [lower(x) FOR x IN w IF length(x) > 2 AND lower(x) NOT IN ({_listed(c.ENGLISH_STOP)})] END AS s FROM w),
 b AS (SELECT doc_id, t, ko, [x FOR x IN s IF length(x) > 1] AS s FROM s),
 e AS (SELECT doc_id, list_concat(list_concat(CASE WHEN ko THEN [] ELSE regexp_extract_all(t, '{c.PHRASE}') END, [p FOR p IN [s[i] || ' ' || s[i + 1] FOR i IN range(1, len(s))] IF length(p) > CASE WHEN ko THEN 3 ELSE 4 END]), s) AS e FROM b),
 u AS (SELECT doc_id, unnest(e) AS name, unnest(range(len(e))) AS i FROM e), k AS (SELECT doc_id, lower(name) AS key, min(i) AS i, arg_min(name, i) AS name FROM u WHERE length(name) > 2 GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn FROM k)
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn FROM k)"""
+
+
+@query(f"""WITH d AS ({MIXED}), {CONCEPTS}
 SELECT doc_id, string_agg(name, '|' ORDER BY i) AS concepts FROM r WHERE rn <= 10 GROUP BY doc_id""")
 def mixed_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X21, T-22: concepts of texts in either script; particles and stop words go, forms of one term count once."""
@@ -76,3 +79,25 @@ def shared_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     stem = F.when(k % 2 == 0, F.concat_ws("-", ko, "p_type", F.lit("사용자"), F.concat(F.lit("user"), k.cast("string")))).otherwise(F.concat_ws("-", "p_type", F.concat(ko, F.lit("나"))))
     files = table(spark, sf_dir, "part").select(k.alias("ord"), stem.alias("stem"), F.when(k % 3 == 0, F.col("p_name")).otherwise(ko).alias("name"), aliases.alias("aliases"))
     return terms.in_both_directions(terms.term_map(files)).select("term", F.array_join("others", ",").alias("others"))
+
+
+@query(f"""WITH base AS (SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN translate(lower(text), '{ascii_lowercase}', '{SYLLABLES}') ELSE text END AS q, CASE WHEN doc_id % 7 = 0 THEN '' ELSE source END || '-' || lang || '-' || lpad(CAST(doc_id % 50 AS VARCHAR), 2, '0') AS stem FROM documents),
+d AS (SELECT doc_id, q AS t FROM base WHERE doc_id % 5 <> 0), {CONCEPTS},
+cc AS (SELECT doc_id, 'concept_' || left(regexp_replace(regexp_replace(lower(name), '[^a-z0-9가-힣]', '_', 'g'), '_+', '_', 'g'), 50) AS id FROM r WHERE rn <= 10 AND length(name) >= 3),
+ff AS (SELECT doc_id, q, regexp_replace(regexp_replace(lower(stem), '[^a-z0-9가-힣]', '_', 'g'), '_+', '_', 'g') AS stem, string_split(stem, '-') AS p FROM base),
+nn AS (SELECT 'document' AS type, 'document_' || stem AS id FROM ff UNION SELECT 'question', 'question_' || stem FROM ff WHERE doc_id % 5 <> 0 AND q <> '' UNION SELECT 'concept', id FROM cc UNION SELECT 'header', 'header_' || p[1] FROM ff WHERE p[1] <> '' UNION SELECT 'component', 'component_' || unnest(p[2:]) FROM ff),
+ee AS (SELECT 'has_question' AS type, 'document_' || stem AS s, 'question_' || stem AS g, 1.0 AS w, doc_id FROM ff WHERE doc_id % 5 <> 0 AND q <> '' UNION ALL SELECT 'mentions_concept', 'question_' || stem, id, 1.0, doc_id FROM ff JOIN cc USING (doc_id) UNION ALL SELECT 'contains_concept', 'document_' || stem, id, 1.0, doc_id FROM ff JOIN cc USING (doc_id)
+  UNION ALL SELECT 'has_header', 'document_' || stem, 'header_' || p[1], 1.2, doc_id FROM ff WHERE p[1] <> '' UNION ALL SELECT 'has_component', 'document_' || stem, 'component_' || p[i + 2], 1.0 + 0.1 * i, doc_id FROM ff, (VALUES (0), (1)) v(i) UNION ALL SELECT 'contains_component', 'header_' || p[1], 'component_' || p[i + 2], 1.0, doc_id FROM ff, (VALUES (0), (1)) v(i) WHERE p[1] <> ''),
+uu AS (SELECT type, s, g, arg_min(w, (doc_id, w)) AS w FROM ee GROUP BY ALL)
+SELECT 'node' AS kind, type, count(*) AS n, NULL::DOUBLE AS weight, bit_xor(CAST('0x' || left(md5(id), 15) AS BIGINT)) AS digest FROM nn GROUP BY type UNION ALL SELECT 'edge', type, count(*), round(sum(w), 3)::DOUBLE, bit_xor(CAST('0x' || left(md5(s || '>' || g), 15) AS BIGINT)) FROM uu GROUP BY type""")
+def typed_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as typed nodes and six kinds of weighted edges, made in one expansion; counts, weights and digests by kind."""
+    k = F.col("doc_id")
+    stem = F.concat_ws("-", F.when(k % 7 == 0, "").otherwise(F.col("source")), "lang", F.lpad((k % 50).cast("string"), 2, "0"))
+    asked = F.when(k % 2 == 1, in_hangul(F.col("text"))).otherwise(F.col("text"))
+    files = table(spark, sf_dir, "documents").select(k.alias("ord"), stem.alias("stem"), stem.alias("name"), F.when(k % 5 != 0, asked).alias("question"), F.array("lang").alias("aliases"))
+    nodes, edges = knowledge_graph.built(files)
+    digest = lambda c: F.bit_xor(F.conv(F.left(F.md5(c), F.lit(15)), 16, 10).cast("long")).alias("digest")
+    n = nodes.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("double").alias("weight"), digest(F.col("id"))).select(F.lit("node").alias("kind"), "*")
+    e = edges.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 3).alias("weight"), digest(F.concat("source", F.lit(">"), "target"))).select(F.lit("edge").alias("kind"), "*")
+    return n.unionByName(e)
