@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
+from lodestone.operators import ids
 from lodestone.operators import relational as rel
 from lodestone.sources.tables import table
 
@@ -78,3 +79,24 @@ def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests and ids derived from them."""
     return table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("text_md5"), F.sha2("text", 256).alias("text_sha256"), text.point_id(F.col("doc_id").cast("string")).alias("point_id"))
+
+
+@query("""WITH t AS (SELECT o_orderkey, o_custkey % 4 AS tenant FROM orders), m AS (SELECT o_orderkey AS old, (SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY o_orderkey) AS new FROM t WHERE tenant = 1),
+e AS (SELECT o_orderkey AS s, o_orderkey + 4 AS g FROM orders)
+SELECT 'index' AS kind, m.new AS a, CAST(9 AS BIGINT) AS b, count(*) AS n FROM m GROUP BY ALL UNION ALL SELECT 'parts', m.new, l_linenumber, count(*) FROM lineitem JOIN m ON l_orderkey = old GROUP BY ALL
+UNION ALL SELECT 'graph', x.new, y.new, count(*) FROM e JOIN m x ON s = x.old JOIN m y ON g = y.old GROUP BY ALL""")
+def cloned_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenant's index, parts and graph under a new tenant, with new keys that still refer to each other."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 4).alias("tenant"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    edges = orders.select(F.col("o_orderkey").alias("s"), (F.col("o_orderkey") + 4).alias("g"))
+    new = ids.cloned_tenant(orders, {"parts": (lines, ["l_orderkey"]), "graph": (edges, ["s", "g"])}, "o_orderkey", "tenant", 1, 9)
+    shape = {"index": ("o_orderkey", "tenant"), "parts": ("l_orderkey", "l_linenumber"), "graph": ("s", "g")}
+    rows = [new[k].select(F.lit(k).alias("kind"), F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")) for k, (a, b) in shape.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("kind", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY user_id, ts, event_id) AS number FROM events")
+def numbered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows numbered over the whole table, range by range."""
+    return ids.numbered(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), ["user_id", "ts", "event_id"]).select("event_id", "number")
