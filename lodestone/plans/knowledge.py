@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import knowledge as k
+from lodestone.sources import yaml
 from lodestone.sources.tables import table
 
 from .base import query
@@ -72,3 +73,34 @@ def _pieces(spark: SparkSession, sf_dir: str, split, size: int) -> DataFrame:
     whole = pieces.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("part", "piece"))).alias("p"), F.bool_and(F.length("piece") <= size).alias("bounded"))
     joined = F.array_join(F.transform("p", lambda x: x["piece"]), "")
     return whole.select("doc_id", F.md5(F.regexp_replace(joined, r"\s+", "")).alias("content"), "bounded")
+
+
+@query("""WITH d AS (SELECT doc_id, lang, source, [trim(x) FOR x IN string_split(replace(text, chr(13), ''), chr(10)) IF trim(x) <> ''] AS l FROM documents),
+e AS (SELECT doc_id, lang, source, array_to_string(l, chr(10)) AS body, array_to_string(l[:3], ' ') AS head FROM d)
+SELECT doc_id, unnest(['question', 'lang', 'app.name', 'app.ids[0]', 'app.ids[1].key', 'app.ids[1].on', 'app.more[0][0]', 'app.more[0][1]', 'tags[0]', 'tags[1].src', 'tags[2]', 'empty', 'answer', 'head', CASE WHEN doc_id % 2 = 0 THEN '가' ELSE '가나' END]) AS path,
+unnest([source || ' said "hi"' || chr(10) || 'then', lang, source || '''s', CAST(doc_id AS VARCHAR), 'k' || doc_id % 7, 'true', lang, source, lang, source, 'x, y', NULL, CASE WHEN body = '' THEN '' ELSE body || chr(10) END, head, CAST(doc_id % 5 AS VARCHAR)]) AS value FROM e""")
+def yaml_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """YAML with lists, nesting and block scalars, read into paths and values. Whole texts are block scalars."""
+    lines = F.filter(F.transform(F.split(F.replace("text", F.lit("\r"), F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    put = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat(F.lit("  "), x)), "\n")
+    body = made(
+        "# made of ", F.col("doc_id"), '\n---\nquestion: "', F.col("source"), ' said \\"hi\\"\\nthen"\nlang: ', F.col("lang"), "   # note\napp:\n  name: '", F.col("source"), "''s'\n  ids:\n  - ", F.col("doc_id"), "\n  - key: k", F.col("doc_id") % 7,
+        "\n    on: true\n  more:\n    - - ", F.col("lang"), "\n      - ", F.col("source"), "\ntags: [", F.col("lang"), ", {src: ", F.col("source"), '}, "x, y"]\nempty: ~\nanswer: |\n', put(lines), "\n\nhead: >-\n", put(F.slice(lines, 1, 3)), "\n",
+    )
+    name = F.when(F.col("doc_id") % 2 == 0, "가").otherwise("가나")
+    d = table(spark, sf_dir, "documents").select("doc_id", yaml.yaml_entries(F.encode(made(body, name, ": ", F.col("doc_id") % 5), "UTF-8")).alias("y"))
+    return d.select("doc_id", F.inline("y.entries"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 3 THEN 'no entry: just words' END AS error, CASE WHEN c_custkey % 4 < 3 THEN '가' END AS path, CASE WHEN c_custkey % 4 < 3 THEN c_name || CASE WHEN c_custkey % 4 = 1 THEN ' 나' ELSE '' END END AS value FROM customer""")
+def yaml_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files in CP949 are read after UTF-8 has failed; a file that is no YAML gives its reason."""
+    kind = F.col("c_custkey") % 4
+    text = lambda *parts: F.encode(made(*parts), "UTF-8")
+    content = (
+        F.when(kind == 0, F.concat(F.unhex(F.lit("EAB080")), text(": ", F.col("c_name"))))
+        .when(kind == 1, F.concat(F.unhex(F.lit("B0A1")), text(": ", F.col("c_name"), " "), F.unhex(F.lit("B3AA"))))
+        .when(kind == 2, F.concat(F.unhex(F.lit("B0A1")), text(": '", F.col("c_name"), "'"))).otherwise(text("just words"))
+    )
+    c = table(spark, sf_dir, "customer").select("c_custkey", yaml.yaml_entries(content).alias("y"))
+    return c.select("c_custkey", "y.error", F.explode_outer("y.entries").alias("e")).select("c_custkey", "error", "e.path", "e.value")
