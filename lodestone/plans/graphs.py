@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import parsing as p
 from lodestone.functions import rules
 from lodestone.operators import graph as g
+from lodestone.operators import relations
 from lodestone.sources.tables import table
 
 from .base import query
@@ -128,3 +129,14 @@ def dangling_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
     edges = parts.select(F.col("p_partkey").alias("source"), (F.col("p_partkey") + 1).alias("target"))
     return g.dangling(edges, parts.where("p_partkey % 10 <> 3").select(F.col("p_partkey").alias("id")))
+
+
+@query(None)
+def updated_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts and of nations, of which those of one brand have changed; compared locally if they are few, else all anew."""
+    brand = F.array_sort(F.collect_set("p_brand"))
+    parts = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"), F.slice(brand, 1, 2).alias("aliases"))
+    nations = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1_000_000_000).cast("long").alias("id"), F.col("n_name").alias("name"), F.array(F.lit("nation")).alias("aliases"))
+    after = parts.unionByName(nations).withColumn("name_ko", F.lit(None).cast("string"))
+    before = after.withColumn("name", F.when(F.col("id") % 16 == 3, F.reverse("name")).otherwise(F.col("name")))
+    return relations.updated(after, relations.compared(before, before), after.where("id % 16 = 3")).select("source", "target", F.round("score", 6).alias("score"))
