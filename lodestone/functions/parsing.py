@@ -296,31 +296,6 @@ def with_years(query: Column, years: Column, year: int) -> Column:
     return F.when(start.isNotNull() & (F.size(years) <= 2), out).otherwise(query)
 
 
-# What technical content looks like (a null flag: as written; all others without regard to case), and points of folder names.
-TECHNICAL = [
-    r"CVE-\d{4}-\d{4,7}", r"(?:GET|POST|PUT|DELETE|HEAD|OPTIONS|PATCH)\s+(?![가-힣])[^\s]+", r"/[^\s'\"]*", r"\.\./?[^\s]*", r"https?://[^\s]+", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", r"\b[a-zA-Z0-9]+\.[a-zA-Z]{2,4}\b",
-    r"\?[a-zA-Z0-9_]+=\w*", r"\$\{[^}]*:[a-zA-Z]+://[^\s}]+\}", r"(?<=/)[^/\s'\"?#]+(?=/|$)", r"/(?:[^/\s]+)/(?:[^/\s]+)/", r"\.[a-zA-Z0-9]+$",
-]
-FOLDER_POINTS = {
-    100: "admin administrator upload uploads filemanager file-manager config configuration backup backups shell webshell install installation setup",
-    50: "editor fckeditor ckeditor tinymce plugins plugin includes include temp tmp test testing debug", 25: "assets js css images img templates themes api ajax",
-}
-
-
-def technical_parts(text: Column, most: int = 5) -> Column:
-    """The most telling pieces of technical content: by points (folder names, long paths, scripts, risky words), then place, then length; null if there is none."""
-    hits = F.array_distinct(F.flatten(F.array(*(found(text, f"(?i){p}") for p in TECHNICAL))))
-    low = lambda x: F.lower(x)
-    has = lambda x, words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low(x), w))
-
-    def points(x: Column) -> Column:
-        folder = F.when(has(x, FOLDER_POINTS[100].split()), 100).when(has(x, FOLDER_POINTS[50].split()), 50).when(has(x, FOLDER_POINTS[25].split()), 25).otherwise(0)
-        return folder + F.when(x.startswith("/") & (F.length(x) > 20), 10).otherwise(0) + F.when(has(x, [".php", ".jsp", ".asp"]), 20).otherwise(0) + F.when(has(x, ["upload", "admin", "config"]), 30).otherwise(0)
-
-    ranked = F.array_sort(F.transform(F.filter(hits, lambda x: x != ""), lambda x: F.struct((-points(x)).alias("p"), F.instr(text, x).alias("at"), (-F.length(x)).alias("n"), x.alias("x"))))
-    return F.nullif(F.array_join(F.transform(F.slice(ranked, 1, most), lambda r: r["x"]), "\n"), F.lit(""))
-
-
 def setting(*levels: Column) -> Column:
     """The first value given: a request's, its subscription's, the default."""
     return F.coalesce(*levels)

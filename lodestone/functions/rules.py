@@ -98,12 +98,13 @@ def clear_pattern(text: Column, patterns: dict[str, list[str]]) -> Column:
     return out
 
 
-def manifest_problems(name: Column, version: Column, prompts: Column, slots: Column) -> Column:
-    """What is wrong with a manifest: the name's form, the version's form, no prompts, slots without a name."""
-    return F.array_compact(F.array(
-        F.when(~F.coalesce(name.rlike("^[a-z0-9]+(?:-[a-z0-9]+)*$"), F.lit(False)), "name"), F.when(~F.coalesce(version.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+$"), F.lit(False)), "version"),
-        F.when(F.coalesce(F.size(prompts), F.lit(0)) < 1, "prompts"), F.when(F.exists(slots, lambda s: F.trim(s) == ""), "slots"),
-    ))
+# Marks of log lines.
+LOG_MARKS = r"(?i)\b(CEF:|LEEF:|DETECT\||SyslogAlertForwarder:|%ASA-|PulseSecure:|tlog:\s*\{|src=|dst=|spt=|dpt=|dvc=|dvchost=|deviceExternalId=|rt=|proto=|act=|msg=)\b"
+
+
+def log_payload(text: Column) -> Column:
+    """Whether a question carries raw log lines: a line end, six pipes or more, or a mark of a log line."""
+    return F.coalesce(F.contains(text, F.lit("\n")) | (F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit(""))) >= 6) | text.rlike(LOG_MARKS), F.lit(False))
 
 
 def request_problems(name: Column, role: Column, ranges: Column, roles: list[str]) -> Column:

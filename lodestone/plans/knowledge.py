@@ -89,7 +89,7 @@ def yaml_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     name = F.when(F.col("doc_id") % 2 == 0, "가").otherwise("가나")
     d = table(spark, sf_dir, "documents").select("doc_id", yaml.yaml_entries(F.encode(made(body, name, ": ", F.col("doc_id") % 5), "UTF-8")).alias("y"))
-    return d.select("doc_id", F.inline("y.entries"))
+    return d.select("doc_id", F.inline("y.entries")).drop("plain")
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 3 THEN 'no entry: just words' END AS error, CASE WHEN c_custkey % 4 < 3 THEN '가' END AS path, CASE WHEN c_custkey % 4 < 3 THEN c_name || CASE WHEN c_custkey % 4 = 1 THEN ' 나' ELSE '' END END AS value FROM customer""")

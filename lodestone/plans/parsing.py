@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import parsing as p
 from lodestone.functions import text as t
+from lodestone.operators import technical
 from lodestone.sources.tables import table
 
 from .base import query
@@ -196,4 +197,4 @@ def stripped_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def technical_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most telling pieces of documents' technical content."""
-    return table(spark, sf_dir, "documents").select("doc_id", p.technical_parts(F.col("text")).alias("parts")).where("parts IS NOT NULL")
+    return table(spark, sf_dir, "documents").select("doc_id", technical.technical_parts(F.col("text")).alias("parts")).where("parts IS NOT NULL")

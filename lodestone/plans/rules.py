@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import rules
 from lodestone.functions import text as t
 from lodestone.functions import vectors
+from lodestone.operators import manifest
+from lodestone.sources import yaml
 from lodestone.sources.tables import table
 
 from .base import query
@@ -70,15 +72,30 @@ def shaped_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", *(x.alias(n) for x, n in zip(k, ("qna", "plan", "action"), strict=True)), F.when(e[0] > 0.5, "qna").when(e[1] > 0.5, "plan").otherwise("action").alias("emergency"), clear.alias("clear"))
 
 
-@query("""SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_partkey % 2 = 0 THEN 'name' END, CASE WHEN p_partkey % 3 = 0 THEN 'version' END, CASE WHEN p_partkey % 5 = 0 THEN 'prompts' END, CASE WHEN p_partkey % 7 = 0 THEN 'slots' END], lambda x: x IS NOT NULL), ',') AS problems FROM part""")
+@query("""WITH c AS (SELECT c_custkey AS k, lower(replace(c_name, '#', '-')) AS n, c_mktsegment FROM customer)
+SELECT CAST(k AS VARCHAR) AS cartridge, 'name' AS "check", 'error' AS level FROM c WHERE k % 2 = 0 UNION ALL SELECT CAST(k AS VARCHAR), 'version', 'error' FROM c WHERE k % 3 = 0 UNION ALL SELECT CAST(k AS VARCHAR), 'prompts', 'error' FROM c WHERE k % 5 = 0
+UNION ALL SELECT CAST(k AS VARCHAR), 'prompts.odd', 'warning' FROM c WHERE k % 5 = 0 UNION ALL SELECT CAST(k AS VARCHAR), 'prompts.qna', 'error' FROM c WHERE k % 5 > 0 AND k % 7 = 1 UNION ALL SELECT CAST(k AS VARCHAR), 'knowledge.dir', 'error' FROM c WHERE k % 11 = 0
+UNION ALL SELECT CAST(k AS VARCHAR), 'plugins[0].name', 'error' FROM c WHERE k % 13 = 0 UNION ALL SELECT CAST(k AS VARCHAR), 'plugins[1].path', 'warning' FROM c WHERE k % 4 = 1""")
 def manifest_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V2."""
-    k = F.col("p_partkey")
-    name = F.when(k % 2 == 0, F.lit("Bad Name")).otherwise(F.replace("p_name", F.lit(" "), F.lit("-")))
-    version = F.when(k % 3 == 0, F.lit("one")).otherwise(F.lit("1.0.2"))
-    prompts = F.when(k % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("p")))
-    slots = F.when(k % 7 == 0, F.array(F.lit(" "))).otherwise(F.array(F.lit("s")))
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(rules.manifest_problems(name, version, prompts, slots), ",").alias("problems"))
+    """V2: manifests in YAML, one for each customer, held against the files of their cartridges."""
+    k = F.col("c_custkey")
+    name = F.when(k % 2 == 0, F.col("c_name")).otherwise(F.lower(F.replace("c_name", F.lit("#"), F.lit("-"))))
+    body = made(
+        'name: "', name, '"\nversion: ', F.when(k % 3 == 0, "1.0").otherwise("'1.0'"), "\nprompts:\n  ", F.when(k % 5 == 0, "odd").otherwise("qna"), ": ", F.when(k % 7 == 1, "gone").otherwise("p"), "/", F.col("c_mktsegment"), ".txt\nknowledge:\n  ",
+        F.when(k % 11 == 0, "folder: docs").otherwise("dir: docs"), "\n  breakdown: {a: 1}\nplugins:\n- ", F.when(k % 13 == 0, "title: x").otherwise("name: x"), "\n  path: x.py\n- {name: y, path: ", F.when(k % 4 == 1, "y.py").otherwise("docs"), "}",
+    )
+    c = table(spark, sf_dir, "customer").select(k.cast("string").alias("cartridge"), "c_mktsegment", yaml.yaml_entries(F.encode(body, "UTF-8"))["entries"].alias("entries"))
+    files = c.select("cartridge", F.explode(F.array(F.concat(F.lit("p/"), F.col("c_mktsegment"), F.lit(".txt")), F.lit("docs/a.yaml"), F.lit("x.py"))).alias("file"))
+    return manifest.problems(c.select("cartridge", "entries"), files)
+
+
+@query("""WITH q AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN regexp_extract(text, '^[^\\n]*') WHEN 2 THEN regexp_extract(text, '^[^\\n]*') || repeat('|', CAST(doc_id % 9 AS INTEGER)) ELSE regexp_extract(text, '^[^\\n]*') || ' dst=10.0.0.1' END AS q FROM documents)
+SELECT doc_id, contains(q, chr(10)) OR length(q) - length(replace(q, '|', '')) >= 6 OR regexp_matches(q, '(?i)\\b(CEF:|LEEF:|DETECT\\||SyslogAlertForwarder:|%ASA-|PulseSecure:|tlog:\\s*\\{|src=|dst=|spt=|dpt=|dvc=|dvchost=|deviceExternalId=|rt=|proto=|act=|msg=)\\b') AS payload FROM q""")
+def log_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """questions that carry raw log lines."""
+    k, line = F.col("doc_id") % 4, F.regexp_extract("text", r"^[^\n]*", 0)
+    q = F.when(k == 0, F.col("text")).when(k == 1, line).when(k == 2, F.concat(line, F.repeat(F.lit("|"), (F.col("doc_id") % 9).cast("int")))).otherwise(F.concat(line, F.lit(" dst=10.0.0.1")))
+    return table(spark, sf_dir, "documents").select("doc_id", rules.log_payload(q).alias("payload"))
 
 
 @query("""SELECT c_custkey, array_to_string(list_filter([CASE WHEN c_custkey % 2 = 0 THEN 'name' END, CASE WHEN c_mktsegment NOT IN ('BUILDING', 'MACHINERY') THEN 'role' END, CASE WHEN c_custkey % 3 = 0 THEN 'ranges' END], lambda x: x IS NOT NULL), ',') AS problems FROM customer""")

@@ -1,6 +1,6 @@
 """Knowledge files in YAML: nested maps and lists, block scalars, flow lists and maps, quoted and plain scalars, two encodings.
 
-A file becomes entries (path, value): keys joined by dots, places of lists in brackets, as app.ids[1].key. Lines are folded once, with a stack of
+A file becomes entries (path, value, plain): keys joined by dots, places of lists in brackets, as app.ids[1].key. Lines are folded once, with a stack of
 the open levels by indentation. Values are texts; null, ~ and nothing are null; an empty list or map is an entry with a null value.
 
 Defined cases: UTF-8 is tried first, then CP949; a file that is neither, has a tab in its indentation, an open quote, bracket or a line that is
@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ENTRIES = "struct<error:string,entries:array<struct<path:string,value:string>>>"
+ENTRIES = "struct<error:string,entries:array<struct<path:string,value:string,plain:boolean>>>"
 ENCODINGS = ("utf-8", "cp949")
 _KEY = re.compile(r"""("(?:[^"\\]|\\.)*"|'(?:[^']|'')*'|[^\s"'#\[\]{},&*!|>%@`-](?:[^:#]|:(?=\S)|(?<=\S)#)*?|-[^\s:][^:]*?)\s*:(?:\s+(.*))?$""")
 _BLOCK = re.compile(r"([|>])([+-]?)\d?([+-]?)\s*(?:#.*)?$")
@@ -65,14 +65,14 @@ def _flow(raw: str, path: str, out: list) -> str:
             elif not raw.startswith(close):
                 raise Malformed("open bracket")
         if len(out) == start and not count:
-            out.append((path, None))
+            out.append((path, None, True))
         return raw[1:]
     if raw[:1] in ('"', "'"):
         value, raw = _quoted(raw)
-        out.append((path, value))
+        out.append((path, value, False))
         return raw
     m = re.match(r"[^,\[\]{}]*", raw)
-    out.append((path, _plain(m[0])))
+    out.append((path, _plain(m[0]), True))
     return raw[m.end() :]
 
 
@@ -88,7 +88,7 @@ def _value(raw: str, path: str, out: list) -> None:
         if re.sub(r"^#.*", "", _flow(raw, path, out).strip()):
             raise Malformed(f"after a value: {raw[:20]}")
     else:
-        out.append((path, _plain(raw)))
+        out.append((path, _plain(raw), True))
 
 
 def _block(lines: list[str], at: int, base: int, style: str, chomp: str) -> tuple[str, int]:
@@ -109,8 +109,8 @@ def _block(lines: list[str], at: int, base: int, style: str, chomp: str) -> tupl
     return text + tail if kept else ("\n" * extra if chomp == "+" else ""), at
 
 
-def entries(text: str) -> list[tuple[str, str | None]]:
-    """(path, value) of a YAML text, in order. Raises Malformed."""
+def entries(text: str) -> list[tuple[str, str | None, bool]]:
+    """(path, value, plain) of a YAML text, in order; plain values are neither quoted nor blocks. Raises Malformed."""
     lines, out = re.split(r"\r?\n", text), []
     open_levels: list[list] = [[-1, "", 0, False]]  # indentation, path, entries so far, whether it is an item of a list
     at, begun = 0, False
@@ -164,7 +164,7 @@ def entries(text: str) -> list[tuple[str, str | None]]:
 def _closed(level: list, out: list) -> None:
     """A level that nothing came into is a null."""
     if not level[2]:
-        out.append((level[1], None))
+        out.append((level[1], None, True))
 
 
 def _scalar(raw: str, path: str, lines: list[str], at: int, base: int, out: list) -> int:
@@ -172,7 +172,7 @@ def _scalar(raw: str, path: str, lines: list[str], at: int, base: int, out: list
     m = _BLOCK.match(raw)
     if m:
         text, at = _block(lines, at, base, m[1], m[2] or m[3])
-        out.append((path, text))
+        out.append((path, text, False))
     else:
         _value(raw, path, out)
     return at
@@ -182,7 +182,7 @@ def _read(contents: pd.Series) -> pd.DataFrame:
     def one(content: bytes | None) -> dict:
         try:
             found = entries(decoded(content or b""))
-            return {"error": None, "entries": [{"path": p, "value": v} for p, v in found]}
+            return {"error": None, "entries": [{"path": p, "value": v, "plain": q} for p, v, q in found]}
         except Malformed as e:
             return {"error": str(e), "entries": []}
 

