@@ -50,3 +50,21 @@ def sessions(events: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFram
     w = Window.partitionBy(key).orderBy(ts, "event_id")
     new = F.coalesce((F.unix_timestamp(F.col(ts).cast("timestamp")) - F.lag(F.unix_timestamp(F.col(ts).cast("timestamp"))).over(w)) >= gap_seconds, F.lit(True))
     return events.withColumn("_new", new).withColumn("session", F.sum(F.col("_new").cast("int")).over(w)).drop("_new")
+
+
+# A mention in a message, and what a status line of the bot holds.
+MENTION, STATUS = "<@[A-Z0-9]+>", ("*질문[", "]*:")
+
+
+def thread_history(messages: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
+    """(conv, turn, speaker, content) of messages (conv, turn, bot, text): status lines and mentions go, blank questions too, and so does a question at the end.
+
+    A null text is a blank one; a bot's blank message stays.
+    """
+    text = F.coalesce("text", F.lit(""))
+    content = F.when(F.col("bot"), text).otherwise(F.regexp_replace(F.regexp_replace(text, MENTION, ""), r"^\s+|\s+$", ""))
+    status = F.col("bot") & F.contains(text, F.lit(STATUS[0])) & F.contains(text, F.lit(STATUS[1]))
+    rows = messages.where(~status).select(conv, turn, "bot", content.alias("content")).where(F.col("bot") | (F.col("content") != ""))
+    last = F.row_number().over(Window.partitionBy(conv).orderBy(F.desc(turn)))
+    kept = rows.withColumn("last_", last).where((F.col("last_") > 1) | F.col("bot"))
+    return kept.select(conv, turn, F.when(F.col("bot"), "assistant").otherwise("user").alias("speaker"), "content")

@@ -47,16 +47,17 @@ def plan_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.islands(turns, "conv_id", "turn", F.col("role") == "user").select("conv_id", "turn", "role", F.col("group_no").cast("long"), "step_no")
 
 
-@query("""WITH b AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations WHERE length(trim(text)) > 0)
-SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'user' END AS speaker FROM b WHERE NOT (rn = 1 AND role = 'user')""")
+@query("""WITH m AS (SELECT conv_id, turn, role = 'assistant' AS bot, CASE WHEN role = 'assistant' AND turn % 4 = 1 THEN '*질문[' || turn || '/4]*: ' || text WHEN role <> 'assistant' AND turn % 4 = 2 THEN '<@U0AB' || turn || '> ' WHEN role <> 'assistant' THEN ' <@U0AB' || turn || '>' || text || '<@lower>' ELSE text END AS t FROM conversations),
+c AS (SELECT conv_id, turn, bot, CASE WHEN bot THEN t ELSE trim(regexp_replace(t, '<@[A-Z0-9]+>', '', 'g'), ' ' || chr(9) || chr(10) || chr(13)) END AS content FROM m WHERE NOT (bot AND contains(t, '*질문[') AND contains(t, ']*:'))),
+k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM c WHERE bot OR content <> '')
+SELECT conv_id, turn, CASE WHEN bot THEN 'assistant' ELSE 'user' END AS speaker, md5(content) AS content FROM k WHERE NOT (rn = 1 AND NOT bot)""")
 def thread_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A trailing question is not history."""
-    from pyspark.sql import Window
-
-    turns = table(spark, sf_dir, "conversations").where(F.length(F.trim("text")) > 0)
-    last = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"))) == 1
-    speaker = F.when(F.col("role") == "assistant", "assistant").otherwise("user")
-    return turns.withColumn("last", last).where(~(F.col("last") & (F.col("role") == "user"))).select("conv_id", "turn", speaker.alias("speaker"))
+    """Status lines of the bot and mentions go, blank questions go, and a trailing question is not history."""
+    bot, turn = F.col("role") == "assistant", F.col("turn").cast("string")
+    status = F.concat(F.lit("*질문["), turn, F.lit("/4]*: "), F.col("text"))
+    only, around = F.concat(F.lit("<@U0AB"), turn, F.lit("> ")), F.concat(F.lit(" <@U0AB"), turn, F.lit(">"), F.col("text"), F.lit("<@lower>"))
+    text = F.when(bot & (F.col("turn") % 4 == 1), status).when(~bot & (F.col("turn") % 4 == 2), only).when(~bot, around).otherwise(F.col("text"))
+    return c.thread_history(table(spark, sf_dir, "conversations").select("conv_id", "turn", bot.alias("bot"), text.alias("text"))).select("conv_id", "turn", "speaker", F.md5("content").alias("content"))
 
 
 @query("""SELECT role, count(*) AS calls, CAST(sum(floor(length(text) / 4)) AS BIGINT) AS tokens, CAST(sum(len(regexp_split_to_array(trim(text), '\\s+'))) AS BIGINT) AS words FROM conversations GROUP BY role""")

@@ -177,3 +177,14 @@ def sparse_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = F.size(F.array_distinct(text.term_counts(F.coalesce("text", F.lit(""))))).cast("long")
     d = table(spark, sf_dir, "documents").select("source", terms.alias("terms"))
     return d.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.col("terms") == 0).alias("empty_docs"), F.sum("terms").alias("total_terms"), F.max("terms").alias("max_terms"))
+
+
+@query(f"""WITH {CORPUS}, p AS (SELECT doc_id, vec FROM corpus WHERE doc_id % 7 <> 3 UNION ALL SELECT -1 - doc_id, list_reverse(vec) FROM corpus WHERE doc_id % 7 = 3),
+s AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM (SELECT qid, doc_id, round(list_cosine_similarity(qvec, vec), 9) AS score FROM q JOIN p ON doc_id <> qid))
+SELECT qid, doc_id, score, CAST(rank AS INTEGER) AS rank, doc_id < 0 AS temporary FROM s WHERE rank <= 5""")
+def overlay_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search over the store and rows that are only there for it. A union is a view, so nothing has to be removed afterwards."""
+    points = corpus(spark, sf_dir)
+    base = points.where("doc_id % 7 <> 3").select("doc_id", "vec")
+    temporary = points.where("doc_id % 7 = 3").select((-1 - F.col("doc_id")).alias("doc_id"), F.reverse("vec").alias("vec"))
+    return search.dense_topk(base.unionByName(temporary), batch(points), 5).select("qid", "doc_id", "score", "rank", (F.col("doc_id") < 0).alias("temporary"))
