@@ -33,7 +33,7 @@ from . import common
 TERM = rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 KEPT, TOP = 3, 200
 #: Counts of a chunk's matrix, and terms that a counting task holds.
-CELLS, HELD = 1 << 21, 400_000
+CELLS, HELD = 1 << 18, 400_000
 
 _LOWER = bytes.maketrans(ascii_uppercase.encode(), ascii_lowercase.encode())
 
