@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.sources.tables import shared, table
-from lodestone.streaming import answers, buffers, sync
+from lodestone.streaming import answers, buffers, sync, workflows
 
 from .base import query
 
@@ -94,3 +94,19 @@ def synced_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     for version in range(3):
         sync.merge(events.where(F.pmod("event_id", F.lit(3)) == 2 - version), path, "user_id", "ts", version)
     return sync.snapshot(spark, path, events.schema).select("user_id", "ts", "event_type")
+
+
+@query("""WITH c AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations), p AS (SELECT conv_id, [x FOR x IN string_split(text, chr(10)) IF x <> ''] AS steps FROM c WHERE i = 0),
+a AS (SELECT conv_id, turn, contains(text, 'wh') AS empty FROM c WHERE i > 0), d AS (SELECT *, sum(CASE WHEN empty THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM a),
+s AS (SELECT conv_id, CAST(-1 AS BIGINT) AS seq, 0 AS before, 0 AS n, FALSE AS empty, TRUE AS plan FROM p UNION ALL SELECT conv_id, CAST(turn AS BIGINT), n - CASE WHEN empty THEN 0 ELSE 1 END, n, empty, FALSE FROM d),
+j AS (SELECT s.*, steps, len(steps) AS k FROM s JOIN p USING (conv_id)), r AS (SELECT *, least(n, k) AS done FROM j)
+SELECT CAST(conv_id AS VARCHAR) AS workflow, seq, CASE WHEN plan THEN CASE WHEN k > 0 THEN 'continue' ELSE 'complete' END WHEN before >= k THEN 'error' WHEN empty THEN 'requires_alternative' WHEN done < k THEN 'continue' ELSE 'complete' END AS action,
+CAST(done AS INTEGER) AS step, CASE WHEN done < k THEN md5(steps[CAST(done + 1 AS BIGINT)]) END AS message, CASE WHEN k > 0 THEN round(100.0 * done / k, 1) ELSE 100.0 END::DOUBLE AS progress FROM r""")
+def workflow_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of a conversation's first turn are a plan, its other turns the steps' answers."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("workflow"), F.col("turn").cast("long").alias("seq"), "text")
+    first = c.groupBy("workflow").agg(F.min(F.struct("seq", "text")).alias("f"))
+    plans = first.select("workflow", F.lit(-1).cast("long").alias("seq"), F.filter(F.split("f.text", "\n"), lambda x: x != "").alias("steps"), F.lit(False).alias("answered"), F.lit(None).cast("string").alias("answer"))
+    found = F.when(F.contains("text", F.lit("wh")), F.concat("text", F.lit(" No results found"))).otherwise(F.col("text"))
+    answered = c.join(first.select("workflow", F.col("f.seq").alias("seq")), ["workflow", "seq"], "left_anti").select("workflow", "seq", F.lit(None).cast("array<string>").alias("steps"), F.lit(True).alias("answered"), found.alias("answer"))
+    return workflows.folded(plans.unionByName(answered)).withColumn("message", F.md5("message"))
