@@ -111,12 +111,24 @@ def word_variants(word: Column, most: int = 5) -> Column:
     return F.slice(F.transform(ordered, lambda x: x["w"]), 1, most)
 
 
+#: Characters of a text that are tried first for its pairs of words.
+HEAD = 1000
+
+
 def english_concepts(text: Column, stop: tuple[str, ...] = ("the", "and", "for", "with", "that"), most: int = 10) -> Column:
-    """Capitalised phrases, neighbouring words, then single words of at least three letters (a to z), without stop words: the first `most` distinct, in lower case."""
-    words = F.filter(found(F.lower(text), "[a-z]{3,}"), lambda w: ~w.isin(*stop))
+    """Capitalised phrases, neighbouring words, then single words of at least three letters (a to z), without stop words: the first `most` distinct, in lower case.
+
+    The first `most` distinct pairs mostly stand in the text's head; only a text whose head has fewer is cut into words as a whole.
+    """
+    words = lambda x: F.filter(found(F.lower(x), "[a-z]{3,}"), lambda w: ~w.isin(*stop))
     phrases = F.transform(found(text, "[A-Z][a-z]+(?: [A-Z][a-z]+)+"), lambda p: F.lower(p))
-    pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    return F.slice(F.array_distinct(F.concat(phrases, pairs, words)), 1, most)
+    pairs = lambda w: F.filter(F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b))), lambda p: p.isNotNull())
+    # The last word of the head may be cut, so its pair is left out.
+    of_head = F.transform(F.array(words(F.left(text, F.lit(HEAD)))), lambda w: pairs(F.slice(w, 1, F.greatest(F.lit(0), F.size(w) - 1))))
+    of_head = F.array_distinct(F.get(of_head, F.lit(0)))
+    of_all = F.get(F.transform(F.array(words(text)), lambda w: F.concat(pairs(w), w)), F.lit(0))
+    rest = F.get(F.transform(F.array(of_head), lambda h: F.when(F.size(h) >= most, h).otherwise(of_all)), F.lit(0))
+    return F.slice(F.array_distinct(F.concat(phrases, rest)), 1, most)
 
 
 def without_markdown(text: Column) -> Column:

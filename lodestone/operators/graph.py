@@ -47,29 +47,53 @@ def position_weight(index: Column) -> Column:
     return 1.0 + 0.1 * index
 
 
+def name_candidates(group: DataFrame, least: float) -> DataFrame:
+    """(id, id2), id < id2: pairs of (id, name, size) of distinct names that can have a sequence-matcher ratio of `least`; no such pair is missing.
+
+    Of names of x and y characters at least m = least (x + y) / 2 are matched, in order. Between neighbouring matches at most (1 - least)(x + y) characters
+    are skipped in both names together, so at least m - 1 - (1 - least)(x + y) / 2 neighbours have at most one skipped: they are the same pair
+    of characters, next to each other or one apart, in both. Names are joined on such pairs, numbered if they repeat, the rarest first,
+    and on the band of their length; names too short for that number to be positive, and their partners, on single characters. Lengths
+    and common characters are compared before a name is read. Up to a ratio of 0.5 all names are joined on single characters.
+    """
+    share = least / (2 - least)
+    chars = F.filter(F.split("name", ""), lambda c: c != "")
+    named = group.select("id", "size", chars.alias("chars"))
+    numbered = lambda xs: F.transform(xs, lambda c, i: F.concat(c, F.lit("#"), F.size(F.filter(F.slice(xs, 1, i + 1), lambda d: d == c)).cast("string")))
+    apart = lambda n: F.filter(F.zip_with("chars", F.slice("chars", n + 1, F.size("chars")), lambda a, b: F.when(b.isNotNull(), F.concat(a, b))), lambda p: p.isNotNull())
+    named = named.withColumn("pairs", F.concat(apart(1), apart(2)))
+    size = F.col("size").cast("double")
+    # A name of x characters and its partner have x (1 + share) or more; from `long` on they share a pair at least.
+    long = int(1 / ((least - 0.5) * (1 + share)) + 1e-9) + 1 if least > 0.5 else None
+    kinds = {"chars": (F.lit(True) if long is None else F.col("size") <= int((long - 1) / share + 1e-9), F.ceil(size * share - 1e-9))}
+    if long is not None:
+        kinds["pairs"] = (F.col("size") >= long, F.ceil((least - 0.5) * (1 + share) * size - 1 - 1e-9))
+    found = None
+    for kind, (fits, common) in kinds.items():
+        rows = named.where(fits).select("id", "size", numbered(F.col("chars")).alias("bag"), numbered(F.col(kind)).alias("tokens"), F.greatest(F.lit(1), common).alias("common"))
+        often = rows.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("often"))
+        rare = rows.select("id", F.explode("tokens").alias("t")).join(often, "t").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "t"))).alias("rare"))
+        first = F.slice("rare", 1, F.greatest(F.lit(0), F.size("rare") - F.col("common") + 1).cast("int"))
+        band = F.floor(F.log(size) / F.log(F.lit(1.001 / share))).cast("int")
+        keyed = rows.join(rare, "id").select("id", "size", "bag", band.alias("band"), F.explode(F.transform(first, lambda x: x["t"])).alias("t"))
+        other = keyed.select(*(F.col(c).alias(f"{c}2") for c in ("id", "size", "bag")), "t", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+        total = F.col("size") + F.col("size2")
+        near = keyed.join(other, ["t", "band"]).where((F.col("id") < F.col("id2")) & (2 * F.least("size", "size2") >= least * total - 1e-9))
+        near = near.where(2 * F.size(F.array_intersect("bag", "bag2")) >= least * total - 1e-9).select("id", "id2")
+        found = near if found is None else found.unionByName(near)
+    return found.distinct()
+
+
 def similar_names(names: DataFrame, least: float = 0.7) -> DataFrame:
     """(a, b, score): pairs of (id, name) whose sequence-matcher ratio is at least `least`, a before b.
 
-    A ratio of r over names of x and y characters has r (x + y) / 2 of them in common, so at least r / (2 - r) of either's. As multisets
-    of characters, rarest first, such names share one of the first x - ceil(r x / (2 - r)) + 1: they are joined on these, and only pairs
-    whose lengths and common characters allow the ratio are compared. Nothing is lost. Names without characters have no pairs; names
-    that are equal are one row of the join (see `group`), and come back as pairs of their ids with the first of them.
+    Names are compared in lower case without punctuation. Names without characters have no pairs; names that are equal are one row of
+    the search (see `group`), and come back as pairs of their ids with the first of them.
     """
     clean = F.regexp_replace(F.lower("name"), r"[^\w\s]", "")
     rows = names.select("id", clean.alias("name")).where(F.length("name") > 0)
     group = rows.groupBy("name").agg(F.min("id").alias("id"), F.length("name").alias("size"))
-    chars = F.filter(F.split("name", ""), lambda c: c != "")
-    numbered = F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, 1, i + 1), lambda d: d == c)).cast("string")))
-    each = group.select("id", "size", F.explode(numbered).alias("c"))
-    often = each.groupBy("c").agg(F.count(F.lit(1)).alias("often"))  # characters and their numbers: a few thousand
-    bag = each.join(often, "c").groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("often", "c"))).alias("bag"))
-    share = least / (2 - least)
-    first = F.slice("bag", 1, (F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1).cast("int"))
-    keyed = bag.select("id", "size", F.transform("bag", lambda x: x["c"]).alias("cs"), F.explode(F.transform(first, lambda x: x["c"])).alias("c"))
-    other = keyed.select(*(F.col(c).alias(f"{c}2") for c in ("id", "size", "cs")), "c")
-    total = F.col("size") + F.col("size2")
-    pairs = keyed.join(other, "c").where((F.col("id") < F.col("id2")) & (2 * F.least("size", "size2") >= least * total - 1e-9))
-    pairs = pairs.where(2 * F.size(F.array_intersect("cs", "cs2")) >= least * total - 1e-9).select("id", "id2").distinct()
+    pairs = name_candidates(group, least)
     text = group.select("id", "name")
     pairs = pairs.join(text, "id").join(text.select(F.col("id").alias("id2"), F.col("name").alias("name2")), "id2")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import parsing as p
@@ -74,18 +75,29 @@ def test_parsers_on_odd_input(spark):
     assert values(spark, p.demojibaked, ["cafÃ©", "café", "Ã", "漢Ã©"]) == ["café", "café", "Ã", "漢Ã©"]
 
 
-def test_similar_names_lose_nothing(spark):
+@pytest.mark.parametrize("least", [0.7, 0.8, 0.55, 0.45])
+def test_similar_names_lose_nothing(spark, least):
     from difflib import SequenceMatcher
 
     r_ = random.Random(4)
-    names = ["abc", "adbec", "axbxc", "", "red ring", "red rings"] + ["".join(r_.choice("abcde") for _ in range(r_.randint(1, 9))) for _ in range(60)]
+    names = ["abc", "adbec", "axbxc", "", "red ring", "red rings", "a", "aa", "é", "abababab", "babababa"] + ["".join(r_.choice("abcde") for _ in range(r_.randint(1, 9))) for _ in range(50)]
+    long = ["".join(r_.choice("abcdefghijklmnop ") for _ in range(r_.randint(10, 30))) for _ in range(12)]
+    names += [*long, *("".join(c for c in x if r_.random() > 0.15) for x in long), *("".join(c + "z" * (r_.random() < 0.3) for c in x) for x in long)]
     names = list(dict.fromkeys(names))
     rows = spark.createDataFrame(list(enumerate(names)), "id long, name string")
-    got = {(x.a, x.b) for x in g.similar_names(rows).collect()}
-    want = {(i, j) for i in range(len(names)) for j in range(i + 1, len(names)) if names[i] and names[j] and SequenceMatcher(None, names[i], names[j]).ratio() >= 0.7}
+    got = {(x.a, x.b) for x in g.similar_names(rows, least).collect()}
+    want = {(i, j) for i in range(len(names)) for j in range(i + 1, len(names)) if names[i] and names[j] and SequenceMatcher(None, names[i], names[j]).ratio() >= least}
     assert got == want
 
 
+def test_similar_names_compare_few(spark):
+    r_ = random.Random(5)
+    syllables = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+    names = list(dict.fromkeys("".join(r_.choices(syllables, k=r_.randint(4, 8))) for _ in range(1500)))
+    rows = spark.createDataFrame([(i, n, len(n)) for i, n in enumerate(names)], "id long, name string, size int")
+    assert g.name_candidates(rows, 0.7).count() < len(names) * (len(names) - 1) / 2 * 0.05
+
+
 def test_file_scans(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "x.txt").write_bytes(b"ok \xff end")
