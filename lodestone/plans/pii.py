@@ -25,7 +25,8 @@ def masked_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.col("text").alias("plain"))
     out = pii.masked(turns)
     marks = F.array_join(F.regexp_extract_all("text", F.lit("<[A-Z_]+_[0-9]+>"), F.lit(0)), ",")
-    return out.select("conv_id", "turn", F.md5("text").alias("masked"), marks.alias("marks"), pii.unmasked(F.col("text"), F.col("marks")).eqNullSafe(F.col("plain")).alias("restored"))
+    out = out.withColumn("restored", pii.unmasked(F.col("text"), F.col("marks")).eqNullSafe(F.col("plain")))
+    return out.select("conv_id", "turn", F.md5("text").alias("masked"), marks.alias("marks"), "restored")
 
 
 #: One value of each entity, with the score and the place that the specification gives it.
