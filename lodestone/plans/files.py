@@ -64,11 +64,11 @@ def settings_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT strftime(ts, '%Y-%m-%d') AS date, CASE WHEN user_id % 4 = 0 THEN 'REST_API' ELSE 'u' || user_id END AS user, count(*) AS n FROM events GROUP BY ALL""")
 def logged_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A log in folders by day and user, read back."""
+    """A log in folders by day, in the order of users, read back."""
     path = shared(spark, "log")
     user = F.when(F.col("user_id") % 4 != 0, made("u", F.col("user_id")))
     files.chat_log(table(spark, sf_dir, "events").select("ts", user.alias("user"), "event_type"), path)
-    log = spark.read.schema("ts string, event_type string, date string, user string").csv(path, header=True)
+    log = spark.read.schema("ts string, user string, event_type string, date string").csv(path, header=True)
     return log.groupBy("date", "user").agg(F.count(F.lit(1)).alias("n"))
 
 

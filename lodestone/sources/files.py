@@ -77,10 +77,15 @@ def append_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").option("escape", '"').csv(path, header=True)
 
 
-def chat_log(rows: DataFrame, path: str) -> None:
-    """Appends (ts, user, ...) as CSV, in a folder for each day and user; a null user is REST_API."""
+def chat_log(rows: DataFrame, path: str, per_user: bool = False) -> None:
+    """Appends (ts, user, ...) as CSV, in a folder for each day; a null user is REST_API.
+
+    A day's rows lie in the order of users, so one user's are read from a few places. `per_user` gives each user a folder of the day, which makes
+    a file for every user and day: for a few users only.
+    """
     out = rows.withColumns({"date": F.date_format("ts", "yyyy-MM-dd"), "user": F.coalesce("user", F.lit("REST_API"))})
-    out.write.mode("append").partitionBy("date", "user").option("escape", '"').csv(path, header=True)
+    out = out if per_user else out.repartitionByRange("date", "user").sortWithinPartitions("date", "user", "ts")
+    out.write.mode("append").partitionBy(*["date", "user"][: 1 + per_user]).option("escape", '"').csv(path, header=True)
 
 
 def save_snapshot(entities: dict[str, DataFrame], path: str) -> None:
