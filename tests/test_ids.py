@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import ids
+from lodestone.sources import tables
 
 
 @pytest.mark.parametrize("rows", [3, 1000])
@@ -25,3 +28,13 @@ def test_clone(spark):
     new = ids.cloned_tenant(index, {"parts": (parts, ["id"]), "edges": (edges, ["source", "target"])}, "id", "tenant", 1, 3)
     assert {k: sorted(map(tuple, v.collect())) for k, v in new.items()} == {"index": [(8, 3, "a"), (9, 3, "b")], "parts": [(9, 0), (9, 1)], "edges": [(8, 9), (9, 8)]}
     assert ids.cloned_tenant(index, {}, "id", "tenant", 99, 3)["index"].agg(F.count(F.lit(1))).first()[0] == 0
+
+
+def test_written_tables_go(spark):
+    df = tables.written(spark.range(3).toDF("n"), "some")
+    assert sorted(r.n for r in df.collect()) == [0, 1, 2]
+    path = tables._own(spark).removeprefix("file:")
+    assert os.path.isdir(path)
+    tables.clear(spark)
+    assert not os.path.exists(path)
+    tables.clear(spark)
