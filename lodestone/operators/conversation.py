@@ -46,9 +46,10 @@ def islands(rows: DataFrame, key: str, order: str, boundary) -> DataFrame:
 
 
 def sessions(events: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
-    """Sessions that end after `gap_seconds` of silence or more (as event-time session windows do), numbered for each key."""
+    """Sessions that end after `gap_seconds` of silence or more, numbered for each key. Times count as whole seconds, rounded, halves to the even one."""
     w = Window.partitionBy(key).orderBy(ts, "event_id")
-    new = F.coalesce((F.unix_timestamp(F.col(ts).cast("timestamp")) - F.lag(F.unix_timestamp(F.col(ts).cast("timestamp"))).over(w)) >= gap_seconds, F.lit(True))
+    second = F.rint(F.unix_micros(F.col(ts).cast("timestamp")) / 1e6)
+    new = F.coalesce((second - F.lag(second).over(w)) >= gap_seconds, F.lit(True))
     return events.withColumn("_new", new).withColumn("session", F.sum(F.col("_new").cast("int")).over(w)).drop("_new")
 
 
