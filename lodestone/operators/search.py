@@ -18,7 +18,7 @@ scores; a query's own id is no answer; repeated points are candidates each; an e
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,10 @@ from lodestone.functions import text
 from lodestone.sources.tables import written
 
 QUERY_BLOCK, POINT_BLOCK = 1024, 8192
+#: Queries of a block that are scored at once, so that a task holds this many rows of scores, not a whole block's.
+SCORED = 64
+#: Texts whose terms are weighed at once.
+WEIGHED = 256
 HIT = "qid long, doc_id long, score double, by string"
 
 
@@ -65,6 +69,10 @@ def _kept(qid: np.ndarray, ids: np.ndarray, by: np.ndarray | None, scores: np.nd
     return out
 
 
+def _joined(found: list[dict[str, list]]) -> dict[str, list]:
+    return {c: [v for f in found for v in f[c]] for c in ("qid", "doc_id", "score", "by")}
+
+
 def _table(rows: dict[str, list]) -> pa.Table:
     return pa.table({"qid": pa.array(rows["qid"], pa.int64()), "doc_id": pa.array(rows["doc_id"], pa.int64()), "score": pa.array(rows["score"], pa.float64()), "by": pa.array(rows["by"], pa.string())})
 
@@ -106,15 +114,19 @@ def _sides(points: DataFrame, queries: DataFrame, best_by: str | None, boost: tu
     return p, q
 
 
-def _vector_topk(points: DataFrame, queries: DataFrame, k: int, score: Callable[[np.ndarray, np.ndarray], np.ndarray], digits: int, best_by: str | None, boost: tuple[str, float, float] | None) -> DataFrame:
+def _vector_topk(points: DataFrame, queries: DataFrame, k: int, units: Callable[[np.ndarray], np.ndarray], score: Callable[[np.ndarray, np.ndarray], np.ndarray], digits: int, best_by: str | None, boost: tuple[str, float, float] | None) -> DataFrame:
     p, q = _sides(points, queries, best_by, boost)
     pn, qn = _blocks(p, POINT_BLOCK), _blocks(q, QUERY_BLOCK)
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _table({"qid": [], "doc_id": [], "score": [], "by": []})
-        scores = _boosted(np.round(score(_matrix(left), _matrix(right)), digits), right, boost)
-        return _table(_kept(left.column("qid").to_numpy(), right.column("doc_id").to_numpy(), _by(right), scores, k))
+        qid, ids, by, q, p = left.column("qid").to_numpy(), right.column("doc_id").to_numpy(), _by(right), units(_matrix(left)), units(_matrix(right))
+        found = []
+        for i in range(0, len(qid), SCORED):
+            scores = _boosted(np.round(score(q[i : i + SCORED], p), digits), right, boost)
+            found.append(_kept(qid[i : i + SCORED], ids, by, scores, k))
+        return _table(_joined(found))
 
     left = q.withColumns({"qb": _dealt("qid", qn), "pb": _everywhere(pn)})
     right = p.withColumns({"pb": _dealt("doc_id", pn), "qb": _everywhere(qn)})
@@ -124,18 +136,25 @@ def _vector_topk(points: DataFrame, queries: DataFrame, k: int, score: Callable[
 
 def dense_topk(points: DataFrame, queries: DataFrame, k: int, digits: int = 9, best_by: str | None = None, boost: tuple[str, float, float] | None = None) -> DataFrame:
     """(qid, doc_id, score, rank): the k points (doc_id, vec) of greatest cosine for each query (qid, qvec)."""
-    return _vector_topk(points, queries, k, lambda q, p: _units(q) @ _units(p).T, digits, best_by, boost)
+    return _vector_topk(points, queries, k, _units, lambda q, p: q @ p.T, digits, best_by, boost)
 
 
 def multi_topk(points: DataFrame, queries: DataFrame, k: int, parts: int = 4, digits: int = 9) -> DataFrame:
     """The same by MaxSim: each part of the query's vector with its best part of the point's, summed. A length that `parts` doesn't divide has its last components left out."""
 
-    def score(q: np.ndarray, p: np.ndarray) -> np.ndarray:
-        cut = lambda m: _units(m[:, : m.shape[1] // parts * parts].reshape(len(m), parts, -1))
-        a, b = cut(q), cut(p)
-        return sum(np.max([a[:, i] @ b[:, j].T for j in range(parts)], axis=0) for i in range(parts))
+    def cut(m: np.ndarray) -> np.ndarray:
+        return _units(m[:, : m.shape[1] // parts * parts].reshape(len(m), parts, -1))
+
+    def score(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        total = 0
+        for i in range(parts):
+            best = a[:, i] @ b[:, 0].T
+            for j in range(1, parts):
+                np.maximum(best, a[:, i] @ b[:, j].T, out=best)
+            total = total + best
+        return total
 
-    return _vector_topk(points, queries, k, score, digits, None, None)
+    return _vector_topk(points, queries, k, cut, score, digits, None, None)
 
 
 def weighted_terms(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
@@ -145,17 +164,20 @@ def weighted_terms(docs: DataFrame, key: str, column: str = "text") -> DataFrame
 
     def weigh(batches):
         for batch in batches:
-            terms, weights = [], []
-            for words in batch.column("words").to_pylist():
-                names, n = np.unique(np.array(words, object), return_counts=True)
-                terms.append(names.tolist())
-                weights.append((n / np.sqrt((n * n).sum())).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(terms, pa.list_(pa.string())), pa.array(weights, pa.list_(pa.float64()))], [key, "terms", "weights"])
+            for first in range(0, batch.num_rows, WEIGHED):
+                part, terms, weights = batch.slice(first, WEIGHED), [], []
+                for words in part.column("words"):
+                    names, n = np.unique(np.array(words.as_py(), object), return_counts=True)
+                    terms.append(pa.array(names, pa.string()))
+                    weights.append(n / np.sqrt((n * n).sum()))
+                ends = pa.array(np.cumsum([0, *map(len, weights)]), pa.int32())
+                columns = [pa.ListArray.from_arrays(ends, pa.concat_arrays(terms)), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(weights)))]
+                yield pa.RecordBatch.from_arrays([part.column(key), *columns], [key, "terms", "weights"])
 
     return each.mapInArrow(weigh, schema)
 
 
-#: Queries of a block in a sparse search: their weights are one dense matrix over the block's terms.
+#: Queries of a block in a sparse search; their terms are the vocabulary that the points of a block are read by.
 SPARSE_QUERIES = 256
 
 
@@ -172,27 +194,46 @@ class _Weights:
         self.weights = weights.flatten().to_numpy(zero_copy_only=False)[has]
 
 
-def _sparse_scores(asked: pa.Table, given: pa.Table, least: np.ndarray, digits: int) -> np.ndarray:
-    """Scores of queries by points; NaN where they share no term, and for queries whose bound for the block is below `least`."""
+def _sparse_parts(asked: pa.Table, given: pa.Table, least: np.ndarray, digits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of queries, and their scores by points; NaN where they share no term. Queries whose bound for the block is below `least` are left out."""
     vocabulary = pc.unique(asked.column("terms").combine_chunks().flatten())
     q, p = _Weights(asked, vocabulary), _Weights(given, vocabulary)
     m, n = asked.num_rows, given.num_rows
-    weights = np.zeros((m, len(vocabulary)))
-    weights[q.rows, q.terms] = q.weights
     impact = np.zeros(len(vocabulary))
     np.maximum.at(impact, p.terms, p.weights)
-    active = np.flatnonzero(weights @ impact + 10.0**-digits >= least)
-    scores = np.full((m, n), np.nan)
-    if len(active):
-        own, ends = weights[active], np.searchsorted(p.rows, np.arange(n + 1))
-        found = np.zeros((len(active), n))
-        for j in np.flatnonzero(np.diff(ends)).tolist():
+    bound = np.bincount(q.rows, q.weights * impact[q.terms], m)
+    active = np.flatnonzero(bound + 10.0**-digits >= least)
+    starts, ends = np.searchsorted(q.rows, np.arange(m + 1)), np.searchsorted(p.rows, np.arange(n + 1))
+    points = np.flatnonzero(np.diff(ends)).tolist()
+    for i in range(0, len(active), SCORED):
+        rows = active[i : i + SCORED]
+        own, found = np.zeros((len(vocabulary), len(rows))), np.zeros((n, len(rows)))
+        for j, row in enumerate(rows.tolist()):
+            entries = slice(starts[row], starts[row + 1])
+            own[q.terms[entries], j] = q.weights[entries]
+        for j in points:
             entries = slice(ends[j], ends[j + 1])
-            found[:, j] = own[:, p.terms[entries]] @ p.weights[entries]
-        scores[active] = np.where(found > 0, np.round(found, digits), np.nan)
+            found[j] = p.weights[entries] @ own[p.terms[entries]]
+        yield rows, np.where(found > 0, np.round(found, digits), np.nan).T
+
+
+def _sparse_scores(asked: pa.Table, given: pa.Table, least: np.ndarray, digits: int) -> np.ndarray:
+    """Scores of queries by points, of all parts in one; NaN for queries that are left out."""
+    scores = np.full((asked.num_rows, given.num_rows), np.nan)
+    for rows, part in _sparse_parts(asked, given, least, digits):
+        scores[rows] = part
     return scores
 
 
+def _sparse_best(asked: pa.Table, given: pa.Table, least: np.ndarray, digits: int, k: int) -> dict[str, list]:
+    """The k best points of each query, of those that reach its `least`."""
+    qid, ids, best = asked.column("id").to_numpy(), given.column("id").to_numpy(), []
+    for rows, scores in _sparse_parts(asked, given, least, digits):
+        scores[scores < least[rows, None]] = np.nan
+        best.append(_kept(qid[rows], ids, None, scores, k))
+    return _joined(best)
+
+
 def sparse_topk(points: DataFrame, queries: DataFrame, k: int, digits: int = 9) -> DataFrame:
     """(qid, doc_id, score, rank): the k points (doc_id, text) of greatest cosine of term counts for each query (qid, qtext)."""
     p = weighted_terms(points, "doc_id").select(F.col("doc_id").alias("id"), F.lit(False).alias("asks"), "terms", "weights")
@@ -209,8 +250,7 @@ def sparse_topk(points: DataFrame, queries: DataFrame, k: int, digits: int = 9)
         asks = t.column("asks")
         left, right = t.filter(asks), t.filter(pc.invert(asks))
         parts = [left.slice(i, SPARSE_QUERIES) for i in range(0, left.num_rows, SPARSE_QUERIES)] if right.num_rows else []
-        found = [_kept(x.column("id").to_numpy(), right.column("id").to_numpy(), None, _sparse_scores(x, right, np.full(x.num_rows, -np.inf), digits), k) for x in parts]
-        return _table({c: [v for f in found for v in f[c]] for c in ("qid", "doc_id", "score", "by")})
+        return _table(_joined([_sparse_best(x, right, np.full(x.num_rows, -np.inf), digits, k) for x in parts]))
 
     first = written(placed.groupBy("block").applyInArrow(home, HIT), "first")
     if blocks == 1:
@@ -224,10 +264,7 @@ def sparse_topk(points: DataFrame, queries: DataFrame, k: int, digits: int = 9)
     def search(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return _table({"qid": [], "doc_id": [], "score": [], "by": []})
-        floor = a.column("least").fill_null(-np.inf).to_numpy()
-        scores = _sparse_scores(a, b, floor, digits)
-        scores[scores < floor[:, None]] = np.nan
-        return _table(_kept(a.column("id").to_numpy(), b.column("id").to_numpy(), None, scores, k))
+        return _table(_sparse_best(a, b, a.column("least").fill_null(-np.inf).to_numpy(), digits, k))
 
     rest = left.groupBy("qb", "pb").cogroup(right.groupBy("qb", "pb")).applyInArrow(search, HIT)
     return _ranked(first.unionByName(rest), k, None)
