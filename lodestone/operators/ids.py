@@ -22,7 +22,7 @@ MAX_RANGES = 4096
 def numbered(df: DataFrame, order: list[str], name: str = "number", first: int = 1) -> DataFrame:
     """`df` with a column `name`: first, first + 1, ... in the order of `order`."""
     at = f"{name}_range"
-    ranges = min(MAX_RANGES, max(1, -(-df.count() // RANGE_ROWS)))
+    ranges = deals(df)
     placed = written(df.repartitionByRange(ranges, *order).withColumn(at, F.spark_partition_id()), "numbered")
     counts = {r[at]: r["count"] for r in placed.groupBy(at).count().collect()}
     starts = list(accumulate((counts.get(i, 0) for i in range(ranges)), initial=first - 1))
@@ -30,6 +30,11 @@ def numbered(df: DataFrame, order: list[str], name: str = "number", first: int =
     return placed.withColumn(name, rank + F.get(F.array(*(F.lit(s).cast("long") for s in starts)), F.col(at))).drop(at)
 
 
+def deals(df: DataFrame) -> int:
+    """Into how many parts rows are dealt so that one holds about RANGE_ROWS, however many there are."""
+    return min(MAX_RANGES, max(1, -(-df.count() // RANGE_ROWS)))
+
+
 def cloned_tenant(index: DataFrame, parts: dict[str, tuple[DataFrame, list[str]]], key: str, tenant: str, source: int, target: int) -> dict[str, DataFrame]:
     """A tenant's rows under a new tenant, with new keys: the index and every table that refers to it.
 
@@ -41,8 +46,10 @@ def cloned_tenant(index: DataFrame, parts: dict[str, tuple[DataFrame, list[str]]
     ids = written(numbered(own.select(F.col(key).alias("old_key")).distinct(), ["old_key"], "new_key", greatest + 1), "keys")
 
     def moved(rows: DataFrame, columns: list[str]) -> DataFrame:
+        n = deals(rows)
         for c in columns:
-            rows = rows.join(ids.select(F.col("old_key").alias(c), F.col("new_key").alias(f"{c}_new")), c).drop(c).withColumnRenamed(f"{c}_new", c)
+            new = ids.select(F.col("old_key").alias(c), F.col("new_key").alias(f"{c}_new")).repartition(n, c)
+            rows = rows.repartition(n, c).join(new, c).drop(c).withColumnRenamed(f"{c}_new", c)
         return rows
 
     out = {"index": moved(own, [key]).withColumn(tenant, F.lit(target)).select(*index.columns)}

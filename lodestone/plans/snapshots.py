@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text
 from lodestone.operators import ids
 from lodestone.operators import relational as rel
-from lodestone.sources.tables import table
+from lodestone.sources.tables import table, written
 
 from .base import query
 
@@ -93,7 +93,8 @@ def cloned_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = ids.cloned_tenant(orders, {"parts": (lines, ["l_orderkey"]), "graph": (edges, ["s", "g"])}, "o_orderkey", "tenant", 1, 9)
     shape = {"index": ("o_orderkey", "tenant"), "parts": ("l_orderkey", "l_linenumber"), "graph": ("s", "g")}
     rows = [new[k].select(F.lit(k).alias("kind"), F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")) for k, (a, b) in shape.items()]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("kind", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    copied = written(rows[0].unionByName(rows[1]).unionByName(rows[2]), "copied")
+    return copied.repartition(ids.deals(copied), "kind", "a", "b").groupBy("kind", "a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT event_id, row_number() OVER (ORDER BY user_id, ts, event_id) AS number FROM events")
