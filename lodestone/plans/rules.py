@@ -10,7 +10,7 @@ from lodestone.functions import text as t
 from lodestone.functions import vectors
 from lodestone.operators import manifest
 from lodestone.sources import yaml
-from lodestone.sources.tables import table
+from lodestone.sources.tables import table, written
 
 from .base import query
 from .parsing import made
@@ -85,6 +85,7 @@ def manifest_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 11 == 0, "folder: docs").otherwise("dir: docs"), "\n  breakdown: {a: 1}\nplugins:\n- ", F.when(k % 13 == 0, "title: x").otherwise("name: x"), "\n  path: x.py\n- {name: y, path: ", F.when(k % 4 == 1, "y.py").otherwise("docs"), "}",
     )
     c = table(spark, sf_dir, "customer").select(k.cast("string").alias("cartridge"), "c_mktsegment", yaml.yaml_entries(F.encode(body, "UTF-8"))["entries"].alias("entries"))
+    c = written(c, "manifests")
     files = c.select("cartridge", F.explode(F.array(F.concat(F.lit("p/"), F.col("c_mktsegment"), F.lit(".txt")), F.lit("docs/a.yaml"), F.lit("x.py"))).alias("file"))
     return manifest.problems(c.select("cartridge", "entries"), files)
 
