@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.tables import written
+
 
 def cooccurrences(concepts: DataFrame, column: str = "concepts") -> DataFrame:
     """(a, b, docs): pairs a < b of the concepts of one row, with the number of rows. Pairs are made within the row, counts are combined before the shuffle.
@@ -88,11 +90,12 @@ def similar_names(names: DataFrame, least: float = 0.7) -> DataFrame:
     """(a, b, score): pairs of (id, name) whose sequence-matcher ratio is at least `least`, a before b.
 
     Names are compared in lower case without punctuation. Names without characters have no pairs; names that are equal are one row of
-    the search (see `group`), and come back as pairs of their ids with the first of them.
+    the search (see `group`), and come back as pairs of their ids with the first of them. Names are written, and their groups too: else the
+    conditions on a name's pairs of characters go below the grouping, to every row that it came from, once for each part of the search.
     """
     clean = F.regexp_replace(F.lower("name"), r"[^\w\s]", "")
-    rows = names.select("id", clean.alias("name")).where(F.length("name") > 0)
-    group = rows.groupBy("name").agg(F.min("id").alias("id"), F.length("name").alias("size"))
+    rows = written(names.select("id", clean.alias("name")).where(F.length("name") > 0), "names")
+    group = written(rows.groupBy("name").agg(F.min("id").alias("id"), F.length("name").alias("size")), "groups")
     pairs = name_candidates(group, least)
     text = group.select("id", "name")
     pairs = pairs.join(text, "id").join(text.select(F.col("id").alias("id2"), F.col("name").alias("name2")), "id2")

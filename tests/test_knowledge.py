@@ -98,6 +98,21 @@ def test_similar_names_compare_few(spark):
     assert g.name_candidates(rows, 0.7).count() < len(names) * (len(names) - 1) / 2 * 0.05
 
 
+def test_similar_names_read_rows_once(spark, tmp_path):
+    """The search is on distinct names: the rows that they came from are read once."""
+    spark.createDataFrame([(i, ("red ring", "red rings", "bolt")[i % 3]) for i in range(3000)], "id long, name string").repartition(1).write.parquet(f"{tmp_path}/names")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    rows = spark.read.parquet(f"{tmp_path}/names").mapInPandas(counted, "id long, name string").groupBy("name").agg(F.min("id").alias("id")).select("id", "name")
+    assert [(x.a, x.b) for x in g.similar_names(rows).collect()] == [(0, 1)]
+    assert seen.value == 3000
+
+
 def test_file_scans(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "x.txt").write_bytes(b"ok \xff end")
