@@ -183,47 +183,66 @@ def context_line(rank: Column, parts: list[tuple[str, Column]]) -> Column:
     return F.concat_ws("\n", F.format_string("[%d]", rank), *(F.when(F.length(F.trim(v)) > 0, F.concat(F.lit(f"{k}: "), F.trim(v))) for k, v in parts))
 
 
+#: A whole line of a table: dots, pipes, rules of dashes, or columns parted by wide blanks.
+TABLE_LINE = r"^(?:\.\.\.\z|\|(?:[^|]+\|)+$|\+(?:-+\+)+$|\|\s*:?-+:?\s*(?:\|\s*:?-+:?\s*)+\|?$|\S+\s{2,}\S+(?:\s{2,}\S+)*$)"
+
+
 def table_line(line: Column) -> Column:
     """Whether a line belongs to a table: blank, dots, pipes, rules of dashes, or columns parted by wide blanks."""
-    x = tidy(line)
-    return (x == "") | (x == "...") | x.rlike(r"^\|(?:[^|]+\|)+$") | x.rlike(r"^\+(?:-+\+)+$") | x.rlike(r"^\|\s*:?-+:?\s*(?:\|\s*:?-+:?\s*)+\|?$") | x.rlike(r"^\S+\s{2,}\S+(?:\s{2,}\S+)*$")
+    return _table_line(tidy(line))
 
 
-def _scanned(text: Column) -> Column:
-    """Each character of a text as struct(c, quoted, depth): whether it stands in double quotes, and the brackets open outside of them."""
-    state = "struct<q:boolean,d:int,p:string,out:array<struct<c:string,q:boolean,d:int>>>"
-    start = F.from_json(F.lit('{"q":false,"d":0,"p":"","out":[]}'), state)
+def _table_line(x: Column) -> Column:
+    return (x == "") | x.rlike(TABLE_LINE)
 
-    def step(a: Column, c: Column) -> Column:
-        turn = (c == '"') & (a["p"] != "\\")
-        q = F.when(turn, ~a["q"]).otherwise(a["q"])
-        d = a["d"] + F.when(a["q"] | turn, 0).when(c == "[", 1).when(c == "]", -1).otherwise(0)
-        return F.struct(q.alias("q"), d.alias("d"), c.alias("p"), F.array_append(a["out"], F.struct(c.alias("c"), (a["q"] | q).alias("q"), d.alias("d"))).alias("out"))
 
-    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), start, step, lambda a: a["out"])
+#: What stands in double quotes (to the end, if they stay open), a bracket, a pipe, or a run of anything else. A quote behind a backslash is none.
+TOKEN = r'(?s)(?<!\\)".*?(?:(?<!\\)"|\z)|[\[\]|"]|[^"\[\]|]+'
 
 
 def pipe_parts(text: Column) -> Column:
-    """A query cut at pipes that stand outside of quotes and brackets; parts are trimmed, empty ones go."""
+    """A query cut at pipes that stand outside of quotes and brackets; parts are trimmed, empty ones go. The fold is over tokens, not characters."""
     mark = "\u0001"
-    marked = F.array_join(F.transform(_scanned(text), lambda x: F.when((x["c"] == "|") & ~x["q"] & (x["d"] == 0), mark).otherwise(x["c"])), "")
+    start = F.struct(F.lit(0).alias("d"), F.lit("").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        d = a["d"] + F.when(x == "[", 1).when(x == "]", -1).otherwise(0)
+        return F.struct(d.alias("d"), F.concat(a["out"], F.when((x == "|") & (a["d"] == 0), mark).otherwise(x)).alias("out"))
+
+    marked = F.aggregate(found(text, TOKEN), start, step, lambda a: a["out"])
     return F.filter(F.transform(F.split(marked, mark), lambda p: F.trim(p)), lambda p: p != "")
 
 
+def _count(text: Column, char: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
+
+
 def joined_lines(text: Column) -> Column:
-    """Lines of a query put together while a quote or bracket is open; blank and table lines outside of them go."""
-    lines = F.transform(F.split(text, r"\r?\n"), lambda x: tidy(x))
-    start = F.from_json(F.lit('{"out":"","buf":""}'), "struct<out:string,buf:string>")
+    """Lines of a query put together while a quote or bracket is open; blank and table lines outside of them go.
+
+    Whether a quote is open, and the brackets open outside of quotes, are carried from line to line, so a line is read once.
+    """
+    start = F.from_json(F.lit('{"out":"","buf":"","q":false,"d":0}'), "struct<out:string,buf:string,q:boolean,d:int>")
+
+    def brackets(x: Column) -> Column:
+        bare = F.when(F.contains(x, F.lit('"')), F.regexp_replace(x, r'"[^"]*(?:"|\z)', "")).otherwise(x)
+        return _count(bare, "[") - _count(bare, "]")
+
+    def line(x: Column) -> Column:
+        turns = (_count(x, '"') % 2 == 1).alias("turns")
+        inside = F.when(F.contains(x, F.lit('"')), brackets(F.regexp_replace(x, r'^[^"]*"', ""))).otherwise(0)
+        return F.struct(x.alias("x"), turns, brackets(x).alias("d"), inside.alias("inside"))
 
-    def opened(buf: Column) -> Column:
-        bare = F.regexp_replace(buf, r'"[^"]*"', "")
-        return F.contains(bare, F.lit('"')) | (F.regexp_count(bare, F.lit(r"\[")) > F.regexp_count(bare, F.lit(r"\]")))
+    lines = F.transform(F.transform(F.split(text, r"\r?\n"), lambda x: tidy(x)), line)
 
     def step(a: Column, x: Column) -> Column:
-        skip = (x == "") | ((a["buf"] == "") & table_line(x))
-        buf = F.when(a["buf"] == "", x).otherwise(F.concat_ws(" ", a["buf"], x))
+        skip = (x["x"] == "") | ((a["buf"] == "") & _table_line(x["x"]))
+        q, d = a["q"] != x["turns"], a["d"] + F.when(a["q"], x["inside"]).otherwise(x["d"])
+        buf = F.when(a["buf"] == "", x["x"]).otherwise(F.concat_ws(" ", a["buf"], x["x"]))
         done = F.concat(a["out"], F.when(a["out"] == "", "").otherwise("\n"), buf)
-        return F.when(skip, a).when(opened(buf), F.struct(a["out"].alias("out"), buf.alias("buf"))).otherwise(F.struct(done.alias("out"), F.lit("").alias("buf")))
+        still = F.struct(a["out"].alias("out"), buf.alias("buf"), q.alias("q"), d.alias("d"))
+        closed = F.struct(done.alias("out"), F.lit("").alias("buf"), F.lit(False).alias("q"), F.lit(0).alias("d"))
+        return F.when(skip, a).when(q | (d > 0), still).otherwise(closed)
 
     return F.aggregate(lines, start, step, lambda a: F.when(a["buf"] == "", a["out"]).when(a["out"] == "", a["buf"]).otherwise(F.concat_ws("\n", a["out"], a["buf"])))
 

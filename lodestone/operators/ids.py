@@ -30,9 +30,9 @@ def numbered(df: DataFrame, order: list[str], name: str = "number", first: int =
     return placed.withColumn(name, rank + F.get(F.array(*(F.lit(s).cast("long") for s in starts)), F.col(at))).drop(at)
 
 
-def deals(df: DataFrame) -> int:
-    """Into how many parts rows are dealt so that one holds about RANGE_ROWS, however many there are."""
-    return min(MAX_RANGES, max(1, -(-df.count() // RANGE_ROWS)))
+def deals(df: DataFrame, rows: int = RANGE_ROWS) -> int:
+    """Into how many parts rows are dealt so that one holds about `rows` (RANGE_ROWS), however many there are."""
+    return min(MAX_RANGES, max(1, -(-df.count() // rows)))
 
 
 def cloned_tenant(index: DataFrame, parts: dict[str, tuple[DataFrame, list[str]]], key: str, tenant: str, source: int, target: int) -> dict[str, DataFrame]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import parsing as p
 from lodestone.functions import text as t
-from lodestone.operators import technical
+from lodestone.operators import ids, technical
 from lodestone.sources.tables import table
 
 from .base import query
@@ -132,7 +132,10 @@ def split_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T-15, T-16, T-17: pipes outside of quotes and brackets part a query; lines are joined while one is open; table lines go."""
     q = made("table a=", F.col("p_size"), ' | search "x|y" || join [ search b|c ]')
     lines = made("| a | b |\n|---|---|\ntable a=", F.col("p_size"), ' "two\nlines" x\n\nsearch [ b\nc ]\n...')
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(p.pipe_parts(q), "~").alias("parts"), p.joined_lines(lines).alias("joined"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    # A file may hold a million short rows in one group, which one task reads: they are dealt out before the work on them.
+    dealt = parts.repartition(ids.deals(parts, 50_000))
+    return dealt.select("p_partkey", F.array_join(p.pipe_parts(q), "~").alias("parts"), p.joined_lines(lines).alias("joined"))
 
 
 @query("""SELECT p_partkey, '---' || chr(10) || 'a: ' || p_size || chr(10) || 'b' AS yaml, 'yes ' || p_size AS final, CASE WHEN p_partkey % 2 = 0 THEN 'table x=' || p_size || ' | stats count' ELSE 'stats count' END AS based, 'größe ' || p_size AS msg FROM part""")

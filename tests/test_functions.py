@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import intent, text, vectors
+from lodestone.functions import parsing as p
 from lodestone.operators import conversation, evaluation, graph, pii, relational, retrieval
 
 
@@ -170,3 +175,45 @@ def test_sessions_count_rounded_seconds(spark, tmp_path):
     got = registry.QUERIES["activity_sessions"](spark, str(tmp_path))
     want = duck.sql(f"SELECT user_id, session, events, total FROM ({registry.ORACLE_SQL['activity_sessions']})").fetchall()
     assert sorted(map(tuple, got.select("user_id", "session", "events", "total").collect())) == sorted(want)
+
+
+def plain_parts(text):
+    """What pipe_parts is to give, character by character."""
+    parts, quoted, depth, before = [""], False, 0, ""
+    for c in text:
+        turn = c == '"' and before != "\\"
+        depth += 0 if quoted or turn else (c == "[") - (c == "]")
+        cut = c == "|" and not quoted and depth == 0
+        quoted ^= turn
+        parts = [*parts, ""] if cut else [*parts[:-1], parts[-1] + c]
+        before = c
+    return [x for x in (x.strip(" ") for x in parts) if x]
+
+
+def plain_lines(text):
+    """What joined_lines is to give, each time from the whole of the open lines."""
+    out, buf = [], ""
+    for x in (x.strip() for x in text.split("\n")):
+        if x == "" or (not buf and (x == "..." or re.search(r"^\|(?:[^|]+\|)+$|^\S+\s{2,}\S+(?:\s{2,}\S+)*$", x))):
+            continue
+        buf = f"{buf} {x}" if buf else x
+        bare = re.sub('"[^"]*"', "", buf)
+        if '"' not in bare and bare.count("[") <= bare.count("]"):
+            out, buf = [*out, buf], ""
+    return "\n".join([*out, buf] if buf else out)
+
+
+def test_queries_split_as_by_character(spark):
+    r_ = random.Random(11)
+    texts = ["", '"', "\\", '\\"|"', "[|]|", "]|[", '"a\\"|b"|c', "漢|😀"] + ["".join(r_.choices('ab \\"[]|\n.', k=r_.randint(1, 40))) for _ in range(400)]
+    rows = spark.createDataFrame([(x,) for x in texts], "x string").select("x", p.pipe_parts(F.col("x")).alias("parts"), p.joined_lines(F.col("x")).alias("lines"))
+    for x in rows.collect():
+        assert x.parts == plain_parts(x.x) and x.lines == plain_lines(x.x), x.x
+
+
+def test_long_queries_split_in_time(spark):
+    """The fold over single characters copied all that it had for each of them: its time grew with the square of the length."""
+    began = time.perf_counter()
+    rows = spark.createDataFrame([("x" * 200_000 + "| y",)], "x string")
+    assert rows.select(F.size(p.pipe_parts(F.col("x"))).alias("n")).first().n == 2
+    assert time.perf_counter() - began < 20
