@@ -6,12 +6,10 @@ its concepts. In any other text capitalised phrases come first. Concepts that ar
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import found
+from .text import found, held
 
 # Stop words of both languages, and particles that a Korean word may end with.
 KOREAN_STOP = ("이", "그", "저", "것", "은", "는", "가", "를", "에", "와", "과", "이다", "있다")
@@ -19,11 +17,8 @@ ENGLISH_STOP = ("the", "a", "an", "of", "in", "on", "at", "by", "for", "with", "
 PARTICLES = ("이", "가", "을", "를", "에", "의", "로", "으로", "와", "과", "이나", "나", "은", "는")
 PHRASE = r"[A-Z][a-z]+(?:\s+[A-Z]?[a-z]+){0,2}"
 HANGUL, MOST = "[가-힣]", 10
-
-
-def held(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is worked out once, however often it is named there."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+#: Characters of a text that are tried first.
+HEAD = 1000
 
 
 def without_particle(word: Column) -> Column:
@@ -51,18 +46,47 @@ def _neighbours(words: Column, least: int) -> Column:
 
 
 def concepts(text: Column, known: Column | None = None, most: int = MOST) -> Column:
-    """The first `most` concepts of a text, as they are written there; none for a null or empty one."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: F.length(w) > 1)
-    korean = F.filter(F.transform(F.filter(words, lambda w: ~w.isin(*KOREAN_STOP)), without_particle), lambda w: F.length(w) > 1)
-    low = F.transform(F.filter(words, lambda w: F.length(w) > 2), lambda w: F.lower(w))
-    english = F.filter(low, lambda w: ~w.isin(*ENGLISH_STOP))
-    of_korean = held(korean, lambda w: F.concat(_neighbours(w, 3), w))
-    of_english = held(english, lambda w: F.concat(found(text, PHRASE), _neighbours(w, 4), w))
-    every = F.when(text.rlike(HANGUL), of_korean).otherwise(of_english)
-    named = F.filter(F.transform(every, lambda c: F.struct(normal(c, known).alias("key"), c.alias("name"))), lambda c: F.length(c["key"]) > 2)
-
-    def firsts(all_named: Column) -> Column:
-        keys = F.slice(F.array_distinct(F.transform(all_named, lambda c: c["key"])), 1, most)
-        return F.transform(keys, lambda k: F.get(F.filter(all_named, lambda c: c["key"] == k), F.lit(0))["name"])
-
-    return F.coalesce(held(named, firsts), F.array().cast("array<string>"))
+    """The first `most` concepts of a text, as they are written there; none for a null or empty one.
+
+    They mostly stand in the text's head, whose phrases and neighbours are the first of the whole text's; only a text whose head has fewer is
+    cut into words as a whole. What the head's end may have cut, its last word and its last phrase, is left out.
+    """
+    cut = lambda x: F.split(x, r"\s+")
+    but_last = lambda xs: F.slice(xs, 1, F.greatest(F.lit(0), F.size(xs) - 1))
+
+    def korean(words: Column) -> Column:
+        kept = F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*KOREAN_STOP))
+        return F.filter(F.transform(kept, without_particle), lambda w: F.length(w) > 1)
+
+    def english(words: Column) -> Column:
+        return F.filter(F.transform(F.filter(words, lambda w: F.length(w) > 2), lambda w: F.lower(w)), lambda w: ~w.isin(*ENGLISH_STOP))
+
+    def firsts(names: Column) -> Column:
+        named = F.filter(F.transform(names, lambda c: F.struct(normal(c, known).alias("key"), c.alias("name"))), lambda c: F.length(c["key"]) > 2)
+
+        def of(all_named: Column) -> Column:
+            keys = F.slice(F.array_distinct(F.transform(all_named, lambda c: c["key"])), 1, most)
+            return F.transform(keys, lambda k: F.get(F.filter(all_named, lambda c: c["key"] == k), F.lit(0))["name"])
+
+        return held(named, of)
+
+    def enough(names: Column, rest: Column) -> Column:
+        """`names` if there are `most`, else `rest`, which is worked out only then."""
+        return held(names, lambda h: F.when(F.size(h) >= most, h).otherwise(rest))
+
+    def of_text(t: Column) -> Column:
+        head = F.left(t, F.lit(HEAD))
+        of_korean = enough(
+            firsts(held(korean(but_last(cut(head))), lambda w: _neighbours(w, 3))),
+            firsts(held(korean(cut(t)), lambda w: F.concat(_neighbours(w, 3), w))),
+        )
+        of_english = enough(
+            firsts(but_last(found(head, PHRASE))),
+            enough(
+                firsts(F.concat(found(t, PHRASE), held(english(but_last(cut(head))), lambda w: _neighbours(w, 4)))),
+                firsts(held(english(cut(t)), lambda w: F.concat(found(t, PHRASE), _neighbours(w, 4), w))),
+            ),
+        )
+        return F.when(t.rlike(HANGUL), of_korean).otherwise(of_english)
+
+    return F.coalesce(held(F.coalesce(text, F.lit("")), of_text), F.array().cast("array<string>"))

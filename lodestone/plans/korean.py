@@ -44,7 +44,9 @@ SELECT doc_id, string_agg(name, '|' ORDER BY i) AS concepts FROM r WHERE rn <= 1
 def mixed_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X21, T-22: concepts of texts in either script; particles and stop words go, forms of one term count once."""
     text = F.when(F.col("doc_id") % 2 == 1, in_hangul(F.col("text"))).otherwise(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(c.concepts(text), "|").alias("concepts")).where("concepts <> ''")
+    named = F.array(F.array_join(c.concepts(text), "|"))
+    # A condition on a selected column is worked out again below the selection; one on exploded rows is not.
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(named).alias("concepts")).where("concepts <> ''")
 
 
 @query(f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN translate(lower(text), 'aeiou', '가이는의과') ELSE text END AS t FROM documents)

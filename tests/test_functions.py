@@ -9,6 +9,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions import concepts as c
 from lodestone.functions import intent, text, vectors
 from lodestone.functions import parsing as p
 from lodestone.operators import conversation, evaluation, graph, pii, relational, retrieval
@@ -217,3 +218,40 @@ def test_long_queries_split_in_time(spark):
     rows = spark.createDataFrame([("x" * 200_000 + "| y",)], "x string")
     assert rows.select(F.size(p.pipe_parts(F.col("x"))).alias("n")).first().n == 2
     assert time.perf_counter() - began < 20
+
+
+def plain_concepts(text, most=10):
+    """What concepts() is to give, from the whole text."""
+    words = [w for w in re.split(r"\s+", text) if len(w) > 1]
+    if korean := re.search(c.HANGUL, text):
+        stems = [next((w[: -len(x)] for x in sorted(c.PARTICLES, key=len, reverse=True) if w.endswith(x)), w) for w in words if w not in c.KOREAN_STOP]
+        stems = [w for w in stems if len(w) > 1]
+    else:
+        stems = [w for w in (w.lower() for w in words if len(w) > 2) if w not in c.ENGLISH_STOP]
+    pairs = [f"{a} {b}" for a, b in zip(stems, stems[1:])]
+    phrases = [] if korean else re.findall(c.PHRASE, text)
+    first = {}
+    for x in [*phrases, *(x for x in pairs if len(x) > (3 if korean else 4)), *stems]:
+        if len(x) > 2:
+            first.setdefault(x.lower(), x)
+    return list(first.values())[:most]
+
+
+@pytest.mark.parametrize("head", [8, 40, 90])
+def test_concepts_of_a_head_are_the_first_of_the_text(spark, monkeypatch, head):
+    monkeypatch.setattr(c, "HEAD", head)
+    r_ = random.Random(head)
+    words = ["Foo", "bar", "Ba", "the", "Of", "green", "Blue", "x", "iron.", "Old", "gate", "river", "mill"]
+    hangul = ["가나", "나라이", "은", "라마으로", "하을", "거가", "바는", "자의차", "Foo"]
+    texts = ["", " ", "Foo", *("".join(r_.choice(pool) + r_.choice([" ", " ", "  ", "\n"]) for _ in range(r_.randint(1, 40))) for pool in [words] * 150 + [hangul] * 100 + [words + hangul[:1]] * 50)]
+    rows = spark.createDataFrame([(x,) for x in [*texts, None]], "x string").select("x", c.concepts(F.col("x")).alias("c"))
+    for x in rows.collect():
+        assert x.c == plain_concepts(x.x or ""), x.x
+
+
+def test_concepts_take_a_text_once(spark, sf_dir):
+    """The text in Hangul is made once for a row, neither for each place that reads it nor again for the condition on the result."""
+    from lodestone.plans import korean
+
+    plan = korean.mixed_concepts(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(lower(text") == 1
