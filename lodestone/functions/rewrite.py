@@ -1,6 +1,6 @@
 """Texts with their matches rewritten by an expression, and what is built on it: dates, altered marks, query blocks, texts for embedding.
 
-A text is cut into gaps and matches once; each match goes through an expression of its own, and all are put together again. This
+A text is worked out and cut into gaps and matches once; each match goes through an expression of its own, and all are put together again. This
 is what a pattern replacement can't do when the replacement has to be computed. Null texts stay null.
 """
 
@@ -11,17 +11,22 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import found, stamp
+from .text import found, held, stamp
 
 
 def rewritten(text: Column, pattern: str, new: Callable[[Column], Column]) -> Column:
     """The text with `new` of every match in its place; a null result removes the match. The pattern must not match the empty text."""
-    pieces = F.zip_with(F.split(text, pattern, -1), found(text, pattern), lambda gap, match: F.concat(gap, F.when(match.isNotNull(), F.coalesce(new(match), F.lit(""))).otherwise("")))
-    return F.array_join(pieces, "")
+
+    def pieces(t: Column) -> Column:
+        parts = F.zip_with(F.split(t, pattern, -1), found(t, pattern), lambda gap, match: F.concat(gap, F.when(match.isNotNull(), F.coalesce(new(match), F.lit(""))).otherwise("")))
+        return F.array_join(parts, "")
+
+    return held(text, pieces)
 
 
 # What stands for the current time in a query, for midnight some days before, and a time with a letter inside.
-NOW = r"\$CUR_DATE\$\s*\$CUR_TIME\$|\$CURDATE\$\s*\$CURTIME\$|\$CUR_DATE\$|\$NOW|\$\{NOW\}|\$\(now\)|<CURRENT_TIME>|now\(\)|\bnow\b"
+# The characters that a match may begin with are looked for first.
+NOW = r"(?=[$<n])(?:\$CUR_DATE\$\s*\$CUR_TIME\$|\$CURDATE\$\s*\$CURTIME\$|\$CUR_DATE\$|\$NOW|\$\{NOW\}|\$\(now\)|<CURRENT_TIME>|now\(\)|\bnow\b)"
 DAYS_AGO = r"\$CUR_DATE_MINUS_(\d+)D\$"
 PARTED = r"(\d{8})T(\d{6})"
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import concepts as c
-from lodestone.functions import intent, text, vectors
+from lodestone.functions import intent, rewrite, text, vectors
 from lodestone.functions import parsing as p
 from lodestone.operators import conversation, evaluation, graph, pii, relational, retrieval
 
@@ -255,3 +255,19 @@ def test_concepts_take_a_text_once(spark, sf_dir):
 
     plan = korean.mixed_concepts(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("translate(lower(text") == 1
+
+
+def test_a_text_with_times_is_made_once(spark, sf_dir):
+    """Each rewriting cut a text and searched it, and worked it out for both: twice for one of them, four times for two."""
+    from lodestone.plans import rewrites
+
+    plan = rewrites.dated_texts(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(text") == 1
+
+
+def test_times_beside_other_signs(spark):
+    texts = ["now", "snow", "now()", "know now(", "$NOW ${NOW} $(now) <CURRENT_TIME>", "$CUR_DATE$ $CUR_TIME$", "$CURDATE$$CURTIME$", "$CUR", "n < $", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, x string")
+    got = [x.v for x in rows.select("i", rewrite.with_times(F.col("x"), F.lit("2024-03-05 07:08:09").cast("timestamp")).alias("v")).orderBy("i").collect()]
+    d = "20240305070809"
+    assert got == [d, "snow", d, f"know {d}(", f"{d} {d} {d} {d}", d, d, "$CUR", "n < $", "", None]
