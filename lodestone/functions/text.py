@@ -93,6 +93,17 @@ def term_counts(text: Column, least: int = 3) -> Column:
     return found(F.lower(text), f"[a-z]{{{least},}}")
 
 
+def term_weights(words: Column) -> Column:
+    """Map of each distinct word to its number of occurrences, as a double: words are sorted, and a run of equal ones is one term. Null has no words."""
+
+    def runs(w: Column) -> Column:
+        begin = F.filter(F.transform(w, lambda x, i: F.when((i == 0) | (x != F.get(w, i - 1)), i)), lambda i: i.isNotNull())
+        counted = lambda b: F.zip_with(b, F.concat(F.slice(b, 2, F.size(b)), F.array(F.size(w))), lambda i, j: F.struct(F.get(w, i).alias("term"), (j - i).cast("double").alias("n")))
+        return F.map_from_entries(held(begin, lambda b: F.when(F.size(b) > 0, counted(b)).otherwise(F.array().cast("array<struct<term:string,n:double>>"))))
+
+    return held(F.array_sort(words), runs)
+
+
 def utf16_units(text: Column) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16LE")) / 2).cast("int")
 

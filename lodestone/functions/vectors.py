@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import held
+
 
 def _zero() -> Column:
     return F.lit(0.0)
@@ -37,8 +39,11 @@ def unit(v: Column) -> Column:
 
 def max_normalised(weights: Column) -> Column:
     """A sparse map scaled so that its greatest weight is 1; empty or non-positive maps stay."""
-    top = F.array_max(F.map_values(weights))
-    return F.when(top > 0, F.transform_values(weights, lambda _, w: w / top)).otherwise(weights)
+
+    def scaled(m: Column) -> Column:
+        return held(F.array_max(F.map_values(m)), lambda top: F.when(top > 0, F.transform_values(m, lambda _, w: w / top)).otherwise(m))
+
+    return held(weights, scaled)
 
 
 def slices(v: Column, width: int, parts: int) -> Column:

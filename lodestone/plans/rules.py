@@ -136,12 +136,12 @@ def header_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH t AS (SELECT doc_id, term, count(*)::DOUBLE AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS term FROM documents) GROUP BY 1, 2), m AS (SELECT doc_id, max(n) AS m FROM t GROUP BY 1) SELECT doc_id, count(*) AS terms, round(sum(n / m), 6) AS total FROM t JOIN m USING (doc_id) GROUP BY doc_id""")
 def sparse_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M3: weights of a sparse vector scaled to a greatest one of 1."""
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(t.term_counts(F.coalesce("text", F.lit("")), 5)).alias("term"))
-    counts = words.groupBy("doc_id", "term").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    v = counts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("w"))
-    scaled = F.map_values(vectors.max_normalised(F.col("w")))
-    return v.select("doc_id", F.size(scaled).cast("long").alias("terms"), F.round(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    """M3: weights of a sparse vector scaled to a greatest one of 1. The words of a document meet in one row and are counted there."""
+    words = F.array_join(t.term_counts(F.coalesce("text", F.lit("")), 5), " ")
+    whole = table(spark, sf_dir, "documents").select("doc_id", words.alias("words")).groupBy("doc_id").agg(F.array_join(F.collect_list("words"), " ").alias("words"))
+    scaled = F.map_values(vectors.max_normalised(t.term_weights(t.term_counts(F.col("words"), 5))))
+    row = t.held(scaled, lambda w: F.struct(F.size(w).cast("long").alias("terms"), F.round(F.aggregate(w, F.lit(0.0), lambda a, x: a + x), 6).alias("total")))
+    return whole.where("words rlike '[a-z]'").select("doc_id", row.alias("r")).select("doc_id", "r.terms", "r.total")
 
 
 @query("""WITH n AS (SELECT n_nationkey AS k, lower(n_name) AS s FROM nation), p AS (SELECT a.k AS a, b.k AS b, list_distinct(string_split(a.s, '')) AS x, list_distinct(string_split(b.s, '')) AS y FROM n a JOIN n b ON a.k < b.k) SELECT a, b, round(len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))), 6)::DOUBLE AS score FROM p""")

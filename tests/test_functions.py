@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -271,3 +272,23 @@ def test_times_beside_other_signs(spark):
     got = [x.v for x in rows.select("i", rewrite.with_times(F.col("x"), F.lit("2024-03-05 07:08:09").cast("timestamp")).alias("v")).orderBy("i").collect()]
     d = "20240305070809"
     assert got == [d, "snow", d, f"know {d}(", f"{d} {d} {d} {d}", d, d, "$CUR", "n < $", "", None]
+
+
+def test_term_weights(spark):
+    r_ = random.Random(12)
+    texts = [[], ["a"], ["b", "a", "b"], *([r_.choice("abcde") * r_.randint(1, 3) for _ in range(r_.randint(1, 60))] for _ in range(50))]
+    rows = spark.createDataFrame([(x,) for x in [*texts, None]], "x array<string>").select("x", text.term_weights(F.col("x")).alias("w"))
+    for x in rows.collect():
+        assert x.w == dict(Counter(x.x or []))
+
+
+def test_sparse_weights_count_in_the_row(spark, tmp_path):
+    """Rows of one document count together, and no row is made for a word."""
+    from lodestone.plans import rules as plans
+
+    docs = [(1, "alpha beta gamma alpha"), (2, None), (3, "it is so"), (1, "ALPHA delta"), (4, "alphabet, alphabets"), (5, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    df = plans.sparse_weights(spark, str(tmp_path))
+    # alpha 3, gamma 1, delta 1 of document 1; its shorter words do not count.
+    assert sorted(tuple(x) for x in df.collect()) == [(1, 3, round(5 / 3, 6)), (4, 2, 2.0)]
+    assert "Generate" not in df._jdf.queryExecution().optimizedPlan().toString()
