@@ -29,10 +29,10 @@ def titled(text: Column) -> Column:
     return rewritten(text, r"\p{L}+", lambda m: F.concat(F.upper(F.left(m, F.lit(1))), F.lower(F.substring(m, F.lit(2), F.length(m)))))
 
 
-def _node(kind: str, text: Column, name: Column, source: Column, aliases: Column | None = None) -> Column:
+def _node(kind: str, key: Column, name: Column, source: Column, aliases: Column | None = None) -> Column:
     none = F.array().cast("array<string>")
     ko = F.when(script_of(name) == "ko", name)
-    return F.struct(F.concat(F.lit(f"{kind}_"), node_id(text)).alias("id"), F.lit(kind).alias("type"), name.alias("name"), ko.alias("name_ko"), (none if aliases is None else aliases).alias("aliases"), source.alias("source"))
+    return F.struct(key.alias("id"), F.lit(kind).alias("type"), name.alias("name"), ko.alias("name_ko"), (none if aliases is None else aliases).alias("aliases"), source.alias("source"))
 
 
 def _edge(kind: str, source: Column, target: Column, weight: Column | float = 1.0) -> Column:
@@ -40,29 +40,33 @@ def _edge(kind: str, source: Column, target: Column, weight: Column | float = 1.
 
 
 def expanded(files: DataFrame) -> DataFrame:
-    """(ord, nodes, edges) of every file. files: (ord, stem, name, question, aliases)."""
+    """(ord, nodes, edges) of every file. files: (ord, stem, name, question, aliases). Ids are worked out once for a row, before nodes and edges take them."""
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     parts = F.transform(F.split(text("stem"), "-"), lambda p: F.trim(p))
     f = files.select("ord", text("stem").alias("stem"), text("name").alias("name"), text("question").alias("question"), F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), F.get(parts, 0).alias("header"), F.slice(parts, 2, F.size(parts)).alias("components"))
     f = f.withColumn("concepts", F.filter(concepts(F.col("question")), lambda c: F.length(c) >= 3))
-    doc, question = (F.concat(F.lit(f"{k}_"), node_id(F.col("stem"))) for k in ("document", "question"))
-    header = F.concat(F.lit("header_"), node_id(F.col("header")))
-    asked, headed = F.col("question") != "", F.col("header") != ""
     of = lambda kind, x: F.concat(F.lit(f"{kind}_"), node_id(x))
+    each = lambda kind, column: F.transform(column, lambda x: F.struct(x.alias("x"), of(kind, x).alias("id")))
+    f = f.withColumns({
+        "doc_key": of("document", F.col("stem")), "question_key": of("question", F.col("stem")), "header_key": of("header", F.col("header")),
+        "concepts": each("concept", "concepts"), "components": each("component", "components"),
+    })
+    doc, question, header = F.col("doc_key"), F.col("question_key"), F.col("header_key")
+    asked, headed = F.col("question") != "", F.col("header") != ""
     none = lambda like: F.filter(like, lambda _: F.lit(False))
 
-    document = F.array(_node("document", F.col("stem"), F.col("name"), F.lit(""), F.col("aliases")))
-    questions = F.array(_node("question", F.col("stem"), cut(F.col("question"), NAME), doc))
-    of_concepts = F.transform("concepts", lambda c: _node("concept", c, titled(c), question))
-    headers = F.array(_node("header", F.col("header"), titled(F.col("header")), F.lit("filename")))
-    components = F.transform("components", lambda c, i: _node("component", c, titled(c), F.concat(F.lit("filename "), i.cast("string"))))
+    document = F.array(_node("document", doc, F.col("name"), F.lit(""), F.col("aliases")))
+    questions = F.array(_node("question", question, cut(F.col("question"), NAME), doc))
+    of_concepts = F.transform("concepts", lambda c: _node("concept", c["id"], titled(c["x"]), question))
+    headers = F.array(_node("header", header, titled(F.col("header")), F.lit("filename")))
+    components = F.transform("components", lambda c, i: _node("component", c["id"], titled(c["x"]), F.concat(F.lit("filename "), i.cast("string"))))
     nodes = F.concat(document, F.when(asked, F.concat(questions, of_concepts)).otherwise(none(questions)), F.when(headed, headers).otherwise(none(headers)), components)
 
     has_question = F.array(_edge("has_question", doc, question))
-    mentions = F.flatten(F.transform("concepts", lambda c: F.array(_edge("mentions_concept", question, of("concept", c)), _edge("contains_concept", doc, of("concept", c)))))
+    mentions = F.flatten(F.transform("concepts", lambda c: F.array(_edge("mentions_concept", question, c["id"]), _edge("contains_concept", doc, c["id"]))))
     has_header = F.array(_edge("has_header", doc, header, HEADER_WEIGHT))
-    has_components = F.transform("components", lambda c, i: _edge("has_component", doc, of("component", c), F.round(1.0 + 0.1 * i, 3)))
-    contains = F.transform("components", lambda c: _edge("contains_component", header, of("component", c)))
+    has_components = F.transform("components", lambda c, i: _edge("has_component", doc, c["id"], F.round(1.0 + 0.1 * i, 3)))
+    contains = F.transform("components", lambda c: _edge("contains_component", header, c["id"]))
     edges = F.concat(F.when(asked, F.concat(has_question, mentions)).otherwise(none(has_question)), F.when(headed, F.concat(has_header, contains)).otherwise(none(has_header)), has_components)
     return f.select("ord", nodes.alias("nodes"), edges.alias("edges"))
 

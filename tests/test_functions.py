@@ -292,3 +292,12 @@ def test_sparse_weights_count_in_the_row(spark, tmp_path):
     # alpha 3, gamma 1, delta 1 of document 1; its shorter words do not count.
     assert sorted(tuple(x) for x in df.collect()) == [(1, 3, round(5 / 3, 6)), (4, 2, 2.0)]
     assert "Generate" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ids_of_a_graph_are_made_once(spark):
+    """Each kind of node and edge made its ends' ids anew: two patterns for each place that names one."""
+    from lodestone.operators import knowledge_graph
+
+    files = spark.createDataFrame([(1, "a-b", "n", "Foo bar", ["x"])], "ord long, stem string, name string, question string, aliases array<string>")
+    plan = knowledge_graph.expanded(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^a-z0-9가-힣]") <= 5  # of the document, the question, the header, concepts and components
